@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op2_byte_bpe
+from .multi_index import op10_embedding_near_dedup
 from .ngram_jaccard import op4_ngram_jaccard
 
-QUERIES = {"op4_ngram_jaccard": op4_ngram_jaccard}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_ngram_jaccard, op10_embedding_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
