@@ -39,18 +39,33 @@ def load_ranks(lines: bytes) -> dict[bytes, int]:
 
 
 class Transducer:
+    """The transducer of one vocabulary. Tokens in progress are nodes of the trie of all tokens (0: none begun)."""
+
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes = {rank: token for token, rank in ranks.items()}
-        self.begins = {token[:n] for token in ranks for n in range(1, len(token))}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.child: dict[int, int] = {}  # node << 8 | byte to node
+        self.token = [-1]
+        self.inner = [True]  # whether longer tokens pass through the node
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                self.inner[node] = True
+                to = self.child.get(node << 8 | byte)
+                if to is None:
+                    to = self.child[node << 8 | byte] = len(self.token)
+                    self.token.append(-1)
+                    self.inner.append(False)
+                node = to
+            self.token[node] = rank
+        self.pairs: dict[int, bool] = {}
         self.forget()
 
     def forget(self) -> None:
         self.number: dict = {}
         self.states: list = []
-        self.delta: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.start = self.state(-1, (((), b""),))
+        self.delta: dict[int, int | tuple[int, tuple[int, ...]]] = {}  # state << 8 | byte to state, and what is emitted
+        self.start = self.state(-1, (((), 0),))
 
     def state(self, last: int, open_: tuple) -> int:
         key = (last, open_)
@@ -58,66 +73,89 @@ class Transducer:
         if at is None:
             at = self.number[key] = len(self.states)
             self.states.append(key)
-            self.delta.append({})
         return at
 
     def fits(self, a: int, b: int) -> bool:
         """Whether merging the bytes of a and b by rank ends in exactly a, b."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            left, right = self.bytes[a], self.bytes[b]
-            if left + right in self.ranks:
-                known = False
-            else:
-                parts = [bytes((x,)) for x in left + right]
-                while len(parts) > 1:
-                    best, at = min((self.ranks.get(x + y, 1 << 60), i) for i, (x, y) in enumerate(zip(parts, parts[1:])))
-                    if best == 1 << 60:
-                        break
-                    parts[at : at + 2] = [parts[at] + parts[at + 1]]
-                known = parts == [left, right]
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            self.pairs[a, b] = known
+        left, right, rank = self.bytes[a], self.bytes[b], self.ranks.get
+        if left + right in self.ranks:
+            known = False
+        else:
+            parts = [bytes((x,)) for x in left + right]
+            cost = [rank(x + y, 1 << 60) for x, y in zip(parts, parts[1:])]
+            while cost:
+                best = min(cost)
+                if best == 1 << 60:
+                    break
+                i = cost.index(best)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                del cost[i]
+                if i:
+                    cost[i - 1] = rank(parts[i - 1] + parts[i], 1 << 60)
+                if i < len(cost):
+                    cost[i] = rank(parts[i] + parts[i + 1], 1 << 60)
+            known = len(parts) == 2 and parts[0] == left
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        self.pairs[a << 32 | b] = known
         return known
 
-    def step(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def step(self, at: int, byte: int) -> int | tuple[int, tuple[int, ...]]:
         last, open_ = self.states[at]
-        kept, done, one = [], None, bytes((byte,))
-        for held, part in open_:
-            grown = part + one
-            if done is None and (token := self.ranks.get(grown)) is not None and ((before := held[-1] if held else last) < 0 or self.fits(before, token)):
-                done = (*held, token)
-            if grown in self.begins:
-                kept.append((held, grown))
-        kept.append((done, b""))
-        n = min(len(held) for held, _ in kept)
-        first = kept[0][0]
-        while any(held[:n] != first[:n] for held, _ in kept):
-            n -= 1
-        out = first[:n]
-        to = self.state(out[-1] if n else last, tuple((held[n:], part) for held, part in kept))
-        self.delta[at][byte] = (to, out)
-        return to, out
+        kept, done = [], None
+        child, token, inner, pairs = self.child, self.token, self.inner, self.pairs
+        for held, node in open_:
+            node = child.get(node << 8 | byte)
+            if node is None:
+                continue
+            rank = token[node]
+            if rank >= 0 and done is None:
+                before = held[-1] if held else last
+                if before >= 0:
+                    known = pairs.get(before << 32 | rank)
+                    if known is None:
+                        known = self.fits(before, rank)
+                    if known:
+                        done = (*held, rank)
+                else:
+                    done = (*held, rank)
+            if inner[node]:
+                kept.append((held, node))
+        kept.append((done, 0))
+        n, first = 0, kept[0][0]
+        for n in range(len(first) + 1):
+            if n == len(first) or any([len(held) == n or held[n] != first[n] for held, _ in kept]):
+                break
+        if not n:
+            to: int | tuple = self.state(last, tuple(kept))
+        else:
+            kept = [(held[n:], node) for held, node in kept]
+            # the last token only matters where an alternative has none of its own
+            to = (self.state(first[n - 1] if any([not held for held, _ in kept]) else -2, tuple(kept)), first[:n])
+        self.delta[at << 8 | byte] = to
+        return to
 
     def encode(self, data: bytes) -> tuple[int, ...]:
         """Tokens of one pre-token."""
-        if (whole := self.ranks.get(data)) is not None and len(data) == 1:
+        whole = self.ranks.get(data)
+        if whole is not None:
             return (whole,)
         out: list[int] = []
         if len(self.states) > STATES:
             self.forget()
-        at = self.start
-        for n, byte in enumerate(data):
-            move = self.delta[at].get(byte)
+        at, get = self.start, self.delta.get
+        for byte in data:
+            move = get(at << 8 | byte)
             if move is None:
-                if not n & 0xFFFF and n and len(self.states) > STATES:  # within a very long pre-token too
+                if len(self.states) > 2 * STATES:  # within a very long pre-token
                     key = self.states[at]
                     self.forget()
-                    at = self.state(*key)
+                    at, get = self.state(*key), self.delta.get
                 move = self.step(at, byte)
-            at, tokens = move
-            if tokens:
+            if move.__class__ is int:
+                at = move
+            else:
+                at, tokens = move
                 out += tokens
         out += self.states[at][1][-1][0]
         return tuple(out)
