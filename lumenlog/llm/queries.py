@@ -5,6 +5,9 @@ from __future__ import annotations
 from .byte_bpe import op2_byte_bpe
 from .multi_index import op10_embedding_near_dedup
 from .ngram_jaccard import op4_ngram_jaccard
+from .preference_quality import op9_quality_classifier
+from .quality_rules import op1_quality_rules
+from .secret_scan import op8_secret_scan
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_ngram_jaccard, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op4_ngram_jaccard, op8_secret_scan, op9_quality_classifier, op10_embedding_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
