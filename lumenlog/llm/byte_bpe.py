@@ -13,9 +13,9 @@ Scale: no shuffle. Each task holds the vocabulary, the states and a cache of WOR
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .shared import read
 
 STATES = 1 << 17
-WORDS = 1 << 18
+WORDS = 1 << 20
 PAIRS = 1 << 19
 ROWS = 100
 
@@ -199,37 +199,40 @@ _made: dict = {}
 def _once(key, make):
     """What make() gives, kept for the tasks that a Python worker runs one after another."""
     if key not in _made:
-        _made.clear()
         _made[key] = make()
     return _made[key]
 
 
+class _Words(dict):
+    """Pre-token to the bytes of its int32 tokens; at WORDS entries all are forgotten."""
+
+    def __init__(self, machine: Transducer):
+        self.machine = machine
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= WORDS:
+            self.clear()
+        ids = self[word] = array("i", self.machine.encode(word.encode())).tobytes()
+        return ids
+
+
 def _encoder(lines: bytes, pattern: str):
     import regex
 
-    return Transducer(load_ranks(lines)), {}, regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")).findall
+    split = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")).findall
+    return _Words(Transducer(load_ranks(lines))), split
 
 
 def _encoded(shared, pattern: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    machine, words, split = _once(("encode", shared.value, pattern), partial(_encoder, shared.value, pattern))
+    words, split = _once(("encode", pattern, len(shared.value), hash(shared.value)), partial(_encoder, shared.value, pattern))
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
             part = batch.slice(at, ROWS)
             out, ends = [], [0]
-            for text in part.column(part.num_columns - 1):
-                found = split(text.as_py() or "")
-                if fresh := set(found).difference(words):
-                    if len(words) + len(fresh) > WORDS:
-                        words.clear()
-                        fresh = set(found)
-                    for word in fresh:
-                        words[word] = machine.encode(word.encode())
-                ids = np.fromiter(chain.from_iterable(map(words.__getitem__, found)), np.int32)
-                out.append(ids)
-                ends.append(ends[-1] + len(ids))
-            if len(words) > WORDS:
-                words.clear()
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out)))
+            for text in part.column(part.num_columns - 1).to_pylist():
+                out.append(b"".join(map(words.__getitem__, split(text or ""))))
+                ends.append(ends[-1] + len(out[-1]) // 4)
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(out), np.int32)))
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], [*part.schema.names[:-1], "ids"])
 
 
@@ -245,16 +248,34 @@ def encode(docs: DataFrame, lines: bytes, pattern: str, keep: tuple[str, ...] =
     return rows.mapInArrow(partial(_encoded, shared, pattern), f"{kinds}, ids array<int>")
 
 
+class _Tokens:
+    """The bytes of all tokens end to end, to gather those of a run of tokens at once."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        table = sorted((rank, token) for token, rank in ranks.items())
+        self.size = np.zeros(table[-1][0] + 1, np.int64)
+        self.size[[rank for rank, _ in table]] = [len(token) for _, token in table]
+        self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]])
+        self.data = np.frombuffer(b"".join(token for _, token in table), np.uint8)
+
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        size = self.size[ids]
+        if not size.all():
+            raise ValueError("a token id that the vocabulary lacks")
+        ends = np.cumsum(size)
+        return self.data[np.repeat(self.start[ids] - ends + size, size) + np.arange(ends[-1] if len(ids) else 0)].tobytes()
+
+
 def _decoded(shared, chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = _once(("decode", shared.value), lambda: {rank: token for token, rank in load_ranks(shared.value).items()})
+    table = _once(("decode", len(shared.value), hash(shared.value)), lambda: _Tokens(load_ranks(shared.value)))
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
             part = batch.slice(at, ROWS)
             texts = []
             for ids in part.column(part.num_columns - 1):
-                ids = ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else []
+                ids = ids.values.to_numpy(zero_copy_only=False) if ids.is_valid else np.zeros(0, np.int32)
                 machine = Utf8Machine()
-                texts.append("".join([*(machine.feed(b"".join(map(table.__getitem__, ids[i : i + chunk]))) for i in range(0, len(ids), chunk)), machine.close()]))
+                texts.append("".join([*(machine.feed(table.bytes_of(ids[i : i + chunk])) for i in range(0, len(ids), chunk)), machine.close()]))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
 
 
