@@ -32,11 +32,13 @@ class Rule(NamedTuple):
     base: bool = False
 
 
-#: The base kinds first, in the order of the contract.
+#: The base kinds first, in the order of the contract. The two runs are stated with their least length,
+#: which finds what filtering all runs by length finds: no part of a run that is too short is long enough. An
+#: assignment with a short value takes its text from later matches, so there the length is tested afterwards.
 RULES = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2, True),
-    Rule("access", r"AKIA[A-Z0-9]+", 20, 0, True),
-    Rule("hex", r"[0-9a-f]+", 24, 0, True),
+    Rule("access", r"AKIA[A-Z0-9]{16,}", 20, 0, True),
+    Rule("hex", r"[0-9a-f]{24,}", 24, 0, True),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", 40, 0),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", 15, 0),
     Rule("cloud", r"AIza[A-Za-z0-9_-]{35}", 39, 0),
@@ -179,16 +181,12 @@ def joined_spans(rules: tuple[Rule, ...], base: bool) -> Column:
     return F.array_join(F.transform(own, lambda s: F.concat_ws(":", F.get(names, s["at"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> Column:
-    """The text with every matching stretch of a rule, shortest lengths asked for, replaced by the rule's name."""
+def redact(rules: tuple[Rule, ...] = RULES) -> Column:
+    """The text of find_secrets with what its rules match replaced by the rule's name in brackets."""
     text = F.col("text")
     for rule in rules:
-        strict = rule.pattern[:-1] + f"{{{rule.least},}}" if rule.kind == "hex" else rule.pattern
-        if rule.kind == "assign":
-            strict = rule.pattern.replace("-]+)", f"-]{{{rule.least},}})")
-        if rule.kind == "access":
-            strict = rule.pattern.replace("+", f"{{{rule.least - 4},}}")
-        text = F.when(F.size(F.col(f"spans_{rule.kind}")) > 0, F.regexp_replace(text, strict, f"[{rule.kind}]")).otherwise(text)
+        long_enough = rule.pattern.replace("-]+)", f"-]{{{rule.least},}})") if rule.group else rule.pattern
+        text = F.when(F.size(F.col(f"spans_{rule.kind}")) > 0, F.regexp_replace(text, long_enough, f"[{rule.kind}]")).otherwise(text)
     return text
 
 
