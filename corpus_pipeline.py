@@ -30,8 +30,7 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, what the secret scan finds replaced by the rule's name."""
     found = secret_scan.find_secrets(docs, keep=COLUMNS[2:4])
-    clean = found.select("doc_id", secret_scan.redact().alias("text"), "lang", "source")
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return secret_scan.redact(found).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .shared import read
 
 STATES = 1 << 17
-WORDS = 1 << 20
-PAIRS = 1 << 19
+WORDS = 1 << 19
+PAIRS = 1 << 18
 ROWS = 100
 
 #: The white space of the pre-token pattern (Unicode White_Space).
@@ -44,20 +44,13 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes = {rank: token for token, rank in ranks.items()}
-        self.child: dict[int, int] = {}  # node << 8 | byte to node
-        self.token = [-1]
-        self.inner = [True]  # whether longer tokens pass through the node
-        for token, rank in ranks.items():
-            node = 0
-            for byte in token:
-                self.inner[node] = True
-                to = self.child.get(node << 8 | byte)
-                if to is None:
-                    to = self.child[node << 8 | byte] = len(self.token)
-                    self.token.append(-1)
-                    self.inner.append(False)
-                node = to
-            self.token[node] = rank
+        nodes: dict[bytes, int] = {b"": 0}
+        for token in ranks:
+            for n in range(1, len(token) + 1):
+                nodes.setdefault(token[:n], len(nodes))
+        inner = {token[:n] for token in ranks for n in range(len(token))}
+        #: node << 8 | byte to the child's node, its token (-1: none), and whether longer tokens pass through it
+        self.child = {nodes[text[:-1]] << 8 | text[-1]: (node, ranks.get(text, -1), text in inner) for text, node in nodes.items() if node}
         self.pairs: dict[int, bool] = {}
         self.forget()
 
@@ -103,29 +96,30 @@ class Transducer:
     def step(self, at: int, byte: int) -> int | tuple[int, tuple[int, ...]]:
         last, open_ = self.states[at]
         kept, done = [], None
-        child, token, inner, pairs = self.child, self.token, self.inner, self.pairs
+        child, pairs = self.child.get, self.pairs.get
         for held, node in open_:
-            node = child.get(node << 8 | byte)
-            if node is None:
+            found = child(node << 8 | byte)
+            if found is None:
                 continue
-            rank = token[node]
+            node, rank, inner = found
             if rank >= 0 and done is None:
                 before = held[-1] if held else last
                 if before >= 0:
-                    known = pairs.get(before << 32 | rank)
-                    if known is None:
-                        known = self.fits(before, rank)
-                    if known:
+                    known = pairs(before << 32 | rank)
+                    if known or known is None and self.fits(before, rank):
                         done = (*held, rank)
                 else:
                     done = (*held, rank)
-            if inner[node]:
+            if inner:
                 kept.append((held, node))
         kept.append((done, 0))
         n, first = 0, kept[0][0]
-        for n in range(len(first) + 1):
-            if n == len(first) or any([len(held) == n or held[n] != first[n] for held, _ in kept]):
-                break
+        if len(kept) == 1:
+            n = len(first)
+        elif first:
+            for n in range(len(first) + 1):
+                if n == len(first) or any([len(held) == n or held[n] != first[n] for held, _ in kept]):
+                    break
         if not n:
             to: int | tuple = self.state(last, tuple(kept))
         else:

@@ -15,7 +15,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read
+from .shared import read, sealed
 
 LEAST = 0.8
 
@@ -88,7 +88,7 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     df = df.withColumn("best_", best)
     names = F.array_sort(F.array_distinct(F.transform("found_", lambda x: x["name"])))
     top = F.array_min(F.transform(F.filter("found_", lambda x: x["dice"] == F.col("best_")), lambda x: x["name"]))
-    return df.select("doc_id", top.alias("license"), F.coalesce("best_", F.lit(0.0)).alias("similarity"), F.array_join(names, ",").alias("licenses"))
+    return sealed(df.select("doc_id", top.alias("license"), F.coalesce("best_", F.lit(0.0)).alias("similarity"), F.array_join(names, ",").alias("licenses")))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, read, stage
+from .shared import WORD, read, sealed, stage
 
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 16
@@ -93,7 +93,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = dealt.withColumn("end", F.sum("size").over(line)).withColumn("start", F.col("end") - F.col("size"))
     placed = placed.join(shards, F.col("source").eqNullSafe(F.col("of")) & (F.col("shard") == F.col("at")))
     taken = covered(F.col("start"), F.col("end")) + covered(F.col("start") + F.col("shard_size"), F.col("end") + F.col("shard_size"))
-    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", *(F.col("keep_")[c].alias(c) for c in keep))
+    return sealed(placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", *(F.col("keep_")[c].alias(c) for c in keep)))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read
+from .shared import read, sealed
 from .text_metrics import count_of, with_words
 
 SAMPLE_ROWS = 20_000
@@ -32,7 +32,7 @@ def features(df: DataFrame, text_col: str) -> DataFrame:
     chars, size = F.greatest(F.length(text), F.lit(1)).cast("double"), F.greatest("size_", F.lit(1.0))
     df = df.withColumn("same_", F.size(F.filter(words, lambda w, i: F.coalesce(F.get(words, i - 1) == w, F.lit(False)))).cast("double"))
     root = lambda part: F.sqrt(part / chars)  # noqa: E731  shares near 0 count for more
-    return (
+    return sealed(
         df.withColumn("length", F.log1p("size_"))
         .withColumn("symbols", root(count_of(text, "#*$%&<>")))
         .withColumn("bars", root(count_of(text, "|")))

@@ -19,7 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read
+from .shared import read, sealed
 
 MOST_STRINGS = 64  # of a query's exact strings before they are turned into trigrams
 
@@ -171,7 +171,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     for at, rule in enumerate(rules):
         wanted = F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False)) if rule in indexed else F.lit(True)
         df = _with_spans(df, rule, at, wanted)
-    return df.select("doc_id", "text", *(f"spans_{r.kind}" for r in rules), *(F.col("keep_")[c].alias(c) for c in keep))
+    return sealed(df.select("doc_id", "text", *(f"spans_{r.kind}" for r in rules), *(F.col("keep_")[c].alias(c) for c in keep)))
 
 
 def joined_spans(rules: tuple[Rule, ...], base: bool) -> Column:
@@ -181,13 +181,12 @@ def joined_spans(rules: tuple[Rule, ...], base: bool) -> Column:
     return F.array_join(F.transform(own, lambda s: F.concat_ws(":", F.get(names, s["at"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(rules: tuple[Rule, ...] = RULES) -> Column:
-    """The text of find_secrets with what its rules match replaced by the rule's name in brackets."""
-    text = F.col("text")
+def redact(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The result of find_secrets with what its rules match in text replaced by the rule's name in brackets."""
     for rule in rules:
         long_enough = rule.pattern.replace("-]+)", f"-]{{{rule.least},}})") if rule.group else rule.pattern
-        text = F.when(F.size(F.col(f"spans_{rule.kind}")) > 0, F.regexp_replace(text, long_enough, f"[{rule.kind}]")).otherwise(text)
-    return text
+        found = found.withColumn("text", F.when(F.size(f"spans_{rule.kind}") > 0, F.regexp_replace("text", long_enough, f"[{rule.kind}]")).otherwise(F.col("text")))
+    return found
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
