@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .shared import read
 
 STATES = 1 << 17
-WORDS = 1 << 19
+WORDS = 1 << 20
 PAIRS = 1 << 18
 ROWS = 100
 
@@ -284,6 +284,18 @@ def decode(tokens: DataFrame, lines: bytes, chunk: int = 4096) -> DataFrame:
     return tokens.mapInArrow(partial(_decoded, shared, chunk), f"{kinds}, decoded string")
 
 
+def _both(shared, pattern: str, chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _decoded(shared, chunk, _encoded(shared, pattern, batches))
+
+
+def round_trip(docs: DataFrame, lines: bytes, pattern: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", chunk: int = 4096) -> DataFrame:
+    """encode and then decode in one pass of the tasks, so that a task needs one Python worker and one set of caches."""
+    shared = docs.sparkSession.sparkContext.broadcast(lines)
+    rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(partial(_both, shared, pattern, chunk), f"{kinds}, ids array<int>, decoded string")
+
+
 def vocabulary(path: str) -> bytes:
     """The rank file, read on the driver; it is sent to the tasks, so executors need no copy."""
     with open(path, "rb") as file:
@@ -292,7 +304,7 @@ def vocabulary(path: str) -> bytes:
 
 def digests(docs: DataFrame, lines: bytes, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of docs."""
-    both = decode(encode(docs, lines, pattern), lines)
+    both = round_trip(docs, lines, pattern)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

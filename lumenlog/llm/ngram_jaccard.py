@@ -1,32 +1,35 @@
 """N-gram Jaccard join over a token-group matrix.
 
-Documents become sets of word shingles. Documents with equal sets form a class and only the class's smallest id
-goes on. Similar classes are partitioned into groups: a set's hash range is cut into a few more parts than the
-largest symmetric difference that the threshold allows, so two linked sets agree on whole parts; sets that agree
-on a part meet in a bucket, and the smallest bucket anchor names a document's group. A group (cut into blocks
-of bounded size) is then held as the union of its members' tokens; a document that met a member of another group
-is a query against it, is dropped when its overlap with the union is below threshold * size, and else opens the
-group. Results are exact: no link is lost and no cap is set.
-
-Scale: the only corpus-wide shuffle is of (part signature, id) pairs; blocks hold at most BLOCK_DOCS documents or
-BLOCK_TOKENS tokens; a group of any size is spread over blocks that share its most central document, and what that
-document does not tie together is checked against the other blocks.
+Documents become sets of word shingles (tokens). Documents with equal sets form a class and only the class's smallest
+id goes on. All tokens are put in one order, the corpus's commonest last, and a set's prefix is so long that two linked
+sets share at least SHARED tokens of their prefixes. Similar documents are partitioned into groups: a token's anchor
+is the smallest id that has it in its prefix, and a document joins the anchor that most of its prefix points to. The
+token-group matrix holds the union of the members' prefixes; a document whose overlap with a group's union is below
+what a link needs is not compared with that group. The others are sent to the group, where the overlap with the union
+of the whole sets is bounded in the same way before the members are opened. Results are exact: no link is lost and
+no cap is set; which tokens count as common only changes the cost.
+
+Scale: the corpus-wide shuffle is of (prefix token, id) pairs; blocks hold at most BLOCK_DOCS documents or BLOCK_TOKENS
+tokens; a group of any size is spread over blocks that share its most central document, and what that document does
+not tie together is checked against the other blocks. The common tokens that are broadcast number COMMON at most.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import components, read, stage
 
+SHARED = 8
+COMMON = 1 << 19
+COUNTED = 1 << 21  # tokens that a task counts at once
 BLOCK_DOCS = 1024
 BLOCK_TOKENS = 1_000_000
 SLAB_BYTES = 1 << 20
@@ -115,69 +118,82 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
         at = to
 
 
-@lru_cache
-def _levels(num: int, den: int) -> list[int]:
-    """First sizes of the size classes: a set and a linked larger one lie in the same class or in neighbours."""
-    out = [1]
-    while out[-1] < 1 << 40:
-        out.append(out[-1] * den // num + 1)
-    return out
+def prefix(u: np.ndarray, common: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first tokens of a set in the global order: any two linked sets share min(SHARED, needed) of theirs.
 
+    A link needs an overlap of o = ceil(num / den * size) with either set; the first tokens in common then lie within
+    the first size - o + SHARED of both.
+    """
+    o = -(-num * len(u) // den)
+    most = len(u) - o + min(SHARED, o)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, u), len(common) - 1)
+        late = common[at] == u
+        u = np.concatenate([u[~late], u[late]])
+    return u[:most]
 
-def signatures(u: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Signatures of a set such that any two different linked sets share one.
 
-    At its own size class and the next, with k the largest symmetric difference of two linked sets there, the hash
-    range is cut into k + 2 parts, at least two of which agree. A signature stands for the content of a part; for
-    empty parts it stands for two of them at once, since one agreeing part besides would then not be empty.
-    """
-    if not len(u):
-        return u.astype(np.int64)
-    firsts = _levels(num, den)
-    own = bisect_right(firsts, len(u)) - 1
-    sums = np.zeros(len(u) + 1, np.uint64)
-    np.cumsum(_mix(u ^ _U(0x5851F42D4C957F2D)), out=sums[1:])
-    out = []
-    for level in (own, own + 1):
-        k = 2 * (firsts[level + 1] - 1) * (den - num) // (den + num)
-        if not k:
-            continue  # only equal sets are linked
-        parts = k + 2
-        part = ((u >> _U(32)) * _U(parts)) >> _U(32)
-        cut = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-        full = np.flatnonzero(cut[1:] > cut[:-1])
-        tag = _U(level << 40)
-        out.append(_mix(_mix(sums[cut[full + 1]] - sums[cut[full]]) ^ (full.astype(np.uint64) + tag)))
-        empty = np.flatnonzero(cut[1:] == cut[:-1])
-        if len(empty) > 1:
-            i, j = np.triu_indices(len(empty), 1)
-            out.append(_mix(_mix(empty[i].astype(np.uint64) + tag) ^ (empty[j].astype(np.uint64) << _U(20))))
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+def needed(n: Column, num: int, den: int) -> Column:
+    """Prefix tokens that a set of n tokens shares with every set that it is linked with, the smallest such set's too."""
+    smallest = F.ceil(n * num / den)
+    return F.least(F.lit(SHARED), F.ceil(smallest * num / den))
 
 
 def _profiles(width: int):
+    """Rows of each document (n, two digests of its set), and rows without one: n -1, a token, and how many sets have it.
+
+    A token is told for every COUNTED tokens of a task in which two sets have it.
+    """
+    names = ["doc_id", "n", "k1", "k2"]
+
+    def told(held: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+        tokens, counts = tokens[counts > 1], counts[counts > 1]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(tokens), pa.int64()), pa.array(np.full(len(tokens), -1)), pa.array(tokens.view(np.int64)), pa.array(counts.astype(np.int64))], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             n, k1, k2 = [], [], []
             for u in shingle_sets(batch.column(1), width):
                 n.append(len(u))
                 k1.append(np.add.reduce(_mix(u)).astype(np.uint64))
                 k2.append(np.bitwise_xor.reduce(_mix(u ^ _U(0xD1342543DE82EF95))).astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(np.array(k, np.uint64).view(np.int64)) for k in (k1, k2))], ["doc_id", "n", "k1", "k2"])
+                held.append(u)
+                size += len(u)
+                if size >= COUNTED:
+                    yield told(held)
+                    held, size = [], 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(np.array(k, np.uint64).view(np.int64)) for k in (k1, k2))], names)
+        if held:
+            yield told(held)
 
     return run
 
 
-def _signed(width: int, num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                own = [signatures(u, num, den) for u in shingle_sets(part.column(1), width)]
-                ends = np.cumsum([0, *map(len, own)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own)))], ["doc_id", "sigs"])
+def _prefixed(shared, width: int, num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common = shared.value
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            own = [prefix(u, common, num, den) for u in shingle_sets(part.column(1), width)]
+            ends = np.cumsum([0, *map(len, own)])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own).view(np.int64)))], ["doc_id", "tokens"])
 
-    return run
+
+def common_tokens(counts: DataFrame) -> np.ndarray:
+    """At most COMMON of the commonest tokens of (token, n), those from some power of two upwards, in order."""
+    sizes = counts.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count("*").alias("tokens")).orderBy(F.desc("power")).collect()  # 63 rows at most
+    total, least = 0, None
+    for power, tokens in sizes:
+        total += tokens
+        if total > COMMON:
+            break
+        least = power
+    if least is None:
+        return np.zeros(0, np.uint64)
+    rows = counts.where(F.col("n") >= 2**least).select("token").toPandas()["token"]
+    return np.sort(rows.to_numpy(np.int64).view(np.uint64))
 
 
 def _dealt(width: int):
@@ -315,27 +331,36 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     of them counts for the id. Other columns are ignored, whatever their names. An empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    base = stage(texts.mapInArrow(_profiles(shingle), "doc_id long, n long, k1 long, k2 long"), "profiles")
+    both = stage(texts.mapInArrow(_profiles(shingle), "doc_id long, n long, k1 long, k2 long"), "profiles")
+    base = both.where("n >= 0")
     classes = base.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     reps = classes.select(F.col("rep").alias("doc_id"), "n").groupBy("doc_id").agg(F.max("n").alias("n"))
-
-    rows = texts.where("doc_id is not null").mapInArrow(_signed(shingle, num, den), "doc_id long, sigs array<long>").select("doc_id", F.explode("sigs").alias("sig"))
-    met = Window.partitionBy("sig")
-    rows = rows.select("doc_id", "sig", F.min("doc_id").over(met).alias("anchor"), F.max("doc_id").over(met).alias("far"), F.count("*").over(met).alias("cnt"))
-    hits = stage(rows.where("anchor <> far").select("doc_id", "sig", "anchor", "cnt").join(reps, "doc_id"), "hits")
-
-    group = hits.groupBy("doc_id").agg(F.min("anchor").alias("grp"), F.sum("cnt").alias("central"), F.max("n").alias("n"))
-    group = stage(group, "groups")
-    sizes = group.groupBy("grp").agg(F.count("*").alias("m"), F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_DOCS)), F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS))).alias("blocks"), F.max_by("doc_id", F.struct("central", -F.col("doc_id"))).alias("centre"))
-    buckets = hits.join(group.select("doc_id", "grp"), "doc_id").select("sig", "doc_id", "grp")
-    several = buckets.groupBy("sig").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("sig")
-    crossing = buckets.join(several, "sig")
-    there = crossing.select("sig", F.col("grp").alias("other")).distinct()
-    probes = stage(crossing.join(there, "sig").where("other < grp").select("doc_id", F.col("other").alias("grp")).distinct(), "probes")
+    common = common_tokens(both.where("n < 0").groupBy(F.col("k1").alias("token")).agg(F.sum("k2").alias("n")))
+
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+    rows = texts.where("doc_id is not null").mapInArrow(partial(_prefixed, shared, shingle, num, den), "doc_id long, tokens array<long>").select("doc_id", F.explode("tokens").alias("token"))
+    met = Window.partitionBy("token")
+    rows = rows.select("doc_id", "token", F.min("doc_id").over(met).alias("anchor"), F.max("doc_id").over(met).alias("far"), F.count("*").over(met).alias("cnt"))
+    hits = stage(rows.where("anchor <> far").select("doc_id", "token", "anchor", "cnt").join(reps, "doc_id"), "hits")
+
+    votes = hits.groupBy("doc_id", "n", "anchor").agg(F.count("*").alias("votes"), F.sum("cnt").alias("central"))
+    group = votes.groupBy("doc_id", "n").agg(F.max_by("anchor", F.struct("votes", -F.col("anchor"))).alias("grp"), F.sum("central").alias("central"))
+    group = stage(group.withColumn("need", needed(F.col("n"), num, den)), "groups")
+    matrix = hits.select("doc_id", "token").join(group.select("doc_id", "grp", "need"), "doc_id")
+    union = matrix.groupBy("token", "grp").agg(F.count("*").alias("members"))
+    several = union.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token")
+    inside = matrix.join(union.where("members > 1").select("token", "grp"), ["token", "grp"]).groupBy("doc_id", "grp", "need").agg(F.count("*").alias("overlap"))
+    active = inside.where("overlap >= need").select("doc_id")
+    other = union.join(several, "token").select("token", F.col("grp").alias("other"))
+    across = matrix.join(other, "token").where("other < grp").groupBy("doc_id", F.col("other").alias("grp"), "need").agg(F.count("*").alias("overlap"))
+    probes = stage(across.where("overlap >= need").select("doc_id", "grp"), "probes")
 
     asked = probes.select("grp").distinct().withColumn("asked", F.lit(True))
-    live = sizes.join(asked, "grp", "left").where("m > 1 or asked").select("grp", "blocks", "centre")
-    placed = group.join(live, "grp")
+    placed = group.join(active.withColumn("active", F.lit(True)), "doc_id", "left").join(asked, "grp", "left").where("active or asked")
+    placed = stage(placed.select("doc_id", "n", "grp", "central", "asked"), "placed")
+    sizes = placed.groupBy("grp").agg(F.count("*").alias("m"), F.bool_or(F.coalesce("asked", F.lit(False))).alias("asked"), F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_DOCS)), F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS))).alias("blocks"), F.max_by("doc_id", F.struct("central", -F.col("doc_id"))).alias("centre"))
+    live = sizes.where("m > 1 or asked").select("grp", "blocks", "centre")
+    placed = placed.select("doc_id", "grp").join(live, "grp")
     centres = placed.where("doc_id = centre").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("doc_id", "grp", "block", "blocks", F.lit(0).alias("role"))
     others = placed.where("doc_id <> centre").select("doc_id", "grp", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"), "blocks", F.lit(1).alias("role"))
     members = stage(centres.union(others), "members")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +18,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="stages-")
+
+
 def scratch(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="stages-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _own_folder()
     return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
