@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lumenlog.plans.audit import QUERIES
+from lumenlog.plans.oracle import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
