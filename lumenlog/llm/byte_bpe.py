@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from .shared import read
 
-STATES = 1 << 17
-WORDS = 1 << 20
-PAIRS = 1 << 18
-ROWS = 100
+STATES = 1 << 18
+WORDS = 1 << 19
+PAIRS = 3 << 17
+ROWS = 250
 
 #: The white space of the pre-token pattern (Unicode White_Space).
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -56,6 +56,7 @@ class Transducer:
 
     def forget(self) -> None:
         self.number: dict = {}
+        self.shared: dict = {}  # equal alternatives of different states are one object
         self.states: list = []
         self.delta: dict[int, int | tuple[int, tuple[int, ...]]] = {}  # state << 8 | byte to state, and what is emitted
         self.start = self.state(-1, (((), 0),))
@@ -120,39 +121,55 @@ class Transducer:
             for n in range(len(first) + 1):
                 if n == len(first) or any([len(held) == n or held[n] != first[n] for held, _ in kept]):
                     break
+        one = self.shared.setdefault
         if not n:
+            kept = [one(x, x) for x in kept]
             to: int | tuple = self.state(last, tuple(kept))
         else:
-            kept = [(held[n:], node) for held, node in kept]
+            kept = [one(x, x) for x in [(held[n:], node) for held, node in kept]]
             # the last token only matters where an alternative has none of its own
             to = (self.state(first[n - 1] if any([not held for held, _ in kept]) else -2, tuple(kept)), first[:n])
         self.delta[at << 8 | byte] = to
         return to
 
-    def encode(self, data: bytes) -> tuple[int, ...]:
-        """Tokens of one pre-token."""
-        whole = self.ranks.get(data)
-        if whole is not None:
-            return (whole,)
+    def encode_all(self, words: list[bytes]) -> Iterator[list[int]]:
+        """Tokens of each pre-token, in turn. What a word shares with the one before it is not read again."""
         out: list[int] = []
-        if len(self.states) > STATES:
-            self.forget()
-        at, get = self.start, self.delta.get
-        for byte in data:
-            move = get(at << 8 | byte)
-            if move is None:
-                if len(self.states) > 2 * STATES:  # within a very long pre-token
-                    key = self.states[at]
-                    self.forget()
-                    at, get = self.state(*key), self.delta.get
-                move = self.step(at, byte)
-            if move.__class__ is int:
-                at = move
-            else:
-                at, tokens = move
-                out += tokens
-        out += self.states[at][1][-1][0]
-        return tuple(out)
+        trail, before = [(self.start, 0)], b""
+        for data in words:
+            n = 0
+            for x, y in zip(before, data):
+                if x != y:
+                    break
+                n += 1
+            if len(self.states) > STATES:
+                self.forget()
+                trail, n = [(self.start, 0)], 0
+            del trail[n + 1 :]
+            at, size = trail[n]
+            del out[size:]
+            get = self.delta.get
+            for byte in data[n:]:
+                move = get(at << 8 | byte)
+                if move is None:
+                    if len(self.states) > 2 * STATES:  # within a very long pre-token; the trail is then of no use
+                        key = self.states[at]
+                        self.forget()
+                        trail, at, get = [], self.state(*key), self.delta.get
+                    move = self.step(at, byte)
+                if move.__class__ is int:
+                    at = move
+                else:
+                    at, tokens = move
+                    out += tokens
+                trail.append((at, len(out)))
+            yield [*out, *self.states[at][1][-1][0]]
+            before = data
+            if len(trail) != len(data) + 1:
+                out, trail, before = [], [(self.start, 0)], b""
+
+    def encode(self, data: bytes) -> list[int]:
+        return next(self.encode_all([data]))
 
 
 class Utf8Machine:
@@ -197,34 +214,31 @@ def _once(key, make):
     return _made[key]
 
 
-class _Words(dict):
-    """Pre-token to the bytes of its int32 tokens; at WORDS entries all are forgotten."""
-
-    def __init__(self, machine: Transducer):
-        self.machine = machine
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORDS:
-            self.clear()
-        ids = self[word] = array("i", self.machine.encode(word.encode())).tobytes()
-        return ids
-
-
 def _encoder(lines: bytes, pattern: str):
     import regex
 
     split = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")).findall
-    return _Words(Transducer(load_ranks(lines))), split
+    return Transducer(load_ranks(lines)), {}, split
 
 
 def _encoded(shared, pattern: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, split = _once(("encode", pattern, len(shared.value), hash(shared.value)), partial(_encoder, shared.value, pattern))
+    """known: pre-token to the bytes of its int32 tokens; at WORDS entries all are forgotten."""
+    machine, known, split = _once(("encode", pattern, len(shared.value), hash(shared.value)), partial(_encoder, shared.value, pattern))
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
             part = batch.slice(at, ROWS)
+            texts = [split(text or "") for text in part.column(part.num_columns - 1).to_pylist()]
+            words = set().union(*texts)
+            fresh = words.difference(known)
+            if len(known) + len(fresh) > WORDS:
+                known.clear()
+                fresh = words
+            order = sorted(word.encode() for word in fresh)
+            for word, ids in zip(order, machine.encode_all(order)):
+                known[word.decode()] = array("i", ids).tobytes()
             out, ends = [], [0]
-            for text in part.column(part.num_columns - 1).to_pylist():
-                out.append(b"".join(map(words.__getitem__, split(text or ""))))
+            for found in texts:
+                out.append(b"".join(map(known.__getitem__, found)))
                 ends.append(ends[-1] + len(out[-1]) // 4)
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(out), np.int32)))
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], [*part.schema.names[:-1], "ids"])

@@ -29,10 +29,10 @@ from .shared import components, read, stage
 
 SHARED = 8
 COMMON = 1 << 19
-COUNTED = 1 << 21  # tokens that a task counts at once
+COUNTED = 1 << 20  # tokens that a task counts at once
 BLOCK_DOCS = 1024
-BLOCK_TOKENS = 1_000_000
-SLAB_BYTES = 1 << 20
+BLOCK_TOKENS = 500_000
+SLAB_BYTES = 1 << 18
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so invertible modulo 2**64
@@ -85,6 +85,11 @@ def _word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its width-word shingles (one for a shorter text, none for no words)."""
+    for at in range(0, len(texts), 500):
+        yield from _shingle_sets(texts.slice(at, 500), width)
+
+
+def _shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     texts = texts.cast(pa.large_string()).fill_null("")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
