@@ -66,7 +66,7 @@ def parse_correct(c: Column) -> Column:
 
 def split_list(c: Column) -> Column:
     """Comma-separated parts, trimmed; null gives none."""
-    return F.coalesce(F.transform(F.split(c, ","), F.trim), F.array().cast("array<string>"))
+    return F.coalesce(F.transform(F.split(c, ","), lambda x: F.trim(x)), F.array().cast("array<string>"))
 
 
 def clip(c: Column, low: float = 1e-4) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 START = (0.25, 0.25, 0.2, 0.2)  # init, learn, guess, slip
 BOUNDS = (0.05, 0.95)
+GRID = (0.1, 0.35, 0.6, 0.85)
 
 
 def outcomes(train: DataFrame, keys: list[str], least: int = 4) -> DataFrame:
@@ -18,30 +21,36 @@ def outcomes(train: DataFrame, keys: list[str], least: int = 4) -> DataFrame:
     return by.groupBy(*keys, "kc_id", text.alias("outcomes")).agg(F.count("*").alias("n"))
 
 
-def loss(params: np.ndarray, seqs: list[np.ndarray], weights: np.ndarray) -> float:
-    """Negative log likelihood; sequences of one length stand as the rows of one matrix."""
+def padded(texts: list[str]) -> np.ndarray:
+    """Outcome strings as the rows of a matrix, -1 after the end."""
+    rows = np.full((len(texts), max(map(len, texts))), -1, np.int8)
+    for row, text in zip(rows, texts):
+        row[: len(text)] = np.frombuffer(text.encode(), np.uint8) - ord("0")
+    return rows
+
+
+def loss(params: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> float:
+    """Negative log likelihood of the outcome rows, each as often as its weight."""
     init, learn, guess, slip = params
-    total = 0.0
-    for rows, w in zip(seqs, weights):
-        know = np.full(len(rows), init)
-        for y in rows.T:
-            right = know * (1 - slip) + (1 - know) * guess
-            p = np.clip(np.where(y == 1, right, 1 - right), 1e-9, 1 - 1e-9)
-            total -= float((w * np.log(p)).sum())
-            after = know * np.where(y == 1, 1 - slip, slip) / p
-            know = np.clip(after + (1 - after) * learn, 1e-9, 1 - 1e-9)
+    total, know = 0.0, np.full(len(rows), init)
+    for y in rows.T:
+        live = y >= 0
+        if not live.any():
+            break
+        right = know * (1 - slip) + (1 - know) * guess
+        p = np.clip(np.where(y == 1, right, 1 - right), 1e-9, 1 - 1e-9)
+        total -= float((weights * np.log(p))[live].sum())
+        after = know * np.where(y == 1, 1 - slip, slip) / p
+        know = np.clip(after + (1 - after) * learn, 1e-9, 1 - 1e-9)
     return total
 
 
 def fit_one(texts: list[str], counts: list[int], rounds: int = 12) -> tuple[np.ndarray, float, float]:
-    """Parameters, loss, and loss at the start: coordinate golden sections inside the bounds, while they help."""
-    by: dict[int, list[int]] = {}
-    for i, text in enumerate(texts):
-        by.setdefault(len(text), []).append(i)
-    seqs = [np.array([[int(c) for c in texts[i]] for i in rows]) for rows in by.values()]
-    weights = [np.array([counts[i] for i in rows], float) for rows in by.values()]
-    best = np.array(START)
-    first = value = loss(best, seqs, weights)
+    """Parameters, loss, and loss at START: the best point of a coarse grid, then golden sections along each coordinate."""
+    rows, weights = padded(texts), np.array(counts, float)
+    first = loss(np.array(START), rows, weights)
+    best = min([np.array(START), *map(np.array, product(GRID, repeat=4))], key=lambda x: loss(x, rows, weights))
+    value = loss(best, rows, weights)
     golden = (np.sqrt(5) - 1) / 2
     for _ in range(rounds):
         was = value
@@ -51,11 +60,11 @@ def fit_one(texts: list[str], counts: list[int], rounds: int = 12) -> tuple[np.n
 
             def at(x: float, trial=trial, k=k) -> float:
                 trial[k] = x
-                return loss(trial, seqs, weights)
+                return loss(trial, rows, weights)
 
             a, b = high - golden * (high - low), low + golden * (high - low)
             fa, fb = at(a), at(b)
-            while high - low > 1e-3:
+            while high - low > 2e-3:
                 if fa < fb:
                     high, b, fb = b, a, fa
                     a = high - golden * (high - low)
@@ -67,7 +76,7 @@ def fit_one(texts: list[str], counts: list[int], rounds: int = 12) -> tuple[np.n
             x, f = (a, fa) if fa < fb else (b, fb)
             if f < value:
                 best[k], value = x, f
-        if was - value < 1e-6 * max(1.0, abs(was)):
+        if was - value < 1e-5 * max(1.0, abs(was)):
             break
     return best, value, first
 
