@@ -182,7 +182,7 @@ def joined_spans(rules: tuple[Rule, ...], base: bool) -> Column:
 
 
 def redact(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The result of find_secrets with what its rules match in text replaced by the rule's name in brackets."""
+    """The result of find_secrets with what its rules match in text replaced by the rule's name in brackets, rule after rule."""
     for rule in rules:
         long_enough = rule.pattern.replace("-]+)", f"-]{{{rule.least},}})") if rule.group else rule.pattern
         found = found.withColumn("text", F.when(F.size(f"spans_{rule.kind}") > 0, F.regexp_replace("text", long_enough, f"[{rule.kind}]")).otherwise(F.col("text")))
