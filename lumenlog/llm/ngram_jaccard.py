@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from .shared import components, read, stage
 
-SHARED = 8
+SHARED = 16
 COMMON = 1 << 19
-COUNTED = 1 << 20  # tokens that a task counts at once
+COUNTED = 1 << 21  # tokens that a task counts at once
 BLOCK_DOCS = 1024
 BLOCK_TOKENS = 500_000
 SLAB_BYTES = 1 << 18
@@ -345,12 +345,16 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     shared = docs.sparkSession.sparkContext.broadcast(common)
     rows = texts.where("doc_id is not null").mapInArrow(partial(_prefixed, shared, shingle, num, den), "doc_id long, tokens array<long>").select("doc_id", F.explode("tokens").alias("token"))
     met = Window.partitionBy("token")
-    rows = rows.select("doc_id", "token", F.min("doc_id").over(met).alias("anchor"), F.max("doc_id").over(met).alias("far"), F.count("*").over(met).alias("cnt"))
-    hits = stage(rows.where("anchor <> far").select("doc_id", "token", "anchor", "cnt").join(reps, "doc_id"), "hits")
-
-    votes = hits.groupBy("doc_id", "n", "anchor").agg(F.count("*").alias("votes"), F.sum("cnt").alias("central"))
-    group = votes.groupBy("doc_id", "n").agg(F.max_by("anchor", F.struct("votes", -F.col("anchor"))).alias("grp"), F.sum("central").alias("central"))
-    group = stage(group.withColumn("need", needed(F.col("n"), num, den)), "groups")
+    rows = rows.select("doc_id", "token", F.min("doc_id").over(met).alias("near"), F.max("doc_id").over(met).alias("far"))
+    met_rows = stage(rows.where("near <> far").select("doc_id", "token").join(reps.withColumn("need", needed(F.col("n"), num, den)), "doc_id"), "met")
+    # a document that shares fewer tokens with all others together is linked with none
+    able = met_rows.groupBy("doc_id", "need").agg(F.count("*").alias("tokens")).where("tokens >= need").select("doc_id")
+    hits = met_rows.join(able, "doc_id").select("doc_id", "n", "need", "token", F.min("doc_id").over(met).alias("anchor"), F.max("doc_id").over(met).alias("far"), F.count("*").over(met).alias("cnt"))
+    hits = stage(hits.where("anchor <> far").drop("far"), "hits")
+
+    votes = hits.groupBy("doc_id", "n", "need", "anchor").agg(F.count("*").alias("votes"), F.sum("cnt").alias("central"))
+    group = votes.groupBy("doc_id", "n", "need").agg(F.max_by("anchor", F.struct("votes", -F.col("anchor"))).alias("grp"), F.sum("central").alias("central"))
+    group = stage(group, "groups")
     matrix = hits.select("doc_id", "token").join(group.select("doc_id", "grp", "need"), "doc_id")
     union = matrix.groupBy("token", "grp").agg(F.count("*").alias("members"))
     several = union.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token")
@@ -385,3 +389,14 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
+
+
+OP4_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS m FROM r GROUP BY x) USING (doc_id)
+"""

@@ -86,3 +86,34 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def _oracle() -> str:
+    cutoffs = ", ".join(f"({i}, {c!r}::DOUBLE)" for i, c in enumerate(CUTOFFS))
+    rules = " UNION ALL ".join(f"SELECT stratum, good, '{r}' AS rule, {r} AS value FROM known" for r in RULES)
+    a = repr(ALPHA / len(RULES)) + "::DOUBLE"
+    over = " OR ".join(f"coalesce({r} > (SELECT max(cutoff) FROM chosen c WHERE c.rule = '{r}' AND c.stratum IS NOT DISTINCT FROM t.stratum), false)" for r in RULES)
+    each = ", ".join(f"coalesce({r} > (SELECT max(cutoff) FROM chosen c WHERE c.rule = '{r}' AND c.stratum IS NOT DISTINCT FROM t.stratum), false) AS over_{r}" for r in RULES)
+    share = lambda x, y: f"coalesce({x}::DOUBLE / nullif({y}, 0), 0)"
+    return rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS n, doc_id, lang AS stratum, coalesce(text, '') AS text FROM documents),
+w AS MATERIALIZED (SELECT n, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+win AS (SELECT n, unnest(range(1, len(w) - 6)) AS i, w FROM w WHERE len(w) >= 8),
+win2 AS (SELECT n, i, count(*) OVER (PARTITION BY n, array_to_string(w[i:i + 7], ' ')) AS c FROM win),
+rep AS (SELECT n, count(DISTINCT i + k) AS n_repeat_words FROM win2, (SELECT unnest(range(0, 8)) AS k) WHERE c > 1 GROUP BY n),
+ln AS (SELECT n, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ln FROM d),
+t AS MATERIALIZED (SELECT *, {share('n_symbols', 'word_chars')} AS symbol_share, {share('n_upper', 'word_chars')} AS upper_share, {share('n_dup_lines', 'n_lines')} AS dup_line_share, {share('n_repeat_words', 'n_words')} AS repeat_share, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM (
+  SELECT d.n, doc_id, stratum, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: len(x))), 0) AS BIGINT) AS word_chars, len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ln) - len(list_distinct(ln)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(ln) AS n_lines, len(regexp_extract_all(text, '\p{{Lu}}')) AS n_upper
+  FROM d JOIN w USING (n) JOIN ln USING (n) LEFT JOIN rep USING (n))),
+known AS MATERIALIZED (SELECT t.*, quality = 1 AS good FROM t JOIN labels USING (doc_id) WHERE NOT base_failed AND quality IS NOT NULL),
+val AS ({rules}),
+cut(lv, cutoff) AS (VALUES {cutoffs}),
+cnt AS MATERIALIZED (SELECT stratum, rule, lv, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS nb, count(*) FILTER (good AND value > cutoff) AS k, count(*) FILTER (NOT good AND value > cutoff) AS kb, (SELECT count(DISTINCT coalesce(stratum, '')) FROM known) AS strata FROM val, cut GROUP BY ALL),
+tail AS (SELECT stratum, rule, lv, sum(exp(lp)) AS p FROM (
+  SELECT *, sum(step) OVER (PARTITION BY stratum, rule, lv ORDER BY j) AS lp FROM (SELECT stratum, rule, lv, j, CASE WHEN j = 0 THEN n * ln(1 - {a}) ELSE ln((n - j + 1)::DOUBLE / j) + ln({a} / (1 - {a})) END AS step FROM (SELECT *, unnest(range(0, k + 1)) AS j FROM cnt WHERE n > 0 AND k < n * {a}))) GROUP BY ALL),
+ok AS (SELECT cnt.*, bool_and(coalesce(p <= {DELTA / len(RULES)!r}::DOUBLE / strata, false)) OVER (PARTITION BY cnt.stratum, cnt.rule ORDER BY cnt.lv) AS ok FROM cnt LEFT JOIN tail ON cnt.stratum IS NOT DISTINCT FROM tail.stratum AND cnt.rule = tail.rule AND cnt.lv = tail.lv),
+chosen AS MATERIALIZED (SELECT stratum, rule, cutoff FROM (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY coalesce(round(kb::DOUBLE / nullif(nb, 0) - k::DOUBLE / n, 9), -1) DESC, lv) AS r FROM ok WHERE ok) WHERE r = 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({over}) AS kept, {each} FROM t"""
+
+
+OP1_SQL = _oracle()

@@ -5,11 +5,11 @@ from __future__ import annotations
 from .byte_bpe import op2_byte_bpe
 from .license_scan import OP3_SQL, op3_license_scan
 from .mixing import OP5_SQL, op5_mixing
-from .multi_index import op10_embedding_near_dedup
-from .ngram_jaccard import op4_ngram_jaccard
+from .multi_index import OP10_SQL, op10_embedding_near_dedup
+from .ngram_jaccard import OP4_SQL, op4_ngram_jaccard
 from .preference_quality import op9_quality_classifier
-from .quality_rules import op1_quality_rules
-from .secret_scan import op8_secret_scan
+from .quality_rules import OP1_SQL, op1_quality_rules
+from .secret_scan import OP8_SQL, op8_secret_scan
 from .site_style import op7_html_extraction
 from .url_filter import op6_url_filter
 
@@ -17,4 +17,11 @@ QUERIES = {
     f.__name__: f
     for f in (op1_quality_rules, op2_byte_bpe, op3_license_scan, op4_ngram_jaccard, op5_mixing, op6_url_filter, op7_html_extraction, op8_secret_scan, op9_quality_classifier, op10_embedding_near_dedup)
 }
-ORACLE_SQL: dict[str, str] = {"op3_license_scan": OP3_SQL, "op5_mixing": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": OP1_SQL,
+    "op3_license_scan": OP3_SQL,
+    "op4_ngram_jaccard": OP4_SQL,
+    "op5_mixing": OP5_SQL,
+    "op8_secret_scan": OP8_SQL,
+    "op10_embedding_near_dedup": OP10_SQL,
+}

@@ -193,3 +193,21 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(read(spark, sf_dir, "documents"))
     n = lambda kind: F.size(f"spans_{kind}").cast("long").alias(f"n_{kind}")
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(joined_spans(RULES, True).cast("binary"), 256).alias("base_sha256"), joined_spans(RULES, False).alias("spans"))
+
+
+def _oracle() -> str:
+    """The same spans by splitting each text at a rule's matches and summing lengths."""
+    parts = []
+    for at, rule in enumerate(RULES):
+        rx = rule.pattern.replace("'", "''")
+        parts.append(f"""SELECT n, {at} AS pos, '{rule.kind}' AS kind, {str(rule.base).lower()} AS base, unnest(list_filter(list_transform(range(1, len(m) + 1), lambda i: {{'s': list_sum(list_transform(p[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0), 'e': len(m[i]), 'g': len(g[i])}}), lambda x: x.g >= {rule.least})) AS x
+  FROM (SELECT n, regexp_extract_all(text, '{rx}') AS m, regexp_extract_all(text, '{rx}', {rule.group}) AS g, regexp_split_to_array(text, '{rx}') AS p FROM d WHERE regexp_matches(text, '{rx}'))""")
+    n = lambda kind: f"count(*) FILTER (kind = '{kind}') AS n_{kind}"
+    text = "kind || ':' || CAST(CAST(x.s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(x.s + x.e AS BIGINT) AS VARCHAR)"
+    return f"""WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
+s AS ({" UNION ALL ".join(parts)}),
+a AS (SELECT n, {n('assign')}, {n('access')}, {n('hex')}, string_agg({text}, ',' ORDER BY x.s, pos) FILTER (base) AS b, string_agg({text}, ',' ORDER BY x.s, pos) AS spans FROM s GROUP BY n)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (n)"""
+
+
+OP8_SQL = _oracle()
