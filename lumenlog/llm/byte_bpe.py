@@ -16,6 +16,7 @@ import base64
 from array import array
 from collections.abc import Iterator
 from functools import partial
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .shared import read
 
 STATES = 1 << 18
-WORDS = 1 << 19
+WORDS = 1 << 20
 PAIRS = 3 << 17
 ROWS = 250
 
@@ -257,10 +258,10 @@ def encode(docs: DataFrame, lines: bytes, pattern: str, keep: tuple[str, ...] =
 
 
 class _Tokens:
-    """The bytes of all tokens end to end, to gather those of a run of tokens at once."""
+    """Strings of all tokens end to end, to gather those of a run of tokens at once."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        table = sorted((rank, token) for token, rank in ranks.items())
+    def __init__(self, strings: dict[int, bytes]):
+        table = sorted(strings.items())
         self.size = np.zeros(table[-1][0] + 1, np.int64)
         self.size[[rank for rank, _ in table]] = [len(token) for _, token in table]
         self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]])
@@ -275,7 +276,7 @@ class _Tokens:
 
 
 def _decoded(shared, chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = _once(("decode", len(shared.value), hash(shared.value)), lambda: _Tokens(load_ranks(shared.value)))
+    table = _once(("decode", len(shared.value), hash(shared.value)), lambda: _Tokens({rank: token for token, rank in load_ranks(shared.value).items()}))
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
             part = batch.slice(at, ROWS)
@@ -316,11 +317,28 @@ def vocabulary(path: str) -> bytes:
         return file.read()
 
 
-def digests(docs: DataFrame, lines: bytes, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of docs."""
-    both = round_trip(docs, lines, pattern)
-    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+def _digested(shared, pattern: str, chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The round trip's ids and texts, told by their digests."""
+    decimal = _once(("decimal", len(shared.value), hash(shared.value)), lambda: _Tokens({rank: b"%d," % rank for rank in load_ranks(shared.value).values()}))
+    for batch in _both(shared, pattern, chunk, batches):
+        n, of_ids, of_text = [], [], []
+        for ids, text in zip(batch.column(1), batch.column(2)):
+            ids = ids.values.to_numpy(zero_copy_only=False)
+            n.append(len(ids))
+            digest = sha256()
+            for at in range(0, len(ids), chunk):
+                part = decimal.bytes_of(ids[at : at + chunk])
+                digest.update(part if at + chunk < len(ids) else part[:-1])
+            of_ids.append(digest.hexdigest())
+            of_text.append(sha256(text.as_buffer()).hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def digests(docs: DataFrame, lines: bytes, pattern: str, chunk: int = 4096) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of docs, from its round trip."""
+    shared = docs.sparkSession.sparkContext.broadcast(lines)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(partial(_digested, shared, pattern, chunk), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
