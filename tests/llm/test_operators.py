@@ -292,7 +292,9 @@ def test_main_text(spark):
     loose = "<div class='content'><p>Own {0}</p></div><div><p>Same everywhere</p></div>"
     rows = [(0, "http://a.org/1", f"<html><head><title>x</title></head><body>{body}</body></html>", None), (1, None, None, None), (2, "http://a.org/2", "", None), (3, "http://a.org/3", "plain text", None), (4, "x", "<p>a < b &lt; c <em>d", None)]
     rows += [(10 + i, "http://B.org/x", loose.format(i), None) for i in range(10)]
+    rows += [(30, "http://c.org/", "<div class='page has-sidebar'><div class=sidebar>s</div><main><p>kept</main></div>", None), (31, "http://c.org/", "<p>only</p><div id=comments><article class=comment>no</article></div><div role=complementary>no</div>", None)]
     got = {r.page_id: r for r in site_style.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
+    assert (got[30].text, got[31].text) == ("kept", "only")
     assert got[0].text == "T & t One two three four five" and got[0].n_chars == len(got[0].text)
     assert [got[i].text for i in (1, 2, 3, 4)] == ["", "", "plain text", "a < b < c d"]
     assert [got[10 + i].text for i in range(10)] == [f"Own {i}" for i in range(10)]
