@@ -47,7 +47,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     import public_tokenizers
 
     lines = byte_bpe.vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    decoded = byte_bpe.round_trip(docs, lines, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"))
+    decoded = byte_bpe.round_trip(docs, lines, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"), words=1 << 18)  # small caches: the tasks' workers serve other stages too
     return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -5,9 +5,9 @@ bytes. The transducer reads bytes and follows, for every place where a token may
 up to that place; a state is the last token emitted and these alternatives (tokens held back, bytes of the token in
 progress). A token is emitted once all alternatives share it. An alternative lives only while its bytes begin some
 token, so the lookahead is bounded by the longest token. States and their transitions are made when first needed
-and forgotten together when STATES of them are held.
+and forgotten together when too many are held.
 
-Scale: no shuffle. Each task holds the vocabulary, the states and a cache of WORDS pre-tokens, all bounded.
+Scale: no shuffle. Each task holds the vocabulary, the states and a cache of pre-tokens, all bounded.
 """
 
 from __future__ import annotations
@@ -25,9 +25,7 @@ from pyspark.sql import functions as F
 
 from .shared import read
 
-STATES = 1 << 18
-WORDS = 1 << 20
-PAIRS = 3 << 17
+WORDS = 1 << 20  # pre-tokens that a task keeps; a quarter as many states and three eighths as many pairs of tokens
 ROWS = 250
 
 #: The white space of the pre-token pattern (Unicode White_Space).
@@ -42,7 +40,8 @@ def load_ranks(lines: bytes) -> dict[bytes, int]:
 class Transducer:
     """The transducer of one vocabulary. Tokens in progress are nodes of the trie of all tokens (0: none begun)."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], words: int = WORDS):
+        self.most_states, self.most_pairs = words // 4, words * 3 // 8
         self.ranks = ranks
         self.bytes = {rank: token for token, rank in ranks.items()}
         nodes: dict[bytes, int] = {b"": 0}
@@ -90,7 +89,7 @@ class Transducer:
                 if i < len(cost):
                     cost[i] = rank(parts[i] + parts[i + 1], 1 << 60)
             known = len(parts) == 2 and parts[0] == left
-        if len(self.pairs) >= PAIRS:
+        if len(self.pairs) >= self.most_pairs:
             self.pairs.clear()
         self.pairs[a << 32 | b] = known
         return known
@@ -143,7 +142,7 @@ class Transducer:
                 if x != y:
                     break
                 n += 1
-            if len(self.states) > STATES:
+            if len(self.states) > self.most_states:
                 self.forget()
                 trail, n = [(self.start, 0)], 0
             del trail[n + 1 :]
@@ -153,7 +152,7 @@ class Transducer:
             for byte in data[n:]:
                 move = get(at << 8 | byte)
                 if move is None:
-                    if len(self.states) > 2 * STATES:  # within a very long pre-token; the trail is then of no use
+                    if len(self.states) > 2 * self.most_states:  # within a very long pre-token; the trail is then of no use
                         key = self.states[at]
                         self.forget()
                         trail, at, get = [], self.state(*key), self.delta.get
@@ -215,23 +214,23 @@ def _once(key, make):
     return _made[key]
 
 
-def _encoder(lines: bytes, pattern: str):
+def _encoder(lines: bytes, pattern: str, words: int = WORDS):
     import regex
 
     split = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")).findall
-    return Transducer(load_ranks(lines)), {}, split
+    return Transducer(load_ranks(lines), words), {}, split
 
 
-def _encoded(shared, pattern: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """known: pre-token to the bytes of its int32 tokens; at WORDS entries all are forgotten."""
-    machine, known, split = _once(("encode", pattern, len(shared.value), hash(shared.value)), partial(_encoder, shared.value, pattern))
+def _encoded(shared, pattern: str, most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """known: pre-token to the bytes of its int32 tokens; at `most` entries all are forgotten."""
+    machine, known, split = _once(("encode", pattern, most, len(shared.value), hash(shared.value)), partial(_encoder, shared.value, pattern, most))
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
             part = batch.slice(at, ROWS)
             texts = [split(text or "") for text in part.column(part.num_columns - 1).to_pylist()]
             words = set().union(*texts)
             fresh = words.difference(known)
-            if len(known) + len(fresh) > WORDS:
+            if len(known) + len(fresh) > most:
                 known.clear()
                 fresh = words
             order = sorted(word.encode() for word in fresh)
@@ -245,7 +244,7 @@ def _encoded(shared, pattern: str, batches: Iterator[pa.RecordBatch]) -> Iterato
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], [*part.schema.names[:-1], "ids"])
 
 
-def encode(docs: DataFrame, lines: bytes, pattern: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, lines: bytes, pattern: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", words: int = WORDS) -> DataFrame:
     """The columns of keep and ids, the tokens of each whole text.
 
     lines: the rank file's content. Each match of pattern is encoded separately; special tokens' strings are
@@ -254,7 +253,7 @@ def encode(docs: DataFrame, lines: bytes, pattern: str, keep: tuple[str, ...] =
     shared = docs.sparkSession.sparkContext.broadcast(lines)  # the vocabulary, whatever the corpus's size
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(partial(_encoded, shared, pattern), f"{kinds}, ids array<int>")
+    return rows.mapInArrow(partial(_encoded, shared, pattern, words), f"{kinds}, ids array<int>")
 
 
 class _Tokens:
@@ -299,16 +298,16 @@ def decode(tokens: DataFrame, lines: bytes, chunk: int = 4096) -> DataFrame:
     return tokens.mapInArrow(partial(_decoded, shared, chunk), f"{kinds}, decoded string")
 
 
-def _both(shared, pattern: str, chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _decoded(shared, chunk, _encoded(shared, pattern, batches))
+def _both(shared, pattern: str, most: int, chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _decoded(shared, chunk, _encoded(shared, pattern, most, batches))
 
 
-def round_trip(docs: DataFrame, lines: bytes, pattern: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", chunk: int = 4096) -> DataFrame:
+def round_trip(docs: DataFrame, lines: bytes, pattern: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", chunk: int = 4096, words: int = WORDS) -> DataFrame:
     """encode and then decode in one pass of the tasks, so that a task needs one Python worker and one set of caches."""
     shared = docs.sparkSession.sparkContext.broadcast(lines)
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(partial(_both, shared, pattern, chunk), f"{kinds}, ids array<int>, decoded string")
+    return rows.mapInArrow(partial(_both, shared, pattern, words, chunk), f"{kinds}, ids array<int>, decoded string")
 
 
 def vocabulary(path: str) -> bytes:
@@ -317,10 +316,10 @@ def vocabulary(path: str) -> bytes:
         return file.read()
 
 
-def _digested(shared, pattern: str, chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digested(shared, pattern: str, most: int, chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The round trip's ids and texts, told by their digests."""
     decimal = _once(("decimal", len(shared.value), hash(shared.value)), lambda: _Tokens({rank: b"%d," % rank for rank in load_ranks(shared.value).values()}))
-    for batch in _both(shared, pattern, chunk, batches):
+    for batch in _both(shared, pattern, most, chunk, batches):
         n, of_ids, of_text = [], [], []
         for ids, text in zip(batch.column(1), batch.column(2)):
             ids = ids.values.to_numpy(zero_copy_only=False)
@@ -334,11 +333,11 @@ def _digested(shared, pattern: str, chunk: int, batches: Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def digests(docs: DataFrame, lines: bytes, pattern: str, chunk: int = 4096) -> DataFrame:
+def digests(docs: DataFrame, lines: bytes, pattern: str, chunk: int = 4096, words: int = WORDS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of docs, from its round trip."""
     shared = docs.sparkSession.sparkContext.broadcast(lines)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(partial(_digested, shared, pattern, chunk), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(partial(_digested, shared, pattern, words, chunk), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,9 +31,14 @@ def scratch(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts its lineage and survives lost executors."""
+def stage(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back, which cuts its lineage and survives lost executors.
+
+    narrow: a table of a few numbers a row, written by an eighth of the shuffle partitions.
+    """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -54,7 +59,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     """
     u, v = F.col(src).cast("long"), F.col(dst).cast("long")
     now = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where(u.isNotNull() & v.isNotNull()).where("u <> v").distinct()
-    now = stage(now, "edges")
+    now = stage(now, "edges", narrow=True)
     mark = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -62,7 +67,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", "m")).distinct()
-        now = stage(small, "star")
+        now = stage(small, "star", narrow=True)
         said = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if said == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

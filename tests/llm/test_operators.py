@@ -138,14 +138,12 @@ def test_bpe_is_the_librarys(spark, vocabulary):
     assert {r.doc_id: r.decoded for r in two.collect()} == {i: t or "" for i, t in enumerate(texts)}
 
 
-def test_transducer_forgets_and_goes_on(vocabulary, monkeypatch):
+def test_transducer_forgets_and_goes_on(vocabulary):
     lines, _ = vocabulary
     whole = byte_bpe.Transducer(byte_bpe.load_ranks(lines))
     words = sorted({prose(random.Random(i), 3, 90).replace(" ", "").encode() for i in range(300)} | {b"ab" * 400})
     expected = list(whole.encode_all(words))
-    monkeypatch.setattr(byte_bpe, "STATES", 20)
-    monkeypatch.setattr(byte_bpe, "PAIRS", 10)
-    assert list(byte_bpe.Transducer(byte_bpe.load_ranks(lines)).encode_all(words)) == expected
+    assert list(byte_bpe.Transducer(byte_bpe.load_ranks(lines), 60).encode_all(words)) == expected
 
 
 def test_small_ranks():
