@@ -22,7 +22,6 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -336,13 +335,6 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     its n_shingles and a null component. Rows that repeat an id are each placed by their own text; a link of any
     of them counts for the id. Other columns are ignored, whatever their names. An empty table gives no rows.
     """
-    held: list[DataFrame] = []
-
-    def hold(df: DataFrame) -> DataFrame:
-        """Kept on the executors' disks till the links are known; what a lost executor held is made again."""
-        held.append(df.persist(StorageLevel.DISK_ONLY))
-        return df
-
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     both = stage(texts.mapInArrow(_profiles(shingle), "doc_id long, n long, k1 long, k2 long"), "profiles")
     base = both.where("n >= 0")
@@ -354,15 +346,15 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     rows = texts.where("doc_id is not null").mapInArrow(partial(_prefixed, shared, shingle, num, den), "doc_id long, tokens array<long>").select("doc_id", F.explode("tokens").alias("token"))
     met = Window.partitionBy("token")
     rows = rows.select("doc_id", "token", F.min("doc_id").over(met).alias("near"), F.max("doc_id").over(met).alias("far"))
-    met_rows = hold(rows.where("near <> far").select("doc_id", "token").join(reps.withColumn("need", needed(F.col("n"), num, den)), "doc_id"))
+    met_rows = stage(rows.where("near <> far").select("doc_id", "token").join(reps.withColumn("need", needed(F.col("n"), num, den)), "doc_id"), "met")
     # a document that shares fewer tokens with all others together is linked with none
     able = met_rows.groupBy("doc_id", "need").agg(F.count("*").alias("tokens")).where("tokens >= need").select("doc_id")
     hits = met_rows.join(able, "doc_id").select("doc_id", "n", "need", "token", F.min("doc_id").over(met).alias("anchor"), F.max("doc_id").over(met).alias("far"), F.count("*").over(met).alias("cnt"))
-    hits = hold(hits.where("anchor <> far").drop("far"))
+    hits = stage(hits.where("anchor <> far").drop("far"), "hits", narrow=True)
 
     votes = hits.groupBy("doc_id", "n", "need", "anchor").agg(F.count("*").alias("votes"), F.sum("cnt").alias("central"))
     group = votes.groupBy("doc_id", "n", "need").agg(F.max_by("anchor", F.struct("votes", -F.col("anchor"))).alias("grp"), F.sum("central").alias("central"))
-    group = hold(group)
+    group = stage(group, "groups", narrow=True)
     matrix = hits.select("doc_id", "token").join(group.select("doc_id", "grp", "need"), "doc_id")
     union = matrix.groupBy("token", "grp").agg(F.count("*").alias("members"))
     several = union.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token")
@@ -370,17 +362,17 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     active = inside.where("overlap >= need").select("doc_id")
     other = union.join(several, "token").select("token", F.col("grp").alias("other"))
     across = matrix.join(other, "token").where("other < grp").groupBy("doc_id", F.col("other").alias("grp"), "need").agg(F.count("*").alias("overlap"))
-    probes = hold(across.where("overlap >= need").select("doc_id", "grp"))
+    probes = stage(across.where("overlap >= need").select("doc_id", "grp"), "probes", narrow=True)
 
     asked = probes.select("grp").distinct().withColumn("asked", F.lit(True))
     placed = group.join(active.withColumn("active", F.lit(True)), "doc_id", "left").join(asked, "grp", "left").where("active or asked")
-    placed = hold(placed.select("doc_id", "n", "grp", "central", "asked"))
+    placed = stage(placed.select("doc_id", "n", "grp", "central", "asked"), "placed", narrow=True)
     sizes = placed.groupBy("grp").agg(F.count("*").alias("m"), F.bool_or(F.coalesce("asked", F.lit(False))).alias("asked"), F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_DOCS)), F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS))).alias("blocks"), F.max_by("doc_id", F.struct("central", -F.col("doc_id"))).alias("centre"))
     live = sizes.where("m > 1 or asked").select("grp", "blocks", "centre")
     placed = placed.select("doc_id", "grp").join(live, "grp")
     centres = placed.where("doc_id = centre").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("doc_id", "grp", "block", "blocks", F.lit(0).alias("role"))
     others = placed.where("doc_id <> centre").select("doc_id", "grp", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"), "blocks", F.lit(1).alias("role"))
-    members = hold(centres.union(others))
+    members = stage(centres.union(others), "members", narrow=True)
     split = members.select("grp", "block", "blocks").distinct()
     queries = probes.join(split, "grp").select("doc_id", "grp", "block")
     found = _open(texts, members, queries, shingle, num, den, "links")
@@ -391,8 +383,6 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
         queries = loose.join(own, ["doc_id", "grp"]).join(split, "grp").where("block <> own").select("doc_id", "grp", "block")
         edges = edges.union(_open(texts, members, queries, shingle, num, den, "loose").where("kind = 0").select("a", "b"))
     roots = components(edges, "a", "b")
-    for df in held:
-        df.unpersist()
     named = classes.join(roots, classes.rep == roots.node, "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     return base.join(named, ["n", "k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
