@@ -54,7 +54,8 @@ def test_stages(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracles(spark, name):
     duck = duckdb.connect()
-    duck.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for table in ("documents", "labels", "embeddings"):
+        duck.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     found = duck.execute(queries.ORACLE_SQL[name])
     names = [d[0] for d in found.description]
