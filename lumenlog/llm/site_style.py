@@ -1,15 +1,18 @@
 """Main text of web pages by site style trees.
 
-Pages of a host are merged into one tree. Its element nodes are paths of tags with their classes; an element's style
-nodes are the child sequences it shows, its content the blocks of text below. The presentation importance of an
-element is the entropy of its style nodes over the host's pages, the content importance of a block one minus the
-entropy of the pages that show it; both fall to 0 for what every page repeats. A branch is removed from each page when
-its name marks it as furniture (a prior of the tree: importance 0), or when its composite importance is low. An
-article or main element is the page's content by its name and is never pruned for being repeated; a page with
-none is pruned by importance alone.
+Pages of a host are merged into one tree, copies of a page counting once. Its element nodes are paths of tags with
+their classes; an element's style nodes are the child sequences it shows, its content the blocks of text in it. The
+presentation importance of an element is the entropy of its style nodes over the host's pages, the content importance
+of a block one minus the entropy of the pages that show it; both fall to 0 for what every page repeats. A block goes
+from each page when its composite importance is low, inside article and main elements as elsewhere.
+
+Names are the prior. What a name marks as furniture has importance 0. Else a block starts at 1, or at OUTSIDE where it
+lies outside the article or main elements of its page, and the host's m pages weigh against it as m to PRIOR_PAGES.
+Inside an article or main element content importance falls by the share of pages instead of by their entropy, so that
+a paragraph which some articles have in common stays and a notice which most of them show goes.
 
 Scale: the merged tree is sums over (host, path, hash) keys, so a host of any size is spread by block; only blocks
-below the threshold go back to the pages, a bounded number for each page of a host.
+that repeat and fall below the threshold go back to the pages.
 """
 
 from __future__ import annotations
@@ -27,7 +30,9 @@ from .shared import read, stage
 
 LOW = 0.3  # importance below which a branch is removed
 SALTS = 256  # parts of a host's pages in the join with its low branches
-FEWEST_PAGES = 8  # a host with fewer pages says nothing about repetition
+FEW_LOW = 1 << 16  # low blocks that may be broadcast
+PRIOR_PAGES = 2.0  # pages that the names count for
+OUTSIDE = 0.5  # importance by name of a block outside the article or main elements of its page
 GAMMA = 0.9  # weight of an element's descendants against its own presentation
 
 #: Fixed values of HTML.
@@ -64,10 +69,14 @@ def _furniture(tag: str, names: str, inside_main: bool) -> bool:
     return names == "hidden" or " hidden" in names or bool(NAMES.search(names))
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
 class Block:
     __slots__ = ("path", "main", "words")
 
-    def __init__(self, path: str, main: bool, words: list[str]):
+    def __init__(self, path: int, main: bool, words: list[str]):
         self.path, self.main, self.words = path, main, words
 
     @property
@@ -76,11 +85,11 @@ class Block:
 
     @property
     def key(self) -> int:
-        return int.from_bytes(blake2b(f"{self.path}\n{self.text}".encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+        return _hash(f"{self.path}\n{self.text}")
 
 
-def page_blocks(html: str) -> tuple[list[Block], dict[str, list[str]]]:
-    """Blocks of text outside furniture, in page order, and the child sequence of each element outside main content.
+def page_blocks(html: str) -> tuple[list[Block], dict[int, list[str]]]:
+    """Blocks of text outside furniture, in page order, and the child sequence of each element outside furniture.
 
     Where the only article or main elements lie in elements whose class or id reads as furniture (a page "with
     sidebar"), those names are not believed.
@@ -93,10 +102,10 @@ def page_blocks(html: str) -> tuple[list[Block], dict[str, list[str]]]:
     return found
 
 
-def _page_blocks(html: str, revive: bool) -> tuple[list[Block], dict[str, list[str]]]:
+def _page_blocks(html: str, revive: bool) -> tuple[list[Block], dict[int, list[str]]]:
     blocks: list[Block] = []
-    children: dict[str, list[str]] = {}
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, furniture, main
+    children: dict[int, list[str]] = {}
+    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, hash of the path, furniture, main
     run: list[str] = []
 
     def end_block() -> None:
@@ -162,9 +171,10 @@ def _page_blocks(html: str, revive: bool) -> tuple[list[Block], dict[str, list[s
         else:
             dropped = dropped or _furniture(name, names, main)
         main = not dropped and (main or name in ("article", "main") or "main" in names.split())
-        if not dropped and not main:
-            children.setdefault(path, []).append(f"{name}.{names}" if names else name)
-        path = path if name in INLINE or main and stack[-1][3] else f"{path}/{name}.{names}" if names else f"{path}/{name}"
+        shown = f"{name}.{names}" if names else name
+        if not dropped:
+            children.setdefault(path, []).append(shown)
+            path = path if name in INLINE else _hash(f"{path}/{shown}")
         if name in RAW:  # its content is no markup
             low = low or html.lower()
             end = low.find(f"</{name}", at)
@@ -182,38 +192,39 @@ def host_of(url: str | None) -> str:
     return match[1].lower() if match else ""
 
 
-def _hash(text: str) -> int:
-    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+PAGE = pa.schema({"host": pa.string(), "page": pa.int64(), "style_path": pa.list_(pa.int64()), "style_key": pa.list_(pa.int64()), "path": pa.list_(pa.int64()), "key": pa.list_(pa.int64()), "prior": pa.list_(pa.float64()), "main": pa.list_(pa.int32())})
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (host, path, kind, key) of a page without main content: kind 0 its style nodes, 1 its blocks, 2 the page."""
+    """Of each page its host, a hash of its blocks, its style nodes, and its blocks with their prior importance."""
     for batch in batches:
         rows: list[tuple] = []
         for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             blocks, children = page_blocks(html or "")
-            if any(b.main for b in blocks):
-                continue
-            host = host_of(url)
-            rows.append((host, "", 2, 0))
-            rows += [(host, path, 0, _hash(" ".join(x))) for path, x in children.items()]
-            rows += {(host, b.path, 1, b.key) for b in blocks}
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.string(), pa.string(), pa.int32(), pa.int64()))], ["host", "path", "kind", "key"])
+            outside = OUTSIDE if any(b.main for b in blocks) else 1.0
+            own = {(b.path, b.key): b.main for b in blocks}
+            page = _hash(" ".join(str(key) for _, key in sorted(own)))
+            rows.append((host_of(url), page, list(children), [_hash(" ".join(x)) for x in children.values()], [path for path, _ in own], [key for _, key in own], [1.0 if x else outside for x in own.values()], list(map(int, own.values()))))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(PAGE), PAGE.types)], schema=PAGE)
 
 
 def low_branches(pages: DataFrame) -> DataFrame:
-    """(host, low): per host the keys of blocks whose branch has low composite importance."""
-    facts = stage(pages.select("url", "html").mapInArrow(_facts, "host string, path string, kind int, key long"), "style")
-    counts = facts.groupBy("host", "path", "kind", "key").agg(F.count("*").cast("double").alias("c"))
-    m = counts.where("kind = 2").select("host", F.col("c").alias("m")).where(F.col("m") >= FEWEST_PAGES)
-    shown = counts.where("kind < 2").join(m, "host")
+    """(host, low): per host the keys of blocks whose composite importance is low."""
+    kinds = "host string, page long, style_path array<long>, style_key array<long>, path array<long>, key array<long>, prior array<double>, main array<int>"
+    facts = stage(pages.select("url", "html").mapInArrow(_facts, kinds), "style").dropDuplicates(["host", "page"])
+    facts = stage(facts, "style-pages")
+    m = facts.groupBy("host").agg(F.count("*").cast("double").alias("m"))
+    block = facts.select("host", F.explode(F.arrays_zip("path", "key", "prior", "main")).alias("b")).groupBy("host", "b.path", "b.key").agg(F.count("*").cast("double").alias("c"), F.avg("b.prior").alias("prior"), F.avg("b.main").alias("main"))
+    block = block.where("c > 1")  # what one page shows has a content importance of 1
+    shown = facts.select("host", F.explode(F.arrays_zip("style_path", "style_key")).alias("s")).groupBy("host", F.col("s.style_path").alias("path"), F.col("s.style_key").alias("key")).agg(F.count("*").cast("double").alias("c"))
+    style = shown.groupBy("host", "path").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
     # entropy to base m: of an element over the pages that show it, and of a block over the pages that repeat it
-    style = shown.where("kind = 0").groupBy("host", "path", "m").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
-    style = style.select("host", "path", ((F.log("n") - F.col("clogc") / F.col("n")) / F.log("m")).alias("style"))
-    block = shown.where("kind = 1").withColumn("content", 1 - F.log("c") / F.log("m")).select("host", "path", "key", "content")
-    both = block.join(style, ["host", "path"], "left")
-    importance = (1 - GAMMA) * F.coalesce("style", F.lit(0.0)) + GAMMA * F.col("content")
-    return both.where(importance < LOW).groupBy("host").agg(F.collect_list("key").alias("low"))
+    both = block.join(style, ["host", "path"], "left").join(m, "host")
+    presentation = F.coalesce((F.log("n") - F.col("clogc") / F.col("n")) / F.log("m"), F.lit(0.0))
+    repeated = F.col("main") * F.col("c") / F.col("m") + (1 - F.col("main")) * F.log("c") / F.log("m")
+    measured = (1 - GAMMA) * presentation + GAMMA * (1 - repeated)
+    importance = (PRIOR_PAGES * F.col("prior") + F.col("m") * measured) / (PRIOR_PAGES + F.col("m"))
+    return stage(both.where(importance < LOW).groupBy("host").agg(F.collect_list("key").alias("low")), "low")
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,9 +232,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for html, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             blocks, _ = page_blocks(html or "")
-            if any(b.main for b in blocks):
-                blocks = [b for b in blocks if b.main]
-            elif low:
+            if low:
                 low = set(low)
                 blocks = [b for b in blocks if b.key not in low]
             texts.append(" ".join(b.text for b in blocks).encode("utf-8", "replace").decode())
@@ -234,15 +243,20 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """page_id, url, text, n_chars of every row.
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined by one space.
-    A null html counts as empty and gives an empty text; a page without main content gives what its host's tree leaves.
+    A null html counts as empty and gives an empty text; a page gives what its host's tree leaves.
     Null urls share a host of their own. Markup may be broken anywhere. Repeated rows each give a row; other columns
     are ignored; an empty table gives no rows.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    low = low_branches(rows).withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("host", "of_")
+    low = low_branches(rows).withColumnRenamed("host", "of_")
     host = F.lower(F.coalesce(F.regexp_extract("url", r"://([^/?#]*)", 1), F.lit("")))
-    salt = F.pmod(F.xxhash64("url", "page_id"), F.lit(SALTS)).cast("int")
-    joined = rows.join(low, (host == F.col("of_")) & (salt == F.col("salt_")), "left").select("page_id", "url", "html", "low")
+    if (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= FEW_LOW:
+        joined = rows.join(F.broadcast(low), host == F.col("of_"), "left")
+    else:
+        low = low.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("url", "page_id"), F.lit(SALTS)).cast("int")
+        joined = rows.join(low, (host == F.col("of_")) & (salt == F.col("salt_")), "left")
+    joined = joined.select("page_id", "url", "html", "low")
     return joined.mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
 
 

@@ -307,6 +307,16 @@ def test_pages_of_the_table(spark):
         assert got[r.page_id] == " ".join(html.unescape(re.sub("<[^>]+>", lambda m: "" if re.match("</?b>", m[0]) else " ", inside)).split())
 
 
+def test_articles_are_pruned_and_not_the_only_text(spark):
+    page = "<article><p>Own {0}</p><div><p>The same notice</p></div></article><div><p>Outside {0}</p></div><div><p>Again outside</p></div>"
+    rows = [(i, f"http://a.org/{i}", page.format(i), None) for i in range(12)]
+    rows += [(20, "http://b.org/", "<article><p>Teaser</p></article><div><p>The body</p></div>", None)]
+    rows += [(30 + i, f"http://c.org/?session={i}", "<article><p>One page</p></article>", None) for i in range(12)]
+    got = {r.page_id: r.text for r in site_style.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
+    assert [got[i] for i in range(12)] == [f"Own {i} Outside {i}" for i in range(12)]
+    assert got[20] == "Teaser The body" and {got[30 + i] for i in range(12)} == {"One page"}
+
+
 #: The contract's expressions; a group too short is found and dropped.
 BASE = {"assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), "access": ("AKIA[A-Z0-9]+", 0, 20), "hex": ("[0-9a-f]+", 0, 24)}
 
