@@ -282,6 +282,15 @@ def test_segmentation():
     assert url_filter.segment("zqxzqx", model) == ["zqxzqx"] and url_filter.segment("", model) == []
 
 
+def test_words_of_the_corpus_stay_whole(spark):
+    clean = ["winter", "window", "between", "alphabet", "population", "together", "hotel", "both", "twins", "uploads"]
+    urls = [f"http://s{i}.site{chr(97 + i)}.net/{word}/" for word in clean for i in range(4)]
+    urls += [f"http://onlinecasino.{end}/" for end in ("com", "net", "info", "biz")] + ["http://casinowinter.net/", "http://winterwindow.net/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(df).collect()}
+    assert [got[i] for i in range(len(urls))] == ["allow"] * 40 + ["block"] * 5 + ["allow"]
+
+
 PAGES = "page_id long, url string, html string, text string"
 
 
