@@ -1,8 +1,11 @@
-"""License scans: Dice coefficient over word bigrams between licence templates and a text's lines and whole.
+"""License scans: Dice coefficient over word bigrams between licence templates and a text's lines, whole and windows.
 
 Texts are normalised to lower-case runs of letters and digits. A unit (a line, or the whole text) with a bigrams can
 reach a coefficient t with a template of b bigrams only when t / (2 - t) <= a / b <= (2 - t) / t; other templates are
-pruned by size before any bigram is compared.
+pruned by size before any bigram is compared. Windows of the whole text's bigrams, lines ignored, find notices that are
+wrapped or stand among other words: of all windows of a template's size bounds, those that begin at one of its bigrams.
+Others are no better for what comes before. A window that reaches the coefficient shares the fewest bigrams of the
+bounds at least, so texts and windows that share fewer are left out.
 
 Scale: built-in functions only, one pass, no shuffle. Templates are a parameter of fixed size.
 """
@@ -66,6 +69,23 @@ def _coefficients(template: list[str], fewest: int, most: int) -> Column:
     return F.transform(fits, lambda g: F.lit(2.0) * F.size(F.array_intersect(g, own)) / (F.size(g) + len(template)))
 
 
+def _best_window(template: list[str], fewest: int, most: int) -> Column:
+    """The best Dice coefficient of windows of fewest to most of the text's pairs_; 0 where it shares too few."""
+    own = F.array(*map(F.lit, template))
+    enough = lambda grams: F.size(F.array_intersect(grams, own)) >= fewest
+    starts = F.filter(F.transform("pairs_", lambda p, i: F.when(F.array_contains(own, p), i)), lambda i: i.isNotNull())
+    # repeated passages are compared once
+    windows = F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("pairs_", i + 1, F.lit(most)), ",")))
+    windows = F.filter(F.transform(windows, lambda w: F.split(w, ",")), enough)
+
+    def dice(window: Column, n: Column) -> Column:
+        grams = F.array_distinct(F.slice(window, F.lit(1), n))
+        return F.lit(2.0) * F.size(F.array_intersect(grams, own)) / (F.size(grams) + len(template))
+
+    best = F.array_max(F.transform(windows, lambda w: F.array_max(F.transform(F.sequence(F.lit(fewest), F.size(w)), lambda n: dice(w, n)))))
+    return F.when(enough(F.col("known_")), F.coalesce(best, F.lit(0.0))).otherwise(F.lit(0.0))
+
+
 def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license (of the best match, ties by name; else null), similarity (else 0), licenses (all found, sorted).
 
@@ -80,9 +100,13 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     df = df.withColumn("units_", F.transform(units, lambda u: F.filter(F.split(u, r"[^\p{L}\p{N}]+"), lambda w: w != "")))
     # a unit of w words has at most w - 1 bigrams; one with many more words than bigrams repeats itself
     df = df.withColumn("grams_", F.filter(F.transform(F.filter("units_", lambda w: F.size(w) > low), _bigrams), lambda g: F.size(g).between(low, high)))
+    # the last unit is the whole text
+    words = F.element_at("units_", -1)
+    df = df.withColumn("pairs_", F.filter(F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)), lambda p: p.isNotNull()))
+    df = df.withColumn("known_", F.array_intersect("pairs_", F.array(*map(F.lit, sorted({g for _, grams in known for g in grams})))))
     found = []
     for (name, grams), bound in zip(known, bounds):
-        found.append(F.struct(F.coalesce(F.array_max(_coefficients(grams, *bound)), F.lit(0.0)).alias("dice"), F.lit(name).alias("name")))
+        found.append(F.struct(F.greatest(F.array_max(_coefficients(grams, *bound)), _best_window(grams, *bound)).alias("dice"), F.lit(name).alias("name")))
     df = df.withColumn("found_", F.filter(F.array(*found), lambda x: x["dice"] >= least))
     best = F.array_max(F.transform("found_", lambda x: x["dice"]))
     df = df.withColumn("best_", best)

@@ -218,6 +218,17 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(docs(spark, [])).count() == 0
 
 
+def test_notices_are_found_among_other_words(spark):
+    wrapped = lambda text: "\n * ".join(re.findall(r".{1,30}(?:\s|$)", text))
+    names = [n for n, _ in license_scan.TEMPLATES]
+    texts = [f"Some code here.\n{wrapped(t)}\nint main() and {prose(random.Random(1), 300)}" for _, t in license_scan.TEMPLATES]
+    texts += ["2020 Jane Doe. Licensed under CC BY 4.0.", f"{prose(random.Random(2), 200)} Licensed under CC BY 4.0. {prose(random.Random(3), 200)}", "Licensed under nobody. " * 50]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs(spark, texts)).collect()}
+    for i, name in enumerate(names):
+        assert name in got[i].licenses.split(",") and got[i].similarity == 1
+    assert [got[len(names) + i].license for i in range(3)] == ["CC-BY-4.0", "CC-BY-4.0", None]
+
+
 def fill(capacity, weight, budget):
     got, open_ = dict.fromkeys(capacity, 0.0), set(capacity)
     while budget > 1e-9 and open_:
