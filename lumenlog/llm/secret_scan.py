@@ -47,6 +47,10 @@ RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 27, 0),
 )
 
+#: What redaction takes besides a match: of a private key all up to its END line, or the lines of base64 and headers
+#: that follow where it has none.
+BODIES = {"pem": r"(?:(?:(?!-----(?:BEGIN|END) )[\s\S])*+-----END [A-Z ]{0,40}PRIVATE KEY-----|(?:\s*(?:(?:Proc-Type|DEK-Info): [^\r\n]*+|[A-Za-z0-9+/=]{16,}+|[A-Za-z0-9+/]++={1,2}+)(?=\s|$))*+)"}  # possessive: no stack for long texts
+
 Query = frozenset  # of alternatives, each a frozenset of trigrams; an empty alternative asks for nothing
 _ALL: Query = frozenset([frozenset()])
 
@@ -182,10 +186,13 @@ def joined_spans(rules: tuple[Rule, ...], base: bool) -> Column:
 
 
 def redact(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The result of find_secrets with what its rules match in text replaced by the rule's name in brackets, rule after rule."""
-    for rule in rules:
+    """The result of find_secrets with what its rules match in text replaced by the rule's name in brackets, rule after rule.
+
+    Rules of BODIES come first, as others would break up what follows their matches.
+    """
+    for rule in sorted(rules, key=lambda r: r.kind not in BODIES):
         long_enough = rule.pattern.replace("-]+)", f"-]{{{rule.least},}})") if rule.group else rule.pattern
-        found = found.withColumn("text", F.when(F.size(f"spans_{rule.kind}") > 0, F.regexp_replace("text", long_enough, f"[{rule.kind}]")).otherwise(F.col("text")))
+        found = found.withColumn("text", F.when(F.size(f"spans_{rule.kind}") > 0, F.regexp_replace("text", long_enough + BODIES.get(rule.kind, ""), f"[{rule.kind}]")).otherwise(F.col("text")))
     return found
 
 

@@ -358,6 +358,14 @@ def test_secrets(spark):
     assert secret_scan.find_secrets(docs(spark, [])).count() == 0
 
 
+def test_private_keys_are_redacted_whole(spark):
+    head, body, end = "-----BEGIN RSA PRIVATE KEY-----", "\n".join(["MIIEowIBAAKCAQEAabcd" * 3] * 30), "-----END RSA PRIVATE KEY-----"
+    texts = [f"a\n{head}\n{body}\nab==\n{end}\nb", f"a\n{head}\n{body}\nab==\nb c", f"{head} and {head}\n{body}\n{end} c", head + " long text" * 20000, f"{head}\n{body * 50}\n{end}"]
+    found = secret_scan.find_secrets(docs(spark, texts))
+    clean = {r.doc_id: r.text for r in secret_scan.redact(found).collect()}
+    assert [clean[i] for i in range(5)] == ["a\n[pem]\nb", "a\n[pem]\nb c", "[pem] and [pem] c", "[pem]" + " long text" * 20000, "[pem]"]
+
+
 def test_trigram_queries():
     assert secret_scan.trigram_query("[0-9a-f]{24,}") == frozenset([frozenset()])
     assert secret_scan.trigram_query("AKIA[A-Z0-9]{16,}") == frozenset([frozenset({"aki", "kia"})])
