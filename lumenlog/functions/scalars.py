@@ -35,14 +35,21 @@ def stable_id_md5(c: Column) -> Column:
 def _blake2b_63(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     mask = (1 << 63) - 1
     for s in parts:
-        yield s.map(lambda x: None if x is None else int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "big") & mask).astype("Int64")
+        codes, distinct = pd.factorize(s)  # a batch hashes each text once
+        ids = pd.array([int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "big") & mask for x in distinct] + [None], "Int64")
+        yield pd.Series(ids.take(codes))
 
 
 def stable_id(c: Column) -> Column:
-    """63 bits of a BLAKE2b digest of the text; apply to distinct ids and join where there are few."""
+    """63 bits of a BLAKE2b digest of the text; null stays null."""
     return _blake2b_63(c)
 
 
+def needed_id(c: Column) -> Column:
+    """The trimmed text of an id; null or blank fails the query."""
+    return F.when(F.trim(c) != "", F.trim(c)).otherwise(F.raise_error(F.lit("an id is missing")).cast("string"))
+
+
 def parse_timestamp(c: Column) -> Column:
     """Numbers are truncated, their unit kept; dates are read as UTC and give epoch seconds; anything else fails."""
     number = c.try_cast("double")

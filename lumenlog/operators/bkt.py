@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 START = (0.25, 0.25, 0.2, 0.2)  # init, learn, guess, slip
 BOUNDS = (0.05, 0.95)
 GRID = (0.1, 0.35, 0.6, 0.85)
+LINE = 17  # points of a line search
+BLOCK = 2048  # outcome strings that are walked at once
 
 
 def outcomes(train: DataFrame, keys: list[str], least: int = 4) -> DataFrame:
@@ -29,53 +33,49 @@ def padded(texts: list[str]) -> np.ndarray:
     return rows
 
 
-def loss(params: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> float:
-    """Negative log likelihood of the outcome rows, each as often as its weight."""
-    init, learn, guess, slip = params
-    total, know = 0.0, np.full(len(rows), init)
-    for y in rows.T:
-        live = y >= 0
-        if not live.any():
-            break
-        right = know * (1 - slip) + (1 - know) * guess
-        p = np.clip(np.where(y == 1, right, 1 - right), 1e-9, 1 - 1e-9)
-        total -= float((weights * np.log(p))[live].sum())
-        after = know * np.where(y == 1, 1 - slip, slip) / p
-        know = np.clip(after + (1 - after) * learn, 1e-9, 1 - 1e-9)
+def losses(params: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Negative log likelihoods of the outcome rows, each as often as its weight, for each row of params at once."""
+    init, learn, guess, slip = (params[:, k, None] for k in range(4))
+    total = np.zeros(len(params))
+    for at in range(0, len(rows), BLOCK):
+        part, often = rows[at : at + BLOCK], weights[at : at + BLOCK]
+        know = np.repeat(init, len(part), 1)
+        for y in part.T:
+            live = y >= 0
+            if not live.any():
+                break
+            hit = y == 1
+            right = know * (1 - slip) + (1 - know) * guess
+            p = np.clip(np.where(hit, right, 1 - right), 1e-9, 1 - 1e-9)
+            total -= np.log(p[:, live]) @ often[live]
+            after = know * np.where(hit, 1 - slip, slip) / p
+            know = np.clip(after + (1 - after) * learn, 1e-9, 1 - 1e-9)
     return total
 
 
+def loss(params: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> float:
+    return float(losses(np.asarray(params, float)[None], rows, weights)[0])
+
+
 def fit_one(texts: list[str], counts: list[int], rounds: int = 12) -> tuple[np.ndarray, float, float]:
-    """Parameters, loss, and loss at START: the best point of a coarse grid, then golden sections along each coordinate."""
+    """Parameters, loss, and loss at START: the best point of a coarse grid, then ever finer lines along each coordinate."""
     rows, weights = padded(texts), np.array(counts, float)
-    first = loss(np.array(START), rows, weights)
-    best = min([np.array(START), *map(np.array, product(GRID, repeat=4))], key=lambda x: loss(x, rows, weights))
-    value = loss(best, rows, weights)
-    golden = (np.sqrt(5) - 1) / 2
+    start = np.array([START, *product(GRID, repeat=4)])
+    values = losses(start, rows, weights)
+    first, best, value = float(values[0]), start[values.argmin()].copy(), float(values.min())
     for _ in range(rounds):
         was = value
         for k in range(4):
             low, high = BOUNDS
-            trial = best.copy()
-
-            def at(x: float, trial=trial, k=k) -> float:
-                trial[k] = x
-                return loss(trial, rows, weights)
-
-            a, b = high - golden * (high - low), low + golden * (high - low)
-            fa, fb = at(a), at(b)
             while high - low > 2e-3:
-                if fa < fb:
-                    high, b, fb = b, a, fa
-                    a = high - golden * (high - low)
-                    fa = at(a)
-                else:
-                    low, a, fa = a, b, fb
-                    b = low + golden * (high - low)
-                    fb = at(b)
-            x, f = (a, fa) if fa < fb else (b, fb)
-            if f < value:
-                best[k], value = x, f
+                line = np.repeat(best[None], LINE, 0)
+                line[:, k] = np.linspace(low, high, LINE)
+                values = losses(line, rows, weights)
+                at = int(values.argmin())
+                step = (high - low) / (LINE - 1)
+                low, high = max(BOUNDS[0], line[at, k] - step), min(BOUNDS[1], line[at, k] + step)
+                if values[at] < value:
+                    best, value = line[at].copy(), float(values[at])
         if was - value < 1e-5 * max(1.0, abs(was)):
             break
     return best, value, first
@@ -100,29 +100,51 @@ def fit(train: DataFrame, keys: list[str], least_obs: int = 30) -> DataFrame:
     return outcomes(train, keys).groupBy(*keys, "kc_id").applyInPandas(run, kinds)
 
 
-def step(know: Column, y: Column, learn: Column, guess: Column, slip: Column) -> tuple[Column, Column]:
-    """The probability of a right answer, and the belief after the outcome."""
-    right = know * (1 - slip) + (1 - know) * guess
-    safe = lambda c: F.greatest(F.least(c, F.lit(1 - 1e-9)), F.lit(1e-9))
-    after = F.when(y == 1, know * (1 - slip) / safe(right)).otherwise(know * slip / safe(1 - right))
-    return right, safe(after + (1 - after) * learn)
-
-
-def predict(rows: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds p, the probability of a right answer before each outcome of s. All sequences of a batch go one step at a time."""
+    for batch in batches:
+        column = lambda name: batch.column(batch.schema.names.index(name))  # noqa: E731, B023
+        seqs = column("s")
+        sizes = seqs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        y = seqs.flatten().to_numpy(zero_copy_only=False)
+        know, learn, guess, slip, mean = (column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("p_init", "p_learn", "p_guess", "p_slip", "mean"))
+        starts = np.cumsum(sizes) - sizes
+        order = np.argsort(-sizes, kind="stable")
+        out, longest = np.zeros(len(y)), sizes[order]
+        for t in range(int(sizes.max()) if len(sizes) else 0):
+            live = order[: np.searchsorted(-longest, -t, "left")]  # sequences of more than t outcomes
+            at = starts[live] + t
+            right = know[live] * (1 - slip[live]) + (1 - know[live]) * guess[live]
+            out[at] = right
+            hit = y[at] == 1
+            p = np.clip(np.where(hit, right, 1 - right), 1e-9, 1 - 1e-9)
+            after = know[live] * np.where(hit, 1 - slip[live], slip[live]) / p
+            know[live] = np.clip(after + (1 - after) * learn[live], 1e-9, 1 - 1e-9)
+        out = np.where(np.isnan(out), np.repeat(mean, sizes), out)  # components without parameters
+        probs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(out))
+        yield pa.RecordBatch.from_arrays([*batch.columns, probs], [*batch.schema.names, "p"])
+
+
+def predict(rows: DataFrame, params: DataFrame, keys: list[str], train: DataFrame | None = None, default: float | None = None) -> DataFrame:
     """keys, user_id, kc_id, pos, y_true, y_prob: each learner's outcomes on a component foretold before it is seen.
 
-    params has the four parameters by keys and kc_id; a component without is foretold by its rows' mean outcome.
-    A learner's rows on one component are one array, walked by a fold.
+    train: rows that each learner's belief is brought through first. params has the four parameters by keys and kc_id; a
+    component without is foretold by train's mean outcome of the keys, by `default` without train (0.5 if none).
+    A learner's rows on one component are one array; tasks walk the arrays of a batch side by side.
     """
-    seqs = rows.groupBy(*keys, "user_id", "kc_id").agg(F.sort_array(F.collect_list(F.struct("timestamp", "seq", "correct"))).alias("s"))
-    mean = rows.groupBy(*keys).agg(F.avg("correct").alias("mean"))
-    seqs = seqs.join(params.select(*keys, "kc_id", "p_init", "p_learn", "p_guess", "p_slip"), [*keys, "kc_id"], "left").join(F.broadcast(mean), keys)  # a row a fold
-    start = F.struct(F.col("p_init").alias("know"), F.array().cast("array<double>").alias("out"))
-
-    def merge(acc: Column, x: Column) -> Column:
-        right, know = step(acc["know"], x["correct"], F.col("p_learn"), F.col("p_guess"), F.col("p_slip"))
-        return F.struct(know.alias("know"), F.concat(acc["out"], F.array(right)).alias("out"))
-
-    probs = F.aggregate("s", start, merge, lambda a: a["out"])
-    each = seqs.select(*keys, "user_id", "kc_id", "mean", F.posexplode(F.arrays_zip(F.transform("s", lambda x: x["correct"]).alias("y"), probs.alias("p"))).alias("pos", "e"))
-    return each.select(*keys, "user_id", "kc_id", "pos", F.col("e.y").alias("y_true"), F.coalesce("e.p", "mean").alias("y_prob"))
+    own = [*keys, "user_id", "kc_id", "timestamp", "seq", "correct"]
+    each = rows.select(*own, F.lit(1).alias("held"))
+    if train is not None:
+        each = each.union(train.select(*own, F.lit(0)))
+    seqs = each.groupBy(*keys, "user_id", "kc_id").agg(F.sort_array(F.collect_list(F.struct("held", "timestamp", "seq", "correct"))).alias("s"), F.count_if(F.col("held") == 0).cast("int").alias("before"))
+    seqs = seqs.where(F.size("s") > F.col("before")).withColumn("s", F.transform("s", lambda x: x["correct"].cast("int")))
+    seqs = seqs.join(params.select(*keys, "kc_id", "p_init", "p_learn", "p_guess", "p_slip"), [*keys, "kc_id"], "left")
+    if train is None:
+        seqs = seqs.withColumn("mean", F.lit(0.5 if default is None else default))
+    else:
+        mean = train.groupBy(*keys).agg(F.avg("correct").alias("mean"))
+        seqs = seqs.join(F.broadcast(mean), keys, "left").withColumn("mean", F.coalesce("mean", F.lit(0.5)))  # a row a fold
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in seqs.schema.fields)
+    walked = seqs.mapInArrow(_walked, f"{kinds}, p array<double>")
+    out = walked.select(*keys, "user_id", "kc_id", "before", F.posexplode(F.arrays_zip(F.col("s").alias("y"), F.col("p").alias("p"))).alias("at", "e")).where("at >= before")
+    return out.select(*keys, "user_id", "kc_id", (F.col("at") - F.col("before")).alias("pos"), F.col("e.y").cast("long").alias("y_true"), F.col("e.p").alias("y_prob"))

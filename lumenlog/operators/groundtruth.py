@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlog.functions import scalars as S
@@ -11,10 +11,17 @@ from lumenlog.sources.staging import stage
 TOP_K = (200, 500, 800, 1200, 1800, 2500, 3500, 5000)
 
 
-def ranked(inferred: DataFrame) -> DataFrame:
-    """(src_kc, dst_kc, support, rank_): by support, ties by ids. The table was cut to max_edges when it was inferred."""
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("support"), "src_kc", "dst_kc")
-    return inferred.select("src_kc", "dst_kc", "support", F.row_number().over(order).alias("rank_"))
+def by_strength(edges: DataFrame) -> list[Column]:
+    """The order of inferred edges: by support, else by weight, strongest first, ties by ids; by ids alone without either."""
+    strength = next((c for c in ("support", "weight") if c in edges.columns), None)
+    return [*([F.desc(strength)] if strength else []), F.col("src_kc"), F.col("dst_kc")]
+
+
+def ranked(inferred: DataFrame, most: int) -> DataFrame:
+    """The strongest `most` edges with rank_ from 1: each task keeps its own strongest, so one task ranks `most` rows."""
+    order = by_strength(inferred)
+    first = inferred.orderBy(*order).limit(max(0, most))
+    return first.withColumn("rank_", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
 
 
 def align(expert: DataFrame, train: DataFrame) -> DataFrame:
@@ -27,9 +34,16 @@ def align(expert: DataFrame, train: DataFrame) -> DataFrame:
     return expert.select("src_kc", "dst_kc", status.alias("status"))
 
 
+def alignment_report(aligned: DataFrame) -> DataFrame:
+    """One row: expert edges by status and the share of matched ones (0 without edges)."""
+    count = lambda s: F.count_if(F.col("status") == s).alias(s)
+    n = aligned.agg(*map(count, ("matched", "missing_src", "missing_dst", "missing_both")), F.count("*").alias("n"))
+    return n.select("matched", "missing_src", "missing_dst", "missing_both", S.ratio(F.col("matched").cast("double"), F.col("n")).alias("alignment_rate"))
+
+
 def top_edges(inferred: DataFrame, ks) -> DataFrame:
     """(top_k, src_kc, dst_kc): the first k edges for each k, a row an edge and k."""
-    each = ranked(inferred).withColumn("top_k", F.explode(F.array(*(F.lit(k) for k in ks))))
+    each = ranked(inferred, max(ks)).withColumn("top_k", F.explode(F.array(*(F.lit(k) for k in ks))))
     return each.where("rank_ <= top_k").select("top_k", "src_kc", "dst_kc").distinct()
 
 
@@ -95,29 +109,46 @@ def overlap_metrics(inferred: DataFrame, expert: DataFrame, ks) -> DataFrame:
 
 
 def hits_at_k(inferred: DataFrame, expert: DataFrame, ks) -> DataFrame:
-    """k, directed_hits, undirected_hits, directed_precision (of the undirected hits), directed_recall (of expert rows)."""
+    """k, directed_hits, undirected_hits, directed_precision (of the undirected hits), directed_recall (of expert rows).
+
+    Each of the first k edges counts by itself, so both directions of a pair are two undirected hits.
+    """
     directed = expert.select("src_kc", "dst_kc").distinct().withColumn("d", F.lit(1))
     pairs = expert.select(F.least("src_kc", "dst_kc").alias("a"), F.greatest("src_kc", "dst_kc").alias("b")).distinct().withColumn("u", F.lit(1))
     each = top_edges(inferred, ks).join(directed, ["src_kc", "dst_kc"], "left").withColumn("a", F.least("src_kc", "dst_kc")).withColumn("b", F.greatest("src_kc", "dst_kc")).join(pairs, ["a", "b"], "left")
-    n = each.groupBy("top_k").agg(F.count("d").alias("directed_hits"), F.count_distinct(F.when(F.col("u") == 1, F.struct("a", "b"))).alias("undirected_hits"))
+    n = each.groupBy("top_k").agg(F.count("d").alias("directed_hits"), F.count("u").alias("undirected_hits"))
     rows = expert.agg(F.count("*").alias("rows"))
     return n.crossJoin(F.broadcast(rows)).select(F.col("top_k").alias("k"), "directed_hits", "undirected_hits", S.ratio(F.col("directed_hits").cast("double"), F.col("undirected_hits")).alias("directed_precision"), S.ratio(F.col("directed_hits").cast("double"), F.col("rows")).alias("directed_recall"))  # rows is one row
 
 
-def disagreement(inferred: DataFrame, expert: DataFrame, n: int = 20) -> DataFrame:
-    """category, rank, src_kc, dst_kc, score: the first n edges of only one graph, and of opposite direction."""
-    i = inferred.select("src_kc", "dst_kc", F.col("support").cast("double").alias("score")).distinct()
-    e = expert.select("src_kc", "dst_kc").distinct()
-    back = e.select(F.col("dst_kc").alias("src_kc"), F.col("src_kc").alias("dst_kc"))
+def disagreement(inferred: DataFrame, expert: DataFrame, n: int = 20, top_k: int = 800, names: DataFrame | None = None) -> DataFrame:
+    """category, rank, src_kc, dst_kc, src_name, dst_name, score: the first n edges of only one graph, and turned ones.
+
+    The inferred graph is its strongest top_k edges. An edge whose opposite the other graph has counts as one that the
+    other lacks and also as wrong_direction. Inferred edges score their support, else their weight, else 0; expert ones their
+    confidence_score, 1 where the table has none. names: (kc_id, name); a component without a name shows its id.
+    """
     both = ["src_kc", "dst_kc"]
+    strength = F.coalesce(*(F.col(c).cast("double") for c in ("support", "weight") if c in inferred.columns), F.lit(0.0))
+    i = ranked(inferred, top_k).select(*both, strength.alias("score")).groupBy(*both).agg(F.max("score").alias("score"))
+    trust = F.col("confidence_score").cast("double") if "confidence_score" in expert.columns else F.lit(1.0)
+    e = expert.select(*both, trust.alias("score"))
+    known = e.select(*both).distinct()
+    back = known.select(F.col("dst_kc").alias("src_kc"), F.col("src_kc").alias("dst_kc"))
     parts = {
-        "inferred_only": i.join(e, both, "left_anti").join(back, both, "left_anti"),
-        "expert_only": e.join(i, both, "left_anti").join(i.select(F.col("dst_kc").alias("src_kc"), F.col("src_kc").alias("dst_kc")), both, "left_anti").withColumn("score", F.lit(0.0)),
-        "wrong_direction": i.join(e, both, "left_anti").join(back, both, "left_semi"),
+        "inferred_only": i.join(known, both, "left_anti"),
+        "expert_only": e.join(i.select(*both), both, "left_anti"),
+        "wrong_direction": i.join(known, both, "left_anti").join(back, both, "left_semi"),
     }
     out = None
     for name, part in parts.items():
         part = part.select(F.lit(name).alias("category"), *both, "score")
         out = part if out is None else out.union(part)
     order = Window.partitionBy("category").orderBy(F.desc("score"), *both)
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("category", "rank", *both, "score")
+    out = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    for end, name in (("src_kc", "src_name"), ("dst_kc", "dst_name")):
+        if names is None:
+            out = out.withColumn(name, F.col(end).cast("string"))
+        else:
+            out = out.join(names.select(F.col("kc_id").alias(end), F.col("name").alias(name)), end, "left").withColumn(name, F.coalesce(name, F.col(end).cast("string")))
+    return out.select("category", "rank", *both, "src_name", "dst_name", "score")

@@ -10,19 +10,25 @@ from pyspark.sql import functions as F
 from lumenlog.functions import scalars as S
 
 
+BUCKETS = 4096
+
+
 def metrics(pred: DataFrame, keys: list[str], eps: float = 1e-4) -> DataFrame:
     """keys, n, auc (tie-aware; null for one class), acc, nll.
 
-    Rows are first summed by score, so what is ranked is the distinct scores of a group, not its rows.
+    Rows are summed by score, scores are ranked inside BUCKETS ranges of the score, and the ranges before add their
+    counts, so no task ranks a whole group.
     """
     p = S.clip(F.col("y_prob"), eps)
     y = F.col("y_true")
     loss = -(y * F.log(p) + (1 - y) * F.log(1 - p))
     by = pred.groupBy(*keys, "y_prob").agg(F.count("*").alias("n"), F.sum("y_true").alias("pos"), F.sum(loss).alias("loss"), F.sum(((F.col("y_prob") >= 0.5) == (y == 1)).cast("long")).alias("right"))
-    below = F.sum(F.col("n") - F.col("pos")).over(Window.partitionBy(*keys).orderBy("y_prob")) - (F.col("n") - F.col("pos"))
-    won = F.col("pos") * (below + (F.col("n") - F.col("pos")) / 2)
-    s = by.withColumn("won", won).groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum("won").alias("won"), F.sum("loss").alias("loss"), F.sum("right").alias("right"))
     neg = F.col("n") - F.col("pos")
+    sums = lambda df, *by: df.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("n", "pos", "won", "loss", "right")))
+    before = lambda *part, order: F.sum(neg).over(Window.partitionBy(*part).orderBy(order)) - neg
+    by = by.withColumn("bucket_", F.floor(F.col("y_prob") * BUCKETS))
+    ranges = sums(by.withColumn("won", F.col("pos") * (before(*keys, "bucket_", order="y_prob") + neg / 2)), *keys, "bucket_")
+    s = sums(ranges.withColumn("won", F.col("won") + F.col("pos") * before(*keys, order="bucket_")), *keys)
     auc = F.when((F.col("pos") > 0) & (neg > 0), F.col("won") / (F.col("pos") * neg))
     return s.select(*keys, "n", auc.alias("auc"), (F.col("right") / F.col("n")).alias("acc"), (F.col("loss") / F.col("n")).alias("nll"))
 
@@ -45,6 +51,31 @@ def fold_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count_distinct("fold").alias("n_folds"), F.sum("n").alias("n_eval"), *means)
 
 
+def fold_report(rows: DataFrame, keys: list[str], n: int = 1000, seed: int = 42) -> DataFrame:
+    """fold_summary with bootstrap intervals of each mean; rows have a metric row a fold."""
+    out = fold_summary(rows, keys)
+    for c in ("auc", "acc", "nll"):
+        ci = bootstrap_ci(rows, keys, c, n, seed).select(*keys, F.col("ci_low").alias(f"{c}_ci_low"), F.col("ci_high").alias(f"{c}_ci_high"))
+        out = out.join(ci, keys, "left")
+    return out
+
+
+def leakage_mean(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean of the four leakage metrics over folds."""
+    return rows.groupBy(*keys).agg(*(F.avg(c).alias(c) for c in ("ecr_flag", "ecr_overlap", "eoc", "tbvr")))
+
+
+def cold_start_mean(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Unweighted means over folds and strata, and all rows that they tell of."""
+    return rows.groupBy(*keys).agg(*(F.avg(c).alias(c) for c in ("auc", "acc", "nll")), F.sum("n").alias("n"))
+
+
+def reported(rows: DataFrame, construction: str = "train_only") -> DataFrame:
+    """Rows that reports show: a data set that is neither null nor blank, one graph construction where rows tell it."""
+    rows = rows.where(F.trim("dataset") != "")
+    return rows.where(F.trim("graph_construction") == construction) if "graph_construction" in rows.columns else rows
+
+
 def ablation(train_only: DataFrame, full_log: DataFrame) -> DataFrame:
     """Mean AUC and accuracy by graph, and the mean of the paired differences by fold."""
     a = train_only.select("fold", "model", F.col("auc").alias("a"), F.col("acc").alias("b"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlog.functions import scalars as S
@@ -28,8 +28,8 @@ GRAPH_MODELS = tuple(m for m, w in WEIGHTS.items() if "graph" in w)
 
 def rates(train: DataFrame, key: str, alpha: float = ALPHA) -> DataFrame:
     """(fold, key, rate, n): outcomes smoothed towards the fold's mean."""
-    g = train.groupBy("fold").agg(F.avg("correct").alias("g"))
     by = train.groupBy("fold", key).agg(F.sum("correct").alias("s"), F.count("*").alias("n"))
+    g = by.groupBy("fold").agg((F.sum("s") / F.sum("n")).alias("g"))
     return by.join(F.broadcast(g), "fold").select("fold", key, ((F.col("s") + alpha * F.col("g")) / (F.col("n") + alpha)).alias("rate"), "n")  # a row a fold
 
 
@@ -39,16 +39,19 @@ def neighbour_rates(edges: DataFrame, kc_rates: DataFrame) -> DataFrame:
     return near.groupBy("fold", F.col("src_kc").alias("kc_id")).agg(F.avg("rate").alias("rate"))
 
 
-def graph_rates(pre: DataFrame, sim: DataFrame, kc_rates: DataFrame) -> DataFrame:
-    """The graph channel: similarity's value before the prerequisites'; without any edge the components' own rates."""
+def graph_rates(pre: DataFrame, sim: DataFrame, kc_rates: DataFrame, own_rates: DataFrame | None = None) -> DataFrame:
+    """The graph channel: similarity's value before the prerequisites'; without any edge the components' own rates.
+
+    kc_rates are the neighbours' rates; own_rates, where they differ, those of the rows that a model may see.
+    """
     a, b = (neighbour_rates(e, kc_rates) for e in (pre, sim))
     both = a.withColumnRenamed("rate", "a").join(b.withColumnRenamed("rate", "b"), ["fold", "kc_id"], "full").select("fold", "kc_id", F.coalesce("b", "a").alias("rate"))
-    bare = kc_rates.join(both.select("fold").distinct(), "fold", "left_anti").select("fold", "kc_id", "rate")
+    bare = (kc_rates if own_rates is None else own_rates).join(both.select("fold").distinct(), "fold", "left_anti").select("fold", "kc_id", "rate")
     return both.union(bare)
 
 
-def channels(train: DataFrame, rows: DataFrame, graph: DataFrame) -> DataFrame:
-    """rows with the six channels; a key that train lacks gets the global mean."""
+def channels(train: DataFrame, rows: DataFrame, graph: DataFrame | None) -> DataFrame:
+    """rows with the six channels; a key that train lacks gets the global mean, as does graph where none is given."""
     g = train.groupBy("fold").agg(F.avg("correct").alias("global"))
     kc = rates(train, "kc_id")
     top = kc.groupBy("fold").agg(F.greatest(F.max("n"), F.lit(1)).alias("top"))
@@ -56,7 +59,10 @@ def channels(train: DataFrame, rows: DataFrame, graph: DataFrame) -> DataFrame:
     out = out.join(kc.select("fold", "kc_id", F.col("rate").alias("kc"), "n"), ["fold", "kc_id"], "left")
     for name, key in (("item", "item_id"), ("user", "user_id")):
         out = out.join(rates(train, key).select("fold", key, F.col("rate").alias(name)), ["fold", key], "left")
-    out = out.join(graph.select("fold", "kc_id", F.col("rate").alias("graph")), ["fold", "kc_id"], "left")
+    if graph is None:
+        out = out.withColumn("graph", F.lit(None).cast("double"))
+    else:
+        out = out.join(graph.select("fold", "kc_id", F.col("rate").alias("graph")), ["fold", "kc_id"], "left")
     for name in ("kc", "item", "user", "graph"):
         out = out.withColumn(name, F.coalesce(name, "global"))
     freq = 0.5 * F.col("global") + 0.5 * F.coalesce("n", F.lit(0)) / F.col("top")
@@ -70,6 +76,12 @@ def blend(model: str):
     return F.round(S.clip(sum((F.lit(w) * F.col(c) for c, w in weights.items()), F.lit(0.0)) / total), 9)
 
 
+def sample(pred: DataFrame, most: int = 5000) -> DataFrame:
+    """The first rows of each fold and model, by learner and order; each task keeps `most` a group before the shuffle."""
+    first = Window.partitionBy("fold", "model").orderBy("user_id", "seq", "item_id", "kc_id")
+    return pred.withColumn("rank_", F.row_number().over(first)).where(F.col("rank_") <= most).drop("rank_")
+
+
 def predictions(features: DataFrame, models: tuple[str, ...] = tuple(WEIGHTS)) -> DataFrame:
     """fold, user_id, item_id, kc_id, seq, y_true, model, y_prob: all models in one pass over the features."""
     each = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), blend(m).alias("y_prob")) for m in models)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.functions import scalars as S
 from lumenlog.operators import bkt, dags, graphs, groundtruth, leakage, metrics, perturb, predict, sequences, splits
+from lumenlog.operators.head import fitted_head
 from lumenlog.sources import logs, raw, sinks
 from lumenlog.sources.staging import stage
 
@@ -16,6 +17,7 @@ SEEDS = (42, 43, 44)
 QUANTILE, TOP_K, MAX_EDGES = 0.9, 5, 5000
 KS = (5, 20, 50)
 FOLD = ["fold"]
+MODELS_WITHOUT_GRAPH = tuple(m for m in predict.WEIGHTS if m not in predict.GRAPH_MODELS)
 
 
 class Audit:
@@ -32,6 +34,11 @@ class Audit:
     def tagged(self) -> DataFrame:
         return splits.tag(self.log, self.assigned)
 
+    def settled(self) -> Audit:
+        """Stages the tagged rows, for queries that read them many times over."""
+        self.tagged = stage(self.tagged, "tagged")
+        return self
+
     def split(self, name: str) -> DataFrame:
         return self.tagged.where(F.col("split") == name)
 
@@ -61,13 +68,39 @@ class Audit:
     def sim_full(self) -> DataFrame:
         return graphs.similarities(graphs.q_matrix(self.log, []), [], source="full_log")
 
+    @cached_property
+    def folds(self) -> DataFrame:
+        """(fold): a row a fold, small by construction."""
+        return self.log.sparkSession.createDataFrame([(i,) for i in range(len(SEEDS))], "fold int")
+
+    def graph_channel(self, full_log: bool = False) -> DataFrame:
+        """Neighbours' rates over train-only graphs, or over full-log graphs with the whole log's rates (a deliberate leak)."""
+        own = predict.rates(self.train, "kc_id")
+        if not full_log:
+            return predict.graph_rates(self.pre, self.sim, own)
+        pooled = stage(predict.rates(self.log.withColumn("fold", F.lit(0)), "kc_id").drop("fold"), "pooled")
+        pre, sim, pooled = (e.crossJoin(F.broadcast(self.folds)) for e in (stage(self.pre_full, "e_pre_full"), stage(self.sim_full, "e_sim_full"), pooled))  # a row a fold
+        return predict.graph_rates(pre, sim, pooled, own)
+
+    def features(self, rows: DataFrame, graph: DataFrame | None) -> DataFrame:
+        return predict.channels(self.train, rows, graph)
+
     def predictions(self, full_log: bool = False, models=tuple(predict.WEIGHTS)) -> DataFrame:
-        pre, sim = self.pre, self.sim
-        if full_log:
-            folds = self.assigned.select("fold").distinct()
-            pre, sim = (e.crossJoin(F.broadcast(folds)) for e in (stage(self.pre_full, "e_pre_full"), stage(self.sim_full, "e_sim_full")))  # a row a fold
-        graph = predict.graph_rates(pre, sim, predict.rates(self.train, "kc_id"))
-        return predict.predictions(predict.channels(self.train, self.held, graph), models)
+        graph = self.graph_channel(full_log) if set(models) & set(predict.GRAPH_MODELS) else None
+        return predict.predictions(self.features(self.held, graph), models)
+
+    def run_model(self, model: str, trained_head: bool = False, full_log: bool = False, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """Metrics of each fold with how they came about, and predictions, the first cap of each fold where it is given.
+
+        A fitted head serves models with a graph weight when trained_head is set, the fixed blend all others.
+        """
+        if trained_head and model in predict.GRAPH_MODELS:
+            graph = stage(self.graph_channel(full_log), "graph")
+            pred, status = fitted_head(self.features(self.train, graph), self.features(self.held, graph), model, len(SEEDS)), "trained_leakage_head"
+        else:
+            pred, status = self.predictions(full_log, (model,)), "diagnostic"
+        result = metrics.metrics(pred, ["fold", "model"]).withColumn("graph_construction", F.lit("full_log" if full_log else "train_only")).withColumn("status", F.lit(status))
+        return result, pred if cap is None else predict.sample(pred, cap)
 
     def fold_metrics(self, full_log: bool = False, models=tuple(predict.WEIGHTS)) -> DataFrame:
         return metrics.metrics(self.predictions(full_log, models), ["fold", "model"])
@@ -153,13 +186,13 @@ def normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").cast("string").alias("at"), F.when(F.col("o_orderkey") % 5 == 0, "2").when(F.col("o_orderkey") % 2 == 0, "1.0").otherwise("0").alias("ok"),
     )
     mapping = {"user_id": "who", "item_id": "what", "kc_id": ["skill_id", "skill"], "timestamp": "at", "correct": "ok"}
-    return raw.normalise(raw.raw_filters(rows, mapping, binary_only=True, needs_kc=True), mapping)
+    return raw.normalise(raw.raw_filters(rows, mapping, binary_only=True, needs_kc=True), mapping, "md5")
 
 
 def wide_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = logs.table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 2).alias("q0"), (F.col("c_nationkey") % 2).alias("q1"), (F.col("c_acctbal") > 0).cast("long").alias("q2"))
     kcs = spark.createDataFrame([(0, 0), (1, 1), (2, 0)], "pos int, kc int")
-    return raw.unpivot_responses(wide, "c_custkey", ["q0", "q1", "q2"], kcs)
+    return raw.unpivot_responses(wide, "c_custkey", ["q0", "q1", "q2"], kcs, S.stable_id_md5)
 
 
 def upsert_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,12 +213,52 @@ def fixed_bkt(log: DataFrame) -> DataFrame:
 
 
 def logistic_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of a logistic head over the channels of the graph models, fitted on train rows of each fold."""
-    from lumenlog.operators.head import fitted_head
+    """Metrics of logistic heads over the channels of the graph models, fitted on train rows of each fold."""
+    a, out = single(spark, sf_dir).settled(), None
+    for model in predict.GRAPH_MODELS:
+        rows, _ = a.run_model(model, trained_head=True)
+        out = rows if out is None else out.union(rows)
+    return rounded(out, "auc", "acc", "nll")
 
-    a = single(spark, sf_dir)
-    graph = stage(predict.graph_rates(a.pre, a.sim, predict.rates(a.train, "kc_id")), "graph")
-    return rounded(metrics.metrics(fitted_head(predict.channels(a.train, a.train, graph), predict.channels(a.train, a.held, graph), "gkt", len(SEEDS)), ["fold", "model"]), "auc", "acc", "nll")
+
+def model_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of blends by both graph constructions, as a run without fitted heads gives them."""
+    a, out = single(spark, sf_dir).settled(), None
+    for full_log in (False, True):
+        rows, _ = a.run_model("gkt", full_log=full_log)
+        out = rows if out is None else out.union(rows)
+    return rounded(out, "auc", "acc", "nll")
+
+
+def kc_names(spark: SparkSession) -> DataFrame:
+    """Names of some components, made up."""
+    return spark.range(0, 20, 2).select(F.col("id").alias("kc_id"), F.concat(F.lit("kc "), F.col("id")).alias("name"))
+
+
+def scored_expert(log: DataFrame) -> DataFrame:
+    return expert_dag(log).withColumn("confidence_score", (F.col("src_kc") % 4).cast("double") / 4)
+
+
+def in_time(log: DataFrame) -> DataFrame:
+    """A made-up split by order: learners have rows in train and after it."""
+    return log.withColumn("fold", F.lit(0)).withColumn("split", F.when(F.col("seq") % 3 == 0, "test").otherwise("train"))
+
+
+def bkt_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = in_time(logs.events_single(spark, sf_dir))
+    params = fixed_bkt(rows).where("kc_id % 4 <> 0").withColumn("fold", F.lit(0))  # components that were not fitted foretell train's mean
+    out = bkt.predict(rows.where("split = 'test'"), params, FOLD, rows.where("split = 'train'"))
+    return rounded(out, "y_prob").drop("fold")
+
+
+def _cold(a: Audit, models=tuple(predict.WEIGHTS)) -> DataFrame:
+    return metrics.strata_metrics(a.predictions(models=models), _strata(a))
+
+
+def reported_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report rows of a made-up result table: order priorities as data sets, some blank, and two constructions."""
+    rows = logs.table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(" ")).when(F.col("o_orderkey") % 3 == 1, F.col("o_orderpriority")).alias("dataset"), F.when(F.col("o_orderkey") % 2 == 0, F.lit("train_only ")).otherwise(F.lit("full_log")).alias("graph_construction"))
+    return metrics.reported(rows)
 
 
 def _strata(a: Audit) -> DataFrame:
@@ -228,20 +301,26 @@ QUERIES = {
     "e_sim_orders": lambda s, d: rounded(graphs.similarities(graphs.q_matrix(orders(s, d).log, []), [], threshold=0.02), "weight"),
     "graph_stats": lambda s, d: (lambda a: graphs.graph_stats(a.pre, a.sim, graphs.q_matrix(a.train, FOLD), FOLD))(multi(s, d)),
     "ecr_flag": lambda s, d: leakage.ecr_flag(single(s, d).tagged),
-    "ecr_overlap": lambda s, d: (lambda a: rounded(leakage.ecr_overlap(a.pre_full.crossJoin(F.broadcast(a.assigned.select("fold").distinct())), a.split("valid")), "ecr_overlap"))(orders(s, d)),
+    "ecr_overlap": lambda s, d: (lambda a: rounded(leakage.ecr_overlap(a.pre_full.crossJoin(F.broadcast(a.folds)), a.split("valid")), "ecr_overlap"))(orders(s, d)),
     "eoc": lambda s, d: (lambda a: rounded(leakage.eoc(a.pre, a.split("test")), "eoc"))(single(s, d)),
     "tbvr": lambda s, d: (lambda a: rounded(leakage.tbvr(a.train, a.pre), "tbvr"))(single(s, d)),
-    "leakage_row": lambda s, d: (lambda a: rounded(leakage.leakage_row(a.tagged, a.pre, a.sim), "ecr_overlap", "eoc", "tbvr"))(multi(s, d)),
+    "leakage_row": lambda s, d: (lambda a: rounded(leakage.leakage_row(a.tagged, a.pre, a.sim), "ecr_overlap", "eoc", "tbvr"))(multi(s, d).settled()),
     "rates_kc": lambda s, d: rounded(predict.rates(single(s, d).train, "kc_id"), "rate"),
     "rates_item": lambda s, d: rounded(predict.rates(orders(s, d).train, "item_id"), "rate"),
     "graph_rates": lambda s, d: (lambda a: rounded(predict.graph_rates(a.pre, a.sim, predict.rates(a.train, "kc_id")), "rate"))(multi(s, d)),
     **{f"pred_{m}": _model(m) for m in predict.WEIGHTS},
-    "metrics_fold": lambda s, d: rounded(single(s, d).fold_metrics(), "auc", "acc", "nll"),
-    "metrics_orders": lambda s, d: rounded(orders(s, d).fold_metrics(models=("bkt", "simplekt", "akt")), "auc", "acc", "nll"),
+    "metrics_fold": lambda s, d: rounded(single(s, d).settled().fold_metrics(), "auc", "acc", "nll"),
+    "metrics_orders": lambda s, d: rounded(orders(s, d).settled().fold_metrics(models=MODELS_WITHOUT_GRAPH), "auc", "acc", "nll"),
     "cold_strata": lambda s, d: _strata(parts(s, d)),
-    "strata_metrics": lambda s, d: (lambda a: rounded(metrics.strata_metrics(a.predictions(models=("bkt", "simplekt")), _strata(a)), "auc", "acc", "nll"))(parts(s, d)),
-    "fold_summary": lambda s, d: rounded(metrics.fold_summary(single(s, d).fold_metrics(), ["model"]), "auc", "acc", "nll"),
-    "ablation_delta": lambda s, d: (lambda a: rounded(metrics.ablation(a.fold_metrics(False, predict.GRAPH_MODELS), a.fold_metrics(True, predict.GRAPH_MODELS)), "auc_train_only", "auc_full_log", "acc_train_only", "acc_full_log", "delta_auc", "delta_acc"))(single(s, d)),
+    "strata_metrics": lambda s, d: rounded(_cold(parts(s, d).settled(), MODELS_WITHOUT_GRAPH), "auc", "acc", "nll"),
+    "cold_start_mean": lambda s, d: rounded(metrics.cold_start_mean(_cold(parts(s, d).settled(), MODELS_WITHOUT_GRAPH), ["model"]), "auc", "acc", "nll"),
+    "fold_summary": lambda s, d: rounded(metrics.fold_summary(single(s, d).settled().fold_metrics(), ["model"]), "auc", "acc", "nll"),
+    "fold_report": lambda s, d: metrics.fold_report(stage(single(s, d).settled().fold_metrics(), "folds"), ["model"]),
+    "leakage_mean": lambda s, d: (lambda a: rounded(metrics.leakage_mean(leakage.leakage_row(a.tagged, a.pre, a.sim), []), "ecr_flag", "ecr_overlap", "eoc", "tbvr"))(multi(s, d).settled()),
+    "model_runs": model_runs,
+    "prediction_sample": lambda s, d: rounded(predict.sample(single(s, d).settled().predictions(models=MODELS_WITHOUT_GRAPH), 100), "y_prob"),
+    "reported_rows": reported_rows,
+    "ablation_delta": lambda s, d: (lambda a: rounded(metrics.ablation(a.fold_metrics(False, predict.GRAPH_MODELS), a.fold_metrics(True, predict.GRAPH_MODELS)), "auc_train_only", "auc_full_log", "acc_train_only", "acc_full_log", "delta_auc", "delta_acc"))(single(s, d).settled()),
     "labels_auc_by_lang": labels_by_lang,
     "dag_degree": lambda s, d: dags.degrees(single(s, d).pre),
     "dag_prune": lambda s, d: dags.prune_log(single(s, d).pre),
@@ -260,9 +339,11 @@ QUERIES = {
     "gt_reachable_pairs": lambda s, d: groundtruth.reachable(single(s, d).pre, FOLD),
     "gt_overlap_metrics": lambda s, d: (lambda t: rounded(groundtruth.overlap_metrics(t[0], t[1], KS), "edge_precision", "edge_recall", "edge_f1", "direction_agreement", "reachability_precision", "reachability_recall", "reachability_f1", "node_jaccard"))(_truth(s, d)),
     "gt_hits_at_k": lambda s, d: (lambda t: rounded(groundtruth.hits_at_k(t[0], t[1], KS), "directed_precision", "directed_recall"))(_truth(s, d)),
-    "gt_disagreement": lambda s, d: (lambda t: groundtruth.disagreement(t[0], t[1]))(_truth(s, d)),
-    "seq_expand": lambda s, d: raw.expand_sequences(packed_sequences(s, d)),
+    "gt_disagreement": lambda s, d: (lambda t: groundtruth.disagreement(t[0], scored_expert(t[2].log), top_k=30, names=kc_names(s)))(_truth(s, d)),
+    "gt_alignment_report": lambda s, d: (lambda t: rounded(groundtruth.alignment_report(groundtruth.align(t[1].union(s.createDataFrame([(3, 999), (998, 3), (997, 996)], "src_kc long, dst_kc long")), t[2].train.where("fold = 0"))), "alignment_rate"))(_truth(s, d)),
+    "seq_expand": lambda s, d: raw.expand_sequences(packed_sequences(s, d), S.stable_id_md5),
     "seq_pack": lambda s, d: (lambda a: sequences.packed(a.tagged, sequences.dense_ids(a.train, "item_id", FOLD), sequences.dense_ids(a.train, "kc_id", FOLD), 50))(single(s, d)),
+    "vocabulary_sizes": lambda s, d: (lambda a: sequences.vocabulary_sizes(sequences.dense_ids(a.train, "item_id", FOLD), sequences.dense_ids(a.train, "kc_id", FOLD), FOLD))(single(s, d)),
     "dense_maps": lambda s, d: sequences.dense_ids(orders(s, d).train, "item_id", FOLD),
     "adjacency_norm": lambda s, d: (lambda a: rounded(graphs.adjacency(a.pre, sequences.dense_ids(a.train, "kc_id", FOLD), FOLD), "w"))(single(s, d)),
     "upsert_replace": upsert_replace,
@@ -275,6 +356,7 @@ QUERIES = {
     "audit_rows": lambda s, d: sinks.audit_rows(single(s, d).pre, "events_single", "E_pre"),
     "bkt_filter": lambda s, d: (lambda log: rounded(bkt.predict(log.withColumn("fold", F.lit(0)), fixed_bkt(log).withColumn("fold", F.lit(0)), FOLD), "y_prob").drop("fold"))(single(s, d).log),
     "bkt_fit": lambda s, d: bkt.fit(single(s, d).train, FOLD),
-    "bkt_predict": lambda s, d: (lambda a: bkt.predict(a.held, stage(bkt.fit(a.train, FOLD), "bkt"), FOLD))(single(s, d)),
+    "bkt_predict": lambda s, d: (lambda a: bkt.predict(a.held, stage(bkt.fit(a.train, FOLD), "bkt"), FOLD, a.train))(single(s, d).settled()),
+    "bkt_replay": bkt_replay,
     "logistic_head": logistic_head,
 }

@@ -42,16 +42,16 @@ def similarities(q: str, fold: str, source: str, method: str = "jaccard", thresh
     return f"SELECT {fold}src_kc, dst_kc, inter AS support, {weight} AS weight, '{source}' AS source FROM (SELECT {fa}a.kc_id AS src_kc, b.kc_id AS dst_kc, count(*) AS inter FROM {q} a JOIN {q} b ON a.item_id = b.item_id {on} AND a.kc_id <> b.kc_id GROUP BY ALL) {size('src_kc', 'n1')} {size('dst_kc', 'n2')} {items} WHERE {weight} >= {threshold}"
 
 
-def neighbours(edges: str) -> str:
-    return f"SELECT fold, kc_id, avg(rate) AS rate FROM (SELECT fold, src_kc AS kc_id, dst_kc AS other FROM {edges} UNION ALL SELECT fold, dst_kc, src_kc FROM {edges}) e JOIN (SELECT fold, kc_id AS other, rate FROM rate_kc) USING (fold, other) GROUP BY ALL"
+def neighbours(edges: str, rates: str) -> str:
+    return f"SELECT fold, kc_id, avg(rate) AS rate FROM (SELECT fold, src_kc AS kc_id, dst_kc AS other FROM {edges} UNION ALL SELECT fold, dst_kc, src_kc FROM {edges}) e JOIN (SELECT fold, kc_id AS other, rate FROM {rates}) USING (fold, other) GROUP BY ALL"
 
 
 def rate(key: str, name: str) -> str:
     return f"SELECT fold, {key}, (sum(correct) + {ALPHA} * any_value(g)) / (count(*) + {ALPHA}) AS {name}, count(*) AS n FROM tr JOIN g USING (fold) GROUP BY fold, {key}"
 
 
-def graph_channel(pre: str, sim: str) -> str:
-    return f"SELECT fold, kc_id, coalesce(b.rate, a.rate) AS rate FROM ({neighbours(pre)}) a FULL JOIN ({neighbours(sim)}) b USING (fold, kc_id) UNION ALL SELECT fold, kc_id, rate FROM rate_kc WHERE fold NOT IN (SELECT fold FROM {pre} UNION SELECT fold FROM {sim})"
+def graph_channel(pre: str, sim: str, rates: str = "rate_kc") -> str:
+    return f"SELECT fold, kc_id, coalesce(b.rate, a.rate) AS rate FROM ({neighbours(pre, rates)}) a FULL JOIN ({neighbours(sim, rates)}) b USING (fold, kc_id) UNION ALL SELECT fold, kc_id, rate FROM rate_kc WHERE fold NOT IN (SELECT fold FROM {pre} UNION SELECT fold FROM {sim})"
 
 
 def channels(graph: str) -> str:
@@ -117,7 +117,8 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "rate_kc": (("tr", "g"), rate("kc_id", "rate")),
     "rate_item": (("tr", "g"), rate("item_id", "rate")),
     "graph": (("pre", "sim", "rate_kc"), graph_channel("pre", "sim")),
-    "graph3": (("pre3", "sim3", "rate_kc"), graph_channel("pre3", "sim3")),
+    "pooled": (("log",), f"SELECT fold, kc_id, (sum(correct) + {ALPHA} * any_value(g)) / (count(*) + {ALPHA}) AS rate FROM log, (SELECT avg(correct) AS g FROM log), (SELECT unnest([0, 1, 2]) AS fold) GROUP BY fold, kc_id"),
+    "graph3": (("pre3", "sim3", "rate_kc", "pooled"), graph_channel("pre3", "sim3", "pooled")),
     "ch": (("ev", "g", "rate_kc", "graph"), channels("graph")),
     "ch3": (("ev", "g", "rate_kc", "graph3"), channels("graph3")),
     "strata": (("tr",), "SELECT fold, kc_id, n AS n_train_interactions, CASE WHEN n > -1 AND n <= 19 THEN 'very_cold' WHEN n > 20 AND n <= 99 THEN 'cold' WHEN n > 100 AND n <= 499 THEN 'warm' WHEN n > 500 AND n <= 10000000 THEN 'hot' ELSE 'out_of_range' END AS stratum FROM (SELECT fold, kc_id, count(*) AS n FROM tr GROUP BY ALL)"),
@@ -192,10 +193,11 @@ DIRECTION = f"SELECT top_k, count(*) AS n_pairs, avg(CASE WHEN x.up = y.up AND x
 _NODES = "SELECT DISTINCT top_k, unnest([src_kc, dst_kc]) AS kc, 1 AS {} FROM {}"
 NODES = f"SELECT top_k, avg(CASE WHEN i = 1 AND e = 1 THEN 1.0::DOUBLE ELSE 0 END) AS node_jaccard FROM ({_NODES.format('i', 'ti')}) FULL JOIN ({_NODES.format('e', 'tx')}) USING (top_k, kc) GROUP BY top_k"
 
-DISAGREE = """SELECT category, rank, src_kc, dst_kc, score FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, src_kc, dst_kc) AS rank FROM (
-  SELECT 'inferred_only' AS category, src_kc, dst_kc, support::DOUBLE AS score FROM inf i WHERE NOT EXISTS (FROM expert e WHERE least(e.src_kc, e.dst_kc) = least(i.src_kc, i.dst_kc) AND greatest(e.src_kc, e.dst_kc) = greatest(i.src_kc, i.dst_kc))
-  UNION ALL SELECT 'expert_only', src_kc, dst_kc, 0.0::DOUBLE FROM expert e WHERE NOT EXISTS (FROM inf i WHERE least(e.src_kc, e.dst_kc) = least(i.src_kc, i.dst_kc) AND greatest(e.src_kc, e.dst_kc) = greatest(i.src_kc, i.dst_kc))
-  UNION ALL SELECT 'wrong_direction', src_kc, dst_kc, support::DOUBLE FROM inf i WHERE EXISTS (FROM expert e WHERE e.src_kc = i.dst_kc AND e.dst_kc = i.src_kc) AND NOT EXISTS (FROM expert e WHERE e.src_kc = i.src_kc AND e.dst_kc = i.dst_kc))) WHERE rank <= 20"""
+DISAGREE = """SELECT category, rank, src_kc, dst_kc, CASE WHEN src_kc BETWEEN 0 AND 18 AND src_kc % 2 = 0 THEN 'kc ' || src_kc ELSE CAST(src_kc AS VARCHAR) END AS src_name, CASE WHEN dst_kc BETWEEN 0 AND 18 AND dst_kc % 2 = 0 THEN 'kc ' || dst_kc ELSE CAST(dst_kc AS VARCHAR) END AS dst_name, score
+FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, src_kc, dst_kc) AS rank FROM (
+  SELECT 'inferred_only' AS category, src_kc, dst_kc, support::DOUBLE AS score FROM inf WHERE rk <= 30 AND (src_kc, dst_kc) NOT IN (SELECT (src_kc, dst_kc) FROM expert)
+  UNION ALL SELECT 'expert_only', src_kc, dst_kc, (src_kc % 4) / 4.0::DOUBLE FROM expert WHERE (src_kc, dst_kc) NOT IN (SELECT (src_kc, dst_kc) FROM inf WHERE rk <= 30)
+  UNION ALL SELECT 'wrong_direction', src_kc, dst_kc, support::DOUBLE FROM inf WHERE rk <= 30 AND (dst_kc, src_kc) IN (SELECT (src_kc, dst_kc) FROM expert) AND (src_kc, dst_kc) NOT IN (SELECT (src_kc, dst_kc) FROM expert))) WHERE rank <= 20"""
 
 
 def _stats(name: str) -> str:
@@ -207,11 +209,19 @@ def _id(text: str) -> str:
     return f"CAST(concat('0x', substr(md5({text}), 1, 15)) AS BIGINT)"
 
 
-def _padded(values: str, n: int = 50) -> str:
-    return f"array_to_string(list_concat({values}, list_transform(range({n} - len(s)), lambda z: '-1')), ',')"
+def _padded(values: str, fill: str = "-1", n: int = 50) -> str:
+    return f"array_to_string(list_concat({values}, list_transform(range({n} - len(s)), lambda z: '{fill}')), ',')"
 
 
+BKT_RIGHT = "(k * 0.8::DOUBLE + (1 - k) * 0.2::DOUBLE)"
+#: Beliefs k before each outcome of s, by the parameters 0.25, 0.25, 0.2, 0.2.
+BKT_WALK = f"""r AS (SELECT user_id, kc_id, pos, before, y, 0.25::DOUBLE AS k FROM s WHERE pos = 0 UNION ALL
+  SELECT s.user_id, s.kc_id, s.pos, s.before, s.y, greatest(least(a + (1 - a) * 0.25::DOUBLE, 1 - 1e-9::DOUBLE), 1e-9::DOUBLE)
+  FROM (SELECT *, CASE WHEN y = 1 THEN k * 0.8::DOUBLE / {BKT_RIGHT} ELSE k * 0.2::DOUBLE / (1 - {BKT_RIGHT}) END AS a FROM r) r JOIN s ON s.user_id = r.user_id AND s.kc_id = r.kc_id AND s.pos = r.pos + 1)"""
 _GOT = "auc acc nll"
+WITHOUT_GRAPH = tuple(m for m in WEIGHTS if m not in GRAPH_MODELS)
+COLD = scores(f"(SELECT * FROM ({blends('ch', WITHOUT_GRAPH)}) JOIN strata USING (fold, kc_id))", "fold, model, stratum", "1e-15")
+LEAK = f"SELECT fold, ecr_flag, coalesce(ecr_overlap, 0) AS ecr_overlap, coalesce(eoc, 0) AS eoc, coalesce(tbvr, 0) AS tbvr FROM ecr_flag LEFT JOIN ({overlap('edges', 'ev')}) USING (fold) LEFT JOIN ({eoc('edges')}) USING (fold) LEFT JOIN ({TBVR}) USING (fold)"
 _MASK = ("(seq % 3 = 0)", "fold, user_id")
 ORACLE_SQL = {
     "log_events_single": LOGS["single"],
@@ -238,15 +248,20 @@ ORACLE_SQL = {
     "ecr_overlap": sql("orders", "pre3 va", r6(overlap("pre3", "va"), "fold ecr_overlap", "ecr_overlap")),
     "eoc": sql("single", "pre te", r6(eoc("pre"), "fold eoc", "eoc")),
     "tbvr": sql("single", "pre tr", r6(TBVR, "fold tbvr", "tbvr")),
-    "leakage_row": sql("multi", "edges ecr_flag ev te tr", r6(f"SELECT fold, ecr_flag, coalesce(ecr_overlap, 0) AS ecr_overlap, coalesce(eoc, 0) AS eoc, coalesce(tbvr, 0) AS tbvr FROM ecr_flag LEFT JOIN ({overlap('edges', 'ev')}) USING (fold) LEFT JOIN ({eoc('edges')}) USING (fold) LEFT JOIN ({TBVR}) USING (fold)", "fold ecr_flag ecr_overlap eoc tbvr", "ecr_overlap", "eoc", "tbvr")),
+    "leakage_row": sql("multi", "edges ecr_flag ev te tr", r6(LEAK, "fold ecr_flag ecr_overlap eoc tbvr", "ecr_overlap", "eoc", "tbvr")),
+    "leakage_mean": sql("multi", "edges ecr_flag ev te tr", r6(f"SELECT avg(ecr_flag) AS ecr_flag, avg(ecr_overlap) AS ecr_overlap, avg(eoc) AS eoc, avg(tbvr) AS tbvr FROM ({LEAK})", "ecr_flag ecr_overlap eoc tbvr", "ecr_flag", "ecr_overlap", "eoc", "tbvr")),
     "rates_kc": sql("single", "rate_kc", r6("SELECT * FROM rate_kc", "fold kc_id rate n", "rate")),
     "rates_item": sql("orders", "rate_item", r6("SELECT * FROM rate_item", "fold item_id rate n", "rate")),
     "graph_rates": sql("multi", "graph", r6("SELECT * FROM graph", "fold kc_id rate", "rate")),
     **{f"pred_{m}": sql("single", "ch", r6(blend(m, "ch"), "fold user_id item_id kc_id seq y_true model y_prob", "y_prob")) for m in WEIGHTS},
     "metrics_fold": sql("single", "ch", r6(scores(f"({blends('ch')})", "fold, model"), f"fold model n {_GOT}", *_GOT.split())),
-    "metrics_orders": sql("orders", "ch", r6(scores(f"({blends('ch', ('bkt', 'simplekt', 'akt'))})", "fold, model"), f"fold model n {_GOT}", *_GOT.split())),
+    "metrics_orders": sql("orders", "ch", r6(scores(f"({blends('ch', WITHOUT_GRAPH)})", "fold, model"), f"fold model n {_GOT}", *_GOT.split())),
     "cold_strata": sql("parts", "strata", "SELECT fold, kc_id, n_train_interactions, stratum FROM strata"),
-    "strata_metrics": sql("parts", "ch strata", r6(scores(f"(SELECT * FROM ({blends('ch', ('bkt', 'simplekt'))}) JOIN strata USING (fold, kc_id))", "fold, model, stratum", "1e-15"), f"fold model stratum n {_GOT}", *_GOT.split())),
+    "strata_metrics": sql("parts", "ch strata", r6(COLD, f"fold model stratum n {_GOT}", *_GOT.split())),
+    "cold_start_mean": sql("parts", "ch strata", r6(f"SELECT model, avg(auc) AS auc, avg(acc) AS acc, avg(nll) AS nll, CAST(sum(n) AS BIGINT) AS n FROM ({COLD}) GROUP BY model", f"model {_GOT} n", *_GOT.split())),
+    "model_runs": sql("single", "ch ch3", r6(" UNION ALL ".join(f"SELECT *, '{kind}' AS graph_construction, 'diagnostic' AS status FROM ({scores('(' + blend('gkt', table) + ')', 'fold, model')})" for table, kind in (("ch", "train_only"), ("ch3", "full_log"))), f"fold model n {_GOT} graph_construction status", *_GOT.split())),
+    "prediction_sample": sql("single", "ch", r6(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold, model ORDER BY user_id, seq, item_id, kc_id) AS r FROM ({blends('ch', WITHOUT_GRAPH)})) WHERE r <= 100", "fold user_id item_id kc_id seq y_true model y_prob", "y_prob")),
+    "reported_rows": "SELECT o_orderkey, o_orderpriority AS dataset, 'train_only ' AS graph_construction FROM orders WHERE o_orderkey % 3 = 1 AND o_orderkey % 2 = 0",
     "fold_summary": sql("single", "ch", r6(f"SELECT model, count(DISTINCT fold) AS n_folds, CAST(sum(n) AS BIGINT) AS n_eval, avg(auc) AS auc, avg(acc) AS acc, avg(nll) AS nll FROM ({scores(f'({blends(chr(99) + chr(104))})', 'fold, model')}) GROUP BY model", f"model n_folds n_eval {_GOT}", *_GOT.split())),
     "ablation_delta": sql("single", "ch ch3", r6(f"SELECT model, avg(a.auc) AS auc_train_only, avg(b.auc) AS auc_full_log, avg(a.acc) AS acc_train_only, avg(b.acc) AS acc_full_log, avg(b.auc - a.auc) AS delta_auc, avg(b.acc - a.acc) AS delta_acc FROM ({scores('(' + blends('ch', GRAPH_MODELS) + ')', 'fold, model')}) a JOIN ({scores('(' + blends('ch3', GRAPH_MODELS) + ')', 'fold, model')}) b USING (fold, model) GROUP BY model", "model auc_train_only auc_full_log acc_train_only acc_full_log delta_auc delta_acc", "auc_train_only", "auc_full_log", "acc_train_only", "acc_full_log", "delta_auc", "delta_acc")),
     "labels_auc_by_lang": r6(scores("(SELECT lang, CAST(quality AS BIGINT) AS y_true, round(n_chars / (n_chars + 1000.0::DOUBLE), 9) AS y_prob FROM labels JOIN documents USING (doc_id))", "lang"), f"lang n {_GOT}", *_GOT.split()),
@@ -260,14 +275,16 @@ ORACLE_SQL = {
     "gt_reachability": sql("single", "ti tx", r6(prf(REACHED, "reachability"), "top_k reachability_precision reachability_recall reachability_f1", "reachability_precision", "reachability_recall", "reachability_f1"), f"{_RI}, {_RE}"),
     "gt_reachable_pairs": sql("single", "pre", "SELECT fold, src_kc, dst_kc FROM rp WHERE src_kc <> dst_kc", "rp AS (SELECT fold, src_kc, dst_kc FROM pre UNION SELECT r.fold, r.src_kc, e.dst_kc FROM rp r JOIN pre e ON r.fold = e.fold AND r.dst_kc = e.src_kc)"),
     "gt_overlap_metrics": sql("single", "ti tx", r6(f"SELECT a.*, a.ni AS n_inferred_truncated, a.ne AS n_expert_edges, coalesce(direction_agreement, 0) AS direction_agreement, reachability_precision, reachability_recall, reachability_f1, node_jaccard FROM ({prf(EDGE_HITS, 'edge')}) a LEFT JOIN ({DIRECTION}) USING (top_k) LEFT JOIN ({prf(REACHED, 'reachability')}) USING (top_k) LEFT JOIN ({NODES}) USING (top_k)", "top_k n_inferred_truncated n_expert_edges edge_precision edge_recall edge_f1 direction_agreement reachability_precision reachability_recall reachability_f1 node_jaccard", "edge_precision", "edge_recall", "edge_f1", "direction_agreement", "reachability_precision", "reachability_recall", "reachability_f1", "node_jaccard"), f"{_RI}, {_RE}"),
-    "gt_hits_at_k": sql("single", "ti expert", r6("SELECT top_k AS k, d AS directed_hits, u AS undirected_hits, coalesce(d::DOUBLE / nullif(u, 0), 0) AS directed_precision, coalesce(d::DOUBLE / nullif((SELECT count(*) FROM expert), 0), 0) AS directed_recall FROM (SELECT top_k, count(*) FILTER ((src_kc, dst_kc) IN (SELECT (src_kc, dst_kc) FROM expert)) AS d, count(DISTINCT CASE WHEN (least(src_kc, dst_kc), greatest(src_kc, dst_kc)) IN (SELECT (least(src_kc, dst_kc), greatest(src_kc, dst_kc)) FROM expert) THEN (least(src_kc, dst_kc), greatest(src_kc, dst_kc)) END) AS u FROM ti GROUP BY top_k)", "k directed_hits undirected_hits directed_precision directed_recall", "directed_precision", "directed_recall")),
+    "gt_hits_at_k": sql("single", "ti expert", r6("SELECT top_k AS k, d AS directed_hits, u AS undirected_hits, coalesce(d::DOUBLE / nullif(u, 0), 0) AS directed_precision, coalesce(d::DOUBLE / nullif((SELECT count(*) FROM expert), 0), 0) AS directed_recall FROM (SELECT top_k, count(*) FILTER ((src_kc, dst_kc) IN (SELECT (src_kc, dst_kc) FROM expert)) AS d, count(*) FILTER ((src_kc, dst_kc) IN (SELECT (src_kc, dst_kc) FROM expert UNION SELECT (dst_kc, src_kc) FROM expert)) AS u FROM ti GROUP BY top_k)", "k directed_hits undirected_hits directed_precision directed_recall", "directed_precision", "directed_recall")),
     "gt_disagreement": sql("single", "inf expert", DISAGREE),
+    "gt_alignment_report": sql("single", "expert tr", "SELECT count(*) FILTER (a AND b) AS matched, count(*) FILTER (b AND NOT a) AS missing_src, count(*) FILTER (a AND NOT b) AS missing_dst, count(*) FILTER (NOT a AND NOT b) AS missing_both, round(count(*) FILTER (a AND b)::DOUBLE / count(*), 6) AS alignment_rate FROM (SELECT *, src_kc IN (SELECT kc_id FROM tr WHERE fold = 0) AS a, dst_kc IN (SELECT kc_id FROM tr WHERE fold = 0) AS b FROM (SELECT * FROM expert UNION ALL VALUES (3, 999), (998, 3), (997, 996)))"),
     "seq_expand": f"SELECT {_id('CAST(user_id AS VARCHAR)')} AS user_id, {_id('CAST(item_id AS VARCHAR)')} AS item_id, {_id('CAST(kc_id AS VARCHAR)')} AS kc_id, (timestamp // 1000) // 1000 AS timestamp, correct FROM ({LOGS['single']}) WHERE seq % 7 <> 0 AND seq % 5 <> 0",
     "seq_pack": sql("single", "tagged dense_item dense_kc", f"""SELECT fold AS split_fold, CASE split WHEN 'train' THEN 0 WHEN 'valid' THEN 1 ELSE -1 END AS fold, user_id AS uid,
-  {_padded("list_transform(s, lambda x: CAST(x.q AS VARCHAR))")} AS questions, {_padded("list_transform(s, lambda x: CAST(x.c AS VARCHAR))")} AS concepts, {_padded("list_transform(s, lambda x: CASE WHEN x.y = 1 THEN '1.0' ELSE '0.0' END)")} AS responses,
-  {_padded("list_transform(s, lambda x: '1')")} AS selectmasks, {_padded("list_transform(range(len(s)), lambda x: CAST(x AS VARCHAR))")} AS timestamps
+  {_padded("list_transform(s, lambda x: CAST(x.q AS VARCHAR))")} AS questions, {_padded("list_transform(s, lambda x: CAST(x.c AS VARCHAR))")} AS concepts, {_padded("list_transform(s, lambda x: CASE WHEN x.y = 1 THEN '1.0' ELSE '0.0' END)", "0")} AS responses,
+  {_padded("list_transform(s, lambda x: '1')", "0")} AS selectmasks, {_padded("list_transform(range(len(s)), lambda x: CAST(x AS VARCHAR))")} AS timestamps
   FROM (SELECT fold, split, user_id, list({{'q': q, 'c': c, 'y': correct}} ORDER BY back DESC) AS s FROM (
     SELECT t.*, i.dense AS q, k.dense AS c, row_number() OVER (PARTITION BY t.fold, t.user_id ORDER BY timestamp DESC, seq DESC) AS back FROM tagged t JOIN dense_item i USING (fold, item_id) JOIN dense_kc k USING (fold, kc_id)) WHERE back <= 50 GROUP BY fold, split, user_id) WHERE len(s) >= 2"""),
+    "vocabulary_sizes": sql("single", "tr", "SELECT fold, count(DISTINCT item_id) AS n_questions, count(DISTINCT kc_id) AS n_concepts FROM tr GROUP BY fold"),
     "dense_maps": sql("orders", "dense_item", "SELECT fold, item_id, dense FROM dense_item"),
     "adjacency_norm": sql("single", "pre dense_kc", r6("SELECT fold, i, j, c / sum(c) OVER (PARTITION BY fold, i) AS w FROM (SELECT fold, a.dense AS i, b.dense AS j, count(*)::DOUBLE AS c FROM (SELECT fold, src_kc, dst_kc FROM pre UNION ALL SELECT fold, dst_kc, src_kc FROM pre) JOIN (SELECT fold, kc_id AS src_kc, dense FROM dense_kc) a USING (fold, src_kc) JOIN (SELECT fold, kc_id AS dst_kc, dense FROM dense_kc) b USING (fold, dst_kc) WHERE a.dense <> b.dense GROUP BY ALL)", "fold i j w", "w")),
     "upsert_replace": "SELECT c_mktsegment AS dataset, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN count(*) FILTER (c_acctbal > 0) ELSE count(*) END AS n, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 2 ELSE 1 END AS version FROM customer GROUP BY c_mktsegment",
@@ -277,7 +294,8 @@ ORACLE_SQL = {
     "normalise_raw": f"SELECT {_id('CAST(o_custkey AS VARCHAR)')} AS user_id, {_id('trim(o_orderpriority)')} AS item_id, {_id(chr(67) + 'ASE WHEN o_orderkey % 3 = 0 THEN ' + repr('none') + ' ELSE o_orderstatus END')} AS kc_id, o_orderkey AS timestamp, CAST(o_orderkey % 2 = 0 AS BIGINT) AS correct FROM orders WHERE o_orderkey % 5 <> 0",
     "wide_unpivot": f"SELECT {_id('CAST(c_custkey AS VARCHAR)')} AS user_id, {_id('CAST(pos AS VARCHAR)')} AS item_id, {_id('CAST(pos % 2 AS VARCHAR)')} AS kc_id, CAST(pos AS BIGINT) AS timestamp, CAST(CASE pos WHEN 0 THEN c_custkey % 2 WHEN 1 THEN c_nationkey % 2 ELSE CAST(c_acctbal > 0 AS BIGINT) END AS BIGINT) AS correct FROM customer, (SELECT unnest([0, 1, 2]) AS pos)",
     "audit_rows": sql("single", "pre", "SELECT 'events_single' AS dataset, fold, 'E_pre' AS edge_type, src_kc, dst_kc, 'train' AS source_fold, true AS train_only_flag FROM pre"),
-    "bkt_filter": sql("single", "log", "SELECT user_id, kc_id, pos, y AS y_true, round(k * 0.8::DOUBLE + (1 - k) * 0.2::DOUBLE, 6) AS y_prob FROM r", """s AS (SELECT user_id, kc_id, correct AS y, CAST(row_number() OVER (PARTITION BY user_id, kc_id ORDER BY timestamp, seq) - 1 AS INT) AS pos FROM log),
-r AS (SELECT user_id, kc_id, pos, y, 0.25::DOUBLE AS k FROM s WHERE pos = 0 UNION ALL
-  SELECT s.user_id, s.kc_id, s.pos, s.y, greatest(least(a + (1 - a) * 0.25::DOUBLE, 1 - 1e-9::DOUBLE), 1e-9::DOUBLE) FROM (SELECT *, CASE WHEN y = 1 THEN k * 0.8::DOUBLE / (k * 0.8::DOUBLE + (1 - k) * 0.2::DOUBLE) ELSE k * 0.2::DOUBLE / (1 - (k * 0.8::DOUBLE + (1 - k) * 0.2::DOUBLE)) END AS a FROM r) r JOIN s ON s.user_id = r.user_id AND s.kc_id = r.kc_id AND s.pos = r.pos + 1)"""),
+    "bkt_replay": sql("single", "log", f"SELECT user_id, kc_id, pos - before AS pos, y AS y_true, round(CASE WHEN kc_id % 4 = 0 THEN m ELSE {BKT_RIGHT} END, 6) AS y_prob FROM r, (SELECT avg(correct) AS m FROM log WHERE seq % 3 <> 0) WHERE pos >= before", f"""s AS (SELECT user_id, kc_id, correct AS y, CAST(row_number() OVER (PARTITION BY user_id, kc_id ORDER BY seq % 3 = 0, timestamp, seq) - 1 AS INT) AS pos, CAST(count(*) FILTER (seq % 3 <> 0) OVER (PARTITION BY user_id, kc_id) AS INT) AS before FROM log),
+{BKT_WALK}"""),
+    "bkt_filter": sql("single", "log", f"SELECT user_id, kc_id, pos, y AS y_true, round({BKT_RIGHT}, 6) AS y_prob FROM r", f"""s AS (SELECT user_id, kc_id, correct AS y, CAST(row_number() OVER (PARTITION BY user_id, kc_id ORDER BY timestamp, seq) - 1 AS INT) AS pos, 0 AS before FROM log),
+{BKT_WALK}"""),
 }

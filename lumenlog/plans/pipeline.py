@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.operators import dags, graphs, leakage, metrics, perturb, sequences, splits
+from lumenlog.operators import dags, graphs, leakage, metrics, perturb, predict, sequences, splits
 from lumenlog.plans.audit import FOLD, Audit
-from lumenlog.sources import sinks
+from lumenlog.sources import raw, sinks
 
 STAGES = {
     "split_stats": lambda a: splits.split_stats(a.tagged),
@@ -22,16 +23,43 @@ STAGES = {
     "ddr": lambda a: perturb.sweep(a.pre),
     "ddr_summary": lambda a: perturb.summary(perturb.sweep(a.pre)).join(metrics.bootstrap_ci(perturb.sweep(a.pre), ["augmentation", "p"], "ddr").select("augmentation", "p", "ci_low", "ci_high"), ["augmentation", "p"]),
     "fold_results": lambda a: a.fold_metrics(),
+    "fold_summary": lambda a: metrics.fold_report(a.fold_metrics(), ["model"]),
+    "predictions_sample": lambda a: predict.sample(a.predictions()),
     "cold_start": lambda a: metrics.strata_metrics(a.predictions(), metrics.strata_of(a.train)),
     "sequences": lambda a: sequences.packed(a.tagged, sequences.dense_ids(a.train, "item_id", FOLD), sequences.dense_ids(a.train, "kc_id", FOLD)),
     "adjacency": lambda a: graphs.adjacency(a.pre, sequences.dense_ids(a.train, "kc_id", FOLD), FOLD),
 }
 
 
-def run(log: DataFrame, dataset: str, out: str, stages: Iterable[str] = tuple(STAGES)) -> None:
-    """Writes each stage's table under out, partitioned by data set; other data sets' partitions stay."""
-    a = Audit(log)
+def finished(spark: SparkSession, path: str, dataset: str) -> bool:
+    """Whether a stage's table holds the data set."""
+    try:
+        return not spark.read.parquet(path).where(F.col("dataset") == dataset).isEmpty()
+    except AnalysisException as gone:
+        if gone.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return False
+
+
+def prepare(spark: SparkSession, config: dict, dataset: str, out: str, limit_rows: int | None = None, force: bool = False) -> DataFrame:
+    """The canonical log of a configured data set, read from out where an earlier run wrote it."""
+    path = f"{out}/interactions"
+    if force or not finished(spark, path, dataset):
+        log = raw.load_raw(spark, config, limit_rows)
+        sinks.write_partitions(log.withColumn("dataset", F.lit(dataset)), path, ["dataset"])
+    log = spark.read.parquet(path).where(F.col("dataset") == dataset).drop("dataset")
+    return log.withColumn("seq", F.struct("item_id", "kc_id", "correct"))
+
+
+def run(log: DataFrame, dataset: str, out: str, stages: Iterable[str] = tuple(STAGES), force: bool = True) -> None:
+    """Writes each stage's table under out, partitioned by data set; other data sets' partitions stay.
+
+    Without force, stages whose table holds the data set are skipped.
+    """
+    a = Audit(log).settled()
     for name in stages:
+        if not force and finished(log.sparkSession, f"{out}/{name}", dataset):
+            continue
         sinks.write_partitions(STAGES[name](a).withColumn("dataset", F.lit(dataset)), f"{out}/{name}", ["dataset"])
 
 

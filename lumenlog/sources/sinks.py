@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .raw import files_in
+
 
 def replace_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """old without the keys that new brings, and new; columns that one side lacks are null."""
@@ -21,8 +23,34 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def audit_rows(edges: DataFrame, dataset: str, edge_type: str) -> DataFrame:
-    """Provenance of train-only edges, keyed by data set, fold and edge type."""
-    return edges.select(F.lit(dataset).alias("dataset"), "fold", F.lit(edge_type).alias("edge_type"), "src_kc", "dst_kc", F.lit("train").alias("source_fold"), F.lit(True).alias("train_only_flag"))
+    """Provenance of train-only edges, keyed by data set, fold and edge type; an edge of another source fails the query."""
+    own = F.coalesce(F.col("source") == "train_only", F.lit(False)).alias("train_only_flag")
+    return guarded(edges.select(F.lit(dataset).alias("dataset"), "fold", F.lit(edge_type).alias("edge_type"), "src_kc", "dst_kc", F.lit("train").alias("source_fold"), own))
+
+
+def guarded(rows: DataFrame) -> DataFrame:
+    """Audit rows whose train_only_flag is true; one that is not, or is null, fails the query."""
+    wrong = F.raise_error(F.lit("audit rows must have train_only_flag true")).cast("boolean")
+    return rows.withColumn("train_only_flag", F.when(F.col("train_only_flag"), F.lit(True)).otherwise(wrong))
+
+
+def append_audit_rows(rows: DataFrame, path: str) -> None:
+    """Guarded audit rows, replacing those of the same data set and edge type."""
+    write_partitions(guarded(rows), path, ["dataset", "edge_type"])
+
+
+def write_matrix(cells: DataFrame, path: str) -> None:
+    """A sparse matrix as its cells (i, j, w), a folder a fold."""
+    cells.write.partitionBy("fold").mode("overwrite").parquet(path)
+
+
+def artefact_index(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
+    """(section, path, length) of the files that a run wrote, by section; files of Spark's own are left out."""
+    out = None
+    for section, folder in folders.items():
+        part = files_in(spark, folder).where(~F.col("path").rlike(r"/[_.][^/]*$")).select(F.lit(section).alias("section"), "path", "length")
+        out = part if out is None else out.union(part)
+    return out
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from lumenlog.functions import scalars as S
 from lumenlog.operators import bkt, dags, graphs, groundtruth, leakage, metrics, perturb, sequences, splits
-from lumenlog.sources import raw, sinks
+from lumenlog.operators.head import fitted_head
+from lumenlog.plans.audit import Audit
+from lumenlog.sources import logs, raw, sinks
 
 EDGE = "fold int, src_kc long, dst_kc long, support long, weight double, source string"
 LOG = "fold int, split string, user_id long, item_id long, kc_id long, timestamp long, seq long, correct long"
@@ -181,8 +183,20 @@ def test_expert_comparison(spark):
     expert = spark.createDataFrame([(1, 2), (4, 3), (7, 8)], "src_kc long, dst_kc long")
     row = one(groundtruth.hits_at_k(inferred, expert, (2,)))
     assert (row.directed_hits, row.undirected_hits, row.directed_precision) == (1, 2, 0.5) and row.directed_recall == pytest.approx(1 / 3)
-    kinds = {(r.category, r.src_kc, r.dst_kc) for r in groundtruth.disagreement(inferred, expert).collect()}
-    assert kinds == {("inferred_only", 5, 6), ("expert_only", 7, 8), ("wrong_direction", 3, 4)}
+    both = spark.createDataFrame([(1, 2, 3), (2, 1, 2)], "src_kc long, dst_kc long, support long")
+    row = one(groundtruth.hits_at_k(both, both.drop("support"), (2,)))
+    assert (row.directed_hits, row.undirected_hits, row.directed_precision) == (2, 2, 1.0)
+    got = {(r.category, r["rank"], r.src_kc, r.dst_kc, r.score) for r in groundtruth.disagreement(inferred, expert).collect()}
+    assert got == {("inferred_only", 1, 3, 4, 2.0), ("inferred_only", 2, 5, 6, 1.0), ("expert_only", 1, 4, 3, 1.0), ("expert_only", 2, 7, 8, 1.0), ("wrong_direction", 1, 3, 4, 2.0)}
+    names = spark.createDataFrame([(5, "five")], "kc_id long, name string")
+    trusted = expert.withColumn("confidence_score", F.col("src_kc") / 10)
+    got = {(r.category, r["rank"], r.src_name, r.dst_name, r.score) for r in groundtruth.disagreement(inferred, trusted, 1, 3, names).collect()}
+    assert got == {("inferred_only", 1, "3", "4", 2.0), ("expert_only", 1, "7", "8", 0.7), ("wrong_direction", 1, "3", "4", 2.0)}
+    assert {r.category for r in groundtruth.disagreement(inferred, expert, top_k=1).collect()} == {"expert_only"}
+    by_weight = inferred.select("src_kc", "dst_kc", (-F.col("support")).alias("weight"))
+    assert [r.src_kc for r in groundtruth.ranked(by_weight, 2).orderBy("rank_").collect()] == [5, 3] and groundtruth.ranked(inferred, 0).isEmpty()
+    report = one(groundtruth.alignment_report(groundtruth.align(expert, spark.createDataFrame([(1,), (2,), (4,)], "kc_id long"))))
+    assert (report.matched, report.missing_src, report.missing_dst, report.missing_both) == (1, 0, 1, 1) and report.alignment_rate == pytest.approx(1 / 3)
     same = one(groundtruth.overlap_metrics(inferred, inferred.drop("support"), (3,)))
     assert (same.edge_f1, same.direction_agreement, same.reachability_f1, same.node_jaccard) == (1, 1, 1, 1)
 
@@ -209,13 +223,17 @@ def test_sequences_expand(spark):
     got = raw.expand_sequences(df).orderBy("timestamp").collect()
     assert [(r.timestamp, r.correct) for r in got] == [(1600000000, 1), (1600000001, 0)]
     assert raw.expand_sequences(df.drop("selectmasks")).count() == 2
+    assert [r.kc_id for r in got] == [r.i for r in spark.createDataFrame([("5",), ("6",)], "x string").select(S.stable_id(F.col("x")).alias("i")).collect()]
 
 
 def test_packing(spark):
     a = log(spark, [("train", 1, 7, 3, 1, 1), ("train", 1, 9, 4, 2, 0), ("test", 2, 9, 3, 1, 1)])
     maps = [sequences.dense_ids(a.where("split = 'train'"), c, ["fold"]) for c in ("item_id", "kc_id")]
     (row,) = sequences.packed(a, *maps, most=4).collect()
-    assert (row.questions, row.responses, row.timestamps) == ("0,1,-1,-1", "1.0,0.0,-1,-1", "0,1,-1,-1")
+    assert (row.questions, row.concepts, row.responses, row.selectmasks, row.timestamps) == ("0,1,-1,-1", "0,1,-1,-1", "1.0,0.0,0,0", "1,1,0,0", "0,1,-1,-1")
+    assert tuple(one(sequences.vocabulary_sizes(*maps, ["fold"]))) == (0, 2, 2)
+    many = spark.range(1000).select(F.lit(0).alias("fold"), (F.col("id") * 7).alias("item_id"))
+    assert sequences.dense_ids(many.union(many), "item_id", ["fold"]).where("item_id = 7 * dense").count() == 1000
 
 
 def test_replace_is_idempotent(spark, tmp_path):
@@ -242,6 +260,109 @@ def test_readers(spark, tmp_path):
     ids = spark.createDataFrame([("p", 1), ("q", 2)], "name string, kc_id long")
     assert [tuple(r) for r in raw.load_expert_dag(named, ids).collect()] == [(1, 2, 0.7)]
     assert raw.load_edges(spark, str(tmp_path / "none.csv")).count() == 0
+    blank = spark.createDataFrame([(" ", "x", "k", "k", "1", "1")], "who string, what string, a string, b string, at string, ok string")
+    with pytest.raises(Exception, match="an id is missing"):
+        raw.normalise(blank, mapping).collect()
+
+
+def test_load_raw(spark, tmp_path):
+    (tmp_path / "b.csv").write_text("who,what,skill,at,ok\n9,9,9,9,1\n")
+    (tmp_path / "a.csv").write_text("who,what,skill,at,ok\nu,i,k,5,1\nu,i,,6,1\nu,j,k,7,2\nv,i,k,8,0\n")
+    config = {"raw_path": str(tmp_path), "schema_mapping": {"user_id": "who", "item_id": "what", "kc_id": "skill", "timestamp": "at", "correct": "ok"}, "preprocess": {"correct_mode": "binary_only"}}
+    assert raw.interaction_path(spark, config).endswith("a.csv")
+    assert sorted((r.timestamp, r.correct) for r in raw.load_raw(spark, config).collect()) == [(5, 1), (8, 0)]
+    assert raw.load_raw(spark, config, 1).count() == 1
+    (tmp_path / "none.csv").write_text("who,what,skill,at,ok\nu,i,,6,1\n")
+    with pytest.raises(ValueError):
+        raw.load_raw(spark, config | {"raw_interactions_file": str(tmp_path / "none.csv")})
+    for wrong in ({"raw_interactions_file": str(tmp_path / "gone.csv")}, {"raw_path": str(tmp_path / "gone")}):
+        with pytest.raises(FileNotFoundError):
+            raw.load_raw(spark, config | wrong)
+    (tmp_path / "m.txt").write_text("1,0\n0,0\n1,1\n")
+    (tmp_path / "info.txt").write_text("a\tb\t4\na\tb\t5\n")
+    matrix = {"raw_format": "synthetic", "raw_interactions_file": str(tmp_path / "m.txt"), "raw_info_file": str(tmp_path / "info.txt")}
+    ids = {r.x: r.i for r in spark.createDataFrame([(str(k),) for k in range(6)], "x string").select("x", S.stable_id(F.col("x")).alias("i")).collect()}
+    expected = [(ids[str(u)], ids[str(i)], ids[str(4 + i)], i, y) for u, row in enumerate([(1, 0), (0, 0), (1, 1)]) for i, y in enumerate(row)]
+    assert sorted(map(tuple, raw.load_raw(spark, matrix).collect())) == sorted(expected)
+    assert raw.load_raw(spark, matrix, 2).count() == 4
+    (tmp_path / "s.csv").write_text('uid,questions,concepts,responses,timestamps\nu,"1,2","3,3","1,0","1000,2000"\n')
+    packed = {"raw_format": "xes_sequence", "raw_sequence_files": [str(tmp_path / "s.csv")] * 2}
+    assert raw.load_raw(spark, packed).count() == 4 and raw.load_raw(spark, packed, 3).count() == 3
+    with pytest.raises(ValueError):
+        raw.load_raw(spark, {"raw_format": "xes_sequence"})
+
+
+def test_side_tables(spark, tmp_path):
+    (tmp_path / "q.csv").write_text("item_id,kc_id\n1,2\n")
+    assert [tuple(r) for r in raw.load_q_matrix(spark, str(tmp_path / "q.csv")).collect()] == [(1, 2)]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "d_dag.csv").write_text("src_kc,dst_kc\n1,2\n")
+    assert raw.load_expert_dag(raw.load_ground_truth(spark, str(tmp_path), "d")).count() == 1
+    with pytest.raises(FileNotFoundError):
+        raw.load_ground_truth(spark, str(tmp_path), "e")
+    assert raw.has_expert_graph("Junyi") and not raw.has_expert_graph("other")
+    names = spark.createDataFrame([(" 0 ",), ("0",), ("",), (None,)], "n string")
+    assert [tuple(r) for r in raw.kc_map(names, "n").collect()] == [("0", 300471914551172981)]
+    (tmp_path / "map.json").write_text('{"a": 1, "b": 2}')
+    assert sorted(map(tuple, raw.load_kc_map(spark, str(tmp_path / "map.json")).collect())) == [("a", 1), ("b", 2)]
+
+
+def test_sinks(spark, tmp_path):
+    good = edges(spark, [(1, 2, 1.0)]).withColumn("source", F.lit("train_only"))
+    path = str(tmp_path / "audit")
+    for _ in range(2):
+        sinks.append_audit_rows(sinks.audit_rows(good, "d", "E_pre"), path)
+    assert spark.read.parquet(path).count() == 1
+    with pytest.raises(Exception, match="train_only_flag"):
+        sinks.audit_rows(good.withColumn("source", F.lit("full_log")), "d", "E_pre").collect()
+    cells = spark.createDataFrame([(0, 1, 2, 0.5)], "fold int, i long, j long, w double")
+    sinks.write_matrix(cells, str(tmp_path / "matrix"))
+    assert spark.read.parquet(str(tmp_path / "matrix")).select("i", "j", "w").collect() == [(1, 2, 0.5)]
+    index = sinks.artefact_index(spark, {"matrix": str(tmp_path / "matrix"), "audit": path}).collect()
+    assert {r.section for r in index} == {"matrix", "audit"} and all(r.path.endswith(".parquet") and r.length for r in index)
+
+
+def test_belief_is_brought_through_train(spark):
+    train = log(spark, [("train", 1, 1, 1, t, y) for t, y in enumerate((1, 0, 1))] + [("train", 2, 1, 2, 1, 0)])
+    held = log(spark, [("test", 1, 1, 1, 9, 1), ("test", 1, 1, 1, 10, 0), ("test", 3, 1, 1, 1, 1), ("test", 1, 1, 2, 1, 1)])
+    params = spark.createDataFrame([(0, 1, 0.3, 0.2, 0.1, 0.25)], "fold int, kc_id long, p_init double, p_learn double, p_guess double, p_slip double")
+
+    def walk(outcomes):
+        know, out = 0.3, []
+        for y in outcomes:
+            right = know * 0.75 + (1 - know) * 0.1
+            out.append(right)
+            after = know * 0.75 / right if y else know * 0.25 / (1 - right)
+            know = after + (1 - after) * 0.2
+        return out
+
+    got = {(r.user_id, r.kc_id, r.pos): r.y_prob for r in bkt.predict(held, params, ["fold"], train).collect()}
+    own = walk((1, 0, 1, 1, 0))
+    expected = {(1, 1, 0): own[3], (1, 1, 1): own[4], (3, 1, 0): 0.3 * 0.75 + 0.7 * 0.1, (1, 2, 0): 0.5}
+    assert got == {k: pytest.approx(v) for k, v in expected.items()}
+    assert {r.y_prob for r in bkt.predict(held.where("kc_id = 2"), params, ["fold"], default=0.4).collect()} == {0.4}
+
+
+def test_fitted_head_is_the_optimum(spark):
+    rnd = np.random.default_rng(5)
+    x = np.round(rnd.random((120, 3)), 3)
+    y = (rnd.random(120) < 1 / (1 + np.exp(-(3 * x[:, 0] - 2 * x[:, 1])))).astype(int)
+    rows = [(0, i, i, i, i, int(y[i]), *map(float, x[i])) for i in range(120)]
+    df = spark.createDataFrame(rows, "fold int, user_id long, item_id long, kc_id long, seq long, correct long, global double, kc double, graph double")
+    got = [r.y_prob for r in fitted_head(df, df, "gkt", 1, l2=0.01).orderBy("seq").collect()]
+    a, w = np.column_stack([x, np.ones(120)]), np.zeros(4)
+    for _ in range(50):  # Newton steps on the mean log loss with a penalty on all but the constant
+        p = 1 / (1 + np.exp(-a @ w))
+        ridge = 0.01 * np.array([1, 1, 1, 0])
+        w -= np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) / 120 + np.diag(ridge), a.T @ (p - y) / 120 + ridge * w)
+    assert got == pytest.approx(list(1 / (1 + np.exp(-a @ w))), abs=2e-3)
+
+
+def test_runs_switch_between_head_and_blend(spark):
+    a = Audit(logs.events_single(spark, "/root/testdata/sf0.001")).settled()
+    kinds = {(m, h): one(a.run_model(m, h)[0].select("status").distinct()).status for m, h in (("gkt", True), ("gkt", False), ("bkt", True))}
+    assert kinds == {("gkt", True): "trained_leakage_head", ("gkt", False): "diagnostic", ("bkt", True): "diagnostic"}
+    assert {r["count"] for r in a.run_model("bkt", cap=7)[1].groupBy("fold").count().collect()} == {7}
 
 
 def test_bkt_fit_beats_its_start(spark):

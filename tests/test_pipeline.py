@@ -12,5 +12,13 @@ def test_runs_replace_their_data_set(spark, tmp_path):
     for name in stages:
         counts = {r["dataset"]: r["count"] for r in spark.read.parquet(f"{out}/{name}").groupBy("dataset").count().collect()}
         assert set(counts) == {"one", "two"} and counts["one"] == counts["two"] > 0
+    before = spark.read.parquet(f"{out}/e_pre").count()
+    pipeline.run(log.limit(50), "two", out, stages, force=False)  # nothing is left to do
+    assert spark.read.parquet(f"{out}/e_pre").count() == before
     text = pipeline.markdown(spark.read.parquet(f"{out}/leakage").orderBy("dataset", "fold"))
+    (tmp_path / "a.csv").write_text("who,what,skill,at,ok\nu,i,k,5,1\nv,j,l,6,0\n")
+    config = {"raw_path": str(tmp_path), "schema_mapping": {"user_id": "who", "item_id": "what", "kc_id": "skill", "timestamp": "at", "correct": "ok"}}
+    assert pipeline.prepare(spark, config, "three", out).count() == 2
+    (tmp_path / "a.csv").write_text("who,what,skill,at,ok\nu,i,k,5,1\n")
+    assert pipeline.prepare(spark, config, "three", out).count() == 2 and pipeline.prepare(spark, config, "three", out, force=True).count() == 1
     assert text.startswith("| fold | ecr_flag |") and text.count("\n") == 8
