@@ -9,9 +9,13 @@ what a link needs is not compared with that group. The others are sent to the gr
 of the whole sets is bounded in the same way before the members are opened. Results are exact: no link is lost and
 no cap is set; which tokens count as common only changes the cost.
 
-Scale: the corpus-wide shuffle is of (prefix token, id) pairs; blocks hold at most BLOCK_DOCS documents or BLOCK_TOKENS
-tokens; a group of any size is spread over blocks that share its most central document, and what that document does
-not tie together is checked against the other blocks. The common tokens that are broadcast number COMMON at most.
+Scale: the corpus-wide shuffles are of the classes' prefix tokens with ids; a token's least and largest id and its count
+are aggregated before they meet its rows, so a token that many sets share is summed up first and joined after. Blocks
+hold at most BLOCK_DOCS documents or BLOCK_TOKENS tokens; a group of any size is spread over blocks that share its most
+central document, and what that document does not tie together is checked against the other blocks. The common tokens
+that are broadcast number COMMON at most. Two parts still grow faster than the input where many sets differ but share
+tokens that their prefixes cannot avoid: (document, group) rows of such a token, and loose documents times blocks of
+one group.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import components, read, stage
@@ -33,6 +37,7 @@ COUNTED = 1 << 21  # tokens that a task counts at once
 BLOCK_DOCS = 1024
 BLOCK_TOKENS = 500_000
 SLAB_BYTES = 1 << 18
+DEALT_BYTES = 1 << 24  # of the sets that a batch of dealt rows holds
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so invertible modulo 2**64
@@ -205,20 +210,25 @@ def _dealt(width: int):
     """A row with the document's set for each place it goes to."""
     names = ["grp", "block", "chunk", "role", "blocks", "doc_id", "tokens"]
 
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, kinds)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                rows = {k: [] for k in names}
+                rows, size = [], 0
                 for doc, places, u in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(part.column(1), width)):
                     packed = u.tobytes()
                     for place in places:
-                        for k in names[:5]:
-                            rows[k].append(place[k])
-                        rows["doc_id"].append(doc)
-                        rows["tokens"].append(packed)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(rows[k], t) for k, t in zip(names, kinds)], names)
+                        rows.append((*(place[k] for k in names[:5]), doc, packed))
+                        size += len(packed)
+                        if size >= DEALT_BYTES:  # a centre goes to every block of its group
+                            yield told(rows)
+                            rows, size = [], 0
+                yield told(rows)
 
     return run
 
@@ -343,14 +353,16 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     common = common_tokens(both.where("n < 0").groupBy(F.col("k1").alias("token")).agg(F.sum("k2").alias("n")))
 
     shared = docs.sparkSession.sparkContext.broadcast(common)
-    rows = texts.where("doc_id is not null").mapInArrow(partial(_prefixed, shared, shingle, num, den), "doc_id long, tokens array<long>").select("doc_id", F.explode("tokens").alias("token"))
-    met = Window.partitionBy("token")
-    rows = rows.select("doc_id", "token", F.min("doc_id").over(met).alias("near"), F.max("doc_id").over(met).alias("far"))
-    met_rows = stage(rows.where("near <> far").select("doc_id", "token").join(reps.withColumn("need", needed(F.col("n"), num, den)), "doc_id"), "met")
+    rows = texts.where("doc_id is not null").mapInArrow(partial(_prefixed, shared, shingle, num, den), "doc_id long, tokens array<long>")
+    # one document a class goes on, before its tokens are dealt out
+    rows = rows.join(reps.withColumn("need", needed(F.col("n"), num, den)), "doc_id").select("doc_id", "n", "need", F.explode("tokens").alias("token"))
+    rows = stage(rows, "prefixes")
+    ends = lambda df: df.groupBy("token").agg(F.min("doc_id").alias("anchor"), F.max("doc_id").alias("far"), F.count("*").alias("cnt")).where("anchor <> far").drop("far")
+    met = stage(rows.join(ends(rows).select("token"), "token", "left_semi"), "met")
     # a document that shares fewer tokens with all others together is linked with none
-    able = met_rows.groupBy("doc_id", "need").agg(F.count("*").alias("tokens")).where("tokens >= need").select("doc_id")
-    hits = met_rows.join(able, "doc_id").select("doc_id", "n", "need", "token", F.min("doc_id").over(met).alias("anchor"), F.max("doc_id").over(met).alias("far"), F.count("*").over(met).alias("cnt"))
-    hits = stage(hits.where("anchor <> far").drop("far"), "hits", narrow=True)
+    able = met.groupBy("doc_id", "need").agg(F.count("*").alias("tokens")).where("tokens >= need").select("doc_id")
+    met = met.join(able, "doc_id", "left_semi")
+    hits = stage(met.join(ends(met), "token"), "hits")
 
     votes = hits.groupBy("doc_id", "n", "need", "anchor").agg(F.count("*").alias("votes"), F.sum("cnt").alias("central"))
     group = votes.groupBy("doc_id", "n", "need").agg(F.max_by("anchor", F.struct("votes", -F.col("anchor"))).alias("grp"), F.sum("central").alias("central"))
@@ -384,7 +396,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
         edges = edges.union(_open(texts, members, queries, shingle, num, den, "loose").where("kind = 0").select("a", "b"))
     roots = components(edges, "a", "b")
     named = classes.join(roots, classes.rep == roots.node, "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-    return base.join(named, ["n", "k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    placed = base.where("n > 0").join(named, ["n", "k1", "k2"], "left").select("doc_id", "n", "component_id")
+    # texts without words have no class and meet nothing
+    placed = placed.union(base.where("n = 0").select("doc_id", "n", F.col("doc_id")))
+    return placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,9 +24,11 @@ def _own_folder() -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset and all tasks run on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = _own_folder()
     return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
 
@@ -34,11 +36,12 @@ def scratch(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back, which cuts its lineage and survives lost executors.
 
-    narrow: a table of a few numbers a row, written by an eighth of the shuffle partitions.
+    narrow: a table of a few numbers a row, dealt to an eighth of the shuffle partitions before it is written; what
+    makes its rows keeps all its tasks.
     """
     spark = df.sparkSession
     if narrow:
-        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+        df = df.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
