@@ -3,10 +3,13 @@
 Targets share 150 % of all words by weight, none above twice its source. Blocks of BLOCK_WORDS words are seats: sources
 get integer quotas by the highest quotients target / (2 k + 1), and so do the shards of a source, by their sizes.
 A shard is a line of its documents in seeded order, twice over, cut into blocks; a seeded permutation of the blocks
-picks the shard's quota, and a document takes what the picked blocks cover of it.
+picks the shard's quota, and a document takes what the picked blocks cover of it. The permutation is three seeded turns
+with a prime stride and, between them, two exchanges of each block with the one whose number differs by a seeded mask,
+where there is such a block.
 
-Scale: a source of any size is spread over shards of about SHARD_WORDS words, so no window grows with the input; the
-tables of sources and shards hold a row each and are joined, never collected.
+Scale: a source of any size is spread over shards of about SHARD_WORDS words or SHARD_ROWS documents, whichever makes
+more shards, so a line of documents is one window of bounded size. The tables of sources and shards hold a row each and
+are joined, never collected; the shards of a source, a row for some millions of words, are ranked in one task.
 """
 
 from __future__ import annotations
@@ -18,8 +21,10 @@ from .shared import WORD, read, sealed, stage
 
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 16
-SHARD_WORDS = 1 << 20
-STRIDE = 2147483647  # a prime above any number of blocks, so that it permutes them
+SHARD_WORDS = 1 << 22
+SHARD_ROWS = 1 << 15
+STRIDES = (2147483647, 1000000007, 1999999973)  # primes above any number of blocks, so that each permutes them
+TURNS = ("turn", "mask", "turn2", "mask2", "turn3")
 SEED = "mix"
 
 
@@ -61,10 +66,18 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0) -> D
     return s.select("source", "source_size", F.least("cap_", F.coalesce(F.col("level_") * F.col("weight_"), F.col("cap_"))).alias("target"))
 
 
+def permuted(b: Column, blocks: Column, draws: tuple[Column, ...]) -> Column:
+    """The place of block b of 0 .. blocks - 1 in the seeded permutation; draws below blocks, in the order of TURNS."""
+    first, mask, second, mask2, third = draws
+    turned = lambda x, stride, by: (x * F.lit(stride) + by) % blocks
+    swapped = lambda x, m: F.when(x.bitwiseXOR(m) < blocks, x.bitwiseXOR(m)).otherwise(x)
+    return turned(swapped(turned(swapped(turned(b, STRIDES[0], first), mask), STRIDES[1], second), mask2), STRIDES[2], third)
+
+
 def covered(start: Column, end: Column) -> Column:
     """Words of [start, end) that lie in picked blocks."""
-    size, (blocks, quota, turn) = F.lit(BLOCK_WORDS), map(F.col, ("blocks", "quota", "turn"))
-    picked = lambda b: (b * F.lit(STRIDE) + turn) % blocks < quota
+    size, blocks, quota = F.lit(BLOCK_WORDS), F.col("blocks"), F.col("quota")
+    picked = lambda b: permuted(b, blocks, tuple(map(F.col, TURNS))) < quota
     part = lambda b: F.when(picked(b), F.least(end, (b + 1) * size) - F.greatest(start, b * size)).otherwise(F.lit(0))
     span = F.sequence(F.floor(start / size), F.floor((end - 1) / size))
     return F.when(end > start, F.aggregate(span, F.lit(0).cast("long"), lambda a, b: a + part(b).cast("long"))).otherwise(F.lit(0).cast("long"))
@@ -80,15 +93,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("tie"), F.struct(F.lit(0).alias("_"), *keep).alias("keep_"))
     rows = stage(rows, "sizes")
-    targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
+    targets = source_targets(sources.select("source", "source_size"))
     seats = targets.withColumn("seats", F.round(F.sum("target").over(Window.partitionBy()) / BLOCK_WORDS).cast("long"))
-    quotas = apportion(seats, [], "source", "target", "seats").select(F.col("source").alias("of"), "source_size", "target", F.col("quota").alias("seats")).withColumn("shards", F.greatest(F.ceil(F.col("source_size") / SHARD_WORDS), F.lit(1)))
+    quotas = apportion(seats, [], "source", "target", "seats").select(F.col("source").alias("of"), "source_size", "target", F.col("quota").alias("seats"))
+    shards = F.greatest(F.ceil(F.col("source_size") / SHARD_WORDS), F.ceil(F.col("docs") / SHARD_ROWS))
+    quotas = quotas.join(sources.select(F.col("source").alias("of_"), "docs"), F.col("of").eqNullSafe(F.col("of_"))).select("of", "source_size", "target", "seats", shards.alias("shards"))
     quotas = stage(quotas, "quotas")
-    dealt = rows.join(quotas, F.col("source").eqNullSafe(F.col("of"))).withColumn("shard", seeded(F.lit("shard"), F.col("doc_id")) % F.col("shards")).drop("of")
+    dealt = rows.join(quotas, F.col("source").eqNullSafe(F.col("of"))).withColumn("shard", seeded(F.lit("shard"), F.coalesce(F.col("doc_id").cast("string"), F.col("tie"))) % F.col("shards")).drop("of")
     shards = dealt.groupBy("source", "seats", "shard").agg(F.sum("size").alias("shard_size"))
     shards = apportion(shards, ["source"], "shard", "shard_size", "seats")
     blocks = F.greatest(F.ceil(2 * F.col("shard_size") / BLOCK_WORDS), F.lit(1)).cast("long")
-    shards = shards.select(F.col("source").alias("of"), F.col("shard").alias("at"), "shard_size", blocks.alias("blocks"), "quota").withColumn("turn", seeded(F.lit("turn"), F.col("of"), F.col("at")) % F.col("blocks"))
+    shards = shards.select(F.col("source").alias("of"), F.col("shard").alias("at"), "shard_size", blocks.alias("blocks"), "quota")
+    shards = shards.withColumns({t: seeded(F.lit(t), F.col("of"), F.col("at")) % F.col("blocks") for t in TURNS})
     line = Window.partitionBy("source", "shard").orderBy(seeded(F.lit("order"), F.col("doc_id")), "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
     placed = dealt.withColumn("end", F.sum("size").over(line)).withColumn("start", F.col("end") - F.col("size"))
     placed = placed.join(shards, F.col("source").eqNullSafe(F.col("of")) & (F.col("shard") == F.col("at")))
@@ -100,24 +117,31 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
 
+def _sql_place() -> str:
+    swapped = lambda x, m: f"(CASE WHEN xor({x}, {m}) < blocks THEN xor({x}, {m}) ELSE {x} END)"
+    turned = lambda x, stride, by: f"(({x} * {stride}::BIGINT + {by}) % blocks)"
+    return turned(swapped(turned(swapped(turned("b", STRIDES[0], "turn"), "mask"), STRIDES[1], "turn2"), "mask2"), STRIDES[2], "turn3")
+
+
+_PLACE = _sql_place()
 OP5_SQL = f"""
 WITH rows_ AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(text, '')) AS tie FROM documents),
-src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM rows_ GROUP BY source),
+src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS docs FROM rows_ GROUP BY source),
 w AS (SELECT *, CAST([5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS DOUBLE) AS weight, 2.0::DOUBLE * source_size AS cap FROM src),
 f AS (SELECT *, cap / weight AS full_, 1.5::DOUBLE * sum(source_size) OVER () AS budget FROM w),
 g AS (SELECT *, coalesce(sum(cap) OVER b, 0) AS spent, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS rest FROM f
       WINDOW b AS (ORDER BY full_, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 lv AS (SELECT arg_min((budget - spent) / rest, full_) AS lev FROM (SELECT * FROM g WHERE spent + full_ * rest >= budget ORDER BY full_, source NULLS LAST LIMIT 1)),
-t AS (SELECT source, source_size, least(cap, coalesce(lev * weight, cap)) AS target FROM g, lv),
+t AS (SELECT source, source_size, docs, least(cap, coalesce(lev * weight, cap)) AS target FROM g, lv),
 s1 AS (SELECT *, CAST(round(sum(target) OVER () / {BLOCK_WORDS}) AS BIGINT) AS seats, sum(target) OVER () AS tv, count(*) OVER () AS n FROM t),
 s2 AS (SELECT *, CASE WHEN tv > 0 THEN target * seats / tv ELSE 0 END AS x FROM s1),
 s3 AS (SELECT *, ceil(x * n / (2 * greatest(seats, 1))) + 1 AS m FROM s2),
 s4 AS (SELECT *, CAST(greatest(floor(x) - m, 0) AS BIGINT) AS low FROM s3),
 s5 AS (SELECT *, unnest(range(low, CAST(floor(x) + m + 2 AS BIGINT))) AS k, seats - sum(low) OVER () AS lft FROM s4),
 s6 AS (SELECT *, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source NULLS LAST) AS rk FROM s5),
-q AS (SELECT source AS of_, source_size, target, any_value(low) + count(*) FILTER (rk <= lft AND target > 0) AS seats, greatest(CAST(ceil(source_size / {SHARD_WORDS}.0) AS BIGINT), 1) AS shards FROM s6 GROUP BY source, source_size, target),
-d AS (SELECT r.*, q.*, CAST(concat('0x', substr(md5(concat('{SEED}:shard:', coalesce(CAST(doc_id AS VARCHAR), ''))), 1, 8)) AS BIGINT) % shards AS shard FROM rows_ r JOIN q ON r.source IS NOT DISTINCT FROM q.of_),
+q AS (SELECT source AS of_, source_size, target, any_value(low) + count(*) FILTER (rk <= lft AND target > 0) AS seats, greatest(CAST(ceil(source_size / {SHARD_WORDS}.0) AS BIGINT), CAST(ceil(docs / {SHARD_ROWS}.0) AS BIGINT)) AS shards FROM s6 GROUP BY source, source_size, docs, target),
+d AS (SELECT r.*, q.*, CAST(concat('0x', substr(md5(concat('{SEED}:shard:', coalesce(CAST(doc_id AS VARCHAR), tie))), 1, 8)) AS BIGINT) % shards AS shard FROM rows_ r JOIN q ON r.source IS NOT DISTINCT FROM q.of_),
 h AS (SELECT source, seats, shard, CAST(sum(size) AS BIGINT) AS shard_size FROM d GROUP BY source, seats, shard),
 h1 AS (SELECT *, sum(shard_size) OVER o AS tv, count(*) OVER o AS n FROM h WINDOW o AS (PARTITION BY source)),
 h2 AS (SELECT *, CASE WHEN tv > 0 THEN shard_size * seats / CAST(tv AS DOUBLE) ELSE 0 END AS x FROM h1),
@@ -126,11 +150,11 @@ h4 AS (SELECT *, CAST(greatest(floor(x) - m, 0) AS BIGINT) AS low FROM h3),
 h5 AS (SELECT *, unnest(range(low, CAST(floor(x) + m + 2 AS BIGINT))) AS k, seats - sum(low) OVER (PARTITION BY source) AS lft FROM h4),
 h6 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY shard_size / CAST(2 * k + 1 AS DOUBLE) DESC, shard) AS rk FROM h5),
 c AS (SELECT source AS of2, shard AS sh, shard_size, any_value(low) + count(*) FILTER (rk <= lft AND shard_size > 0) AS quota, greatest(CAST(ceil(2 * shard_size / {BLOCK_WORDS}.0) AS BIGINT), 1) AS blocks FROM h6 GROUP BY source, shard, shard_size),
-c2 AS (SELECT *, CAST(concat('0x', substr(md5(concat('{SEED}:turn:', coalesce(of2, ''), ':', CAST(sh AS VARCHAR))), 1, 8)) AS BIGINT) % blocks AS turn FROM c),
+c2 AS (SELECT *, {', '.join(f"CAST(concat('0x', substr(md5(concat('{SEED}:{t}:', coalesce(of2, ''), ':', CAST(sh AS VARCHAR))), 1, 8)) AS BIGINT) % blocks AS {t}" for t in TURNS)} FROM c),
 p AS (SELECT d.*, CAST(sum(size) OVER (PARTITION BY source, shard ORDER BY CAST(concat('0x', substr(md5(concat('{SEED}:order:', coalesce(CAST(doc_id AS VARCHAR), ''))), 1, 8)) AS BIGINT), doc_id, tie ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM d),
 p2 AS (SELECT p.*, p.e - p.size AS s, c2.* FROM p JOIN c2 ON p.source IS NOT DISTINCT FROM c2.of2 AND p.shard = c2.sh),
 two AS (SELECT *, unnest([s, s + shard_size]) AS a, unnest([e, e + shard_size]) AS z FROM p2)
 SELECT doc_id, size, source_size, target, CAST(sum(coalesce(list_sum(list_transform(range(a // {BLOCK_WORDS}, CASE WHEN z > a THEN (z - 1) // {BLOCK_WORDS} + 1 ELSE a // {BLOCK_WORDS} END),
-  lambda b: CASE WHEN (b * {STRIDE} + turn) % blocks < quota THEN least(z, (b + 1) * {BLOCK_WORDS}) - greatest(a, b * {BLOCK_WORDS}) ELSE 0 END)), 0)) AS BIGINT) AS taken, source
+  lambda b: CASE WHEN {_PLACE} < quota THEN least(z, (b + 1) * {BLOCK_WORDS}) - greatest(a, b * {BLOCK_WORDS}) ELSE 0 END)), 0)) AS BIGINT) AS taken, source
 FROM two GROUP BY doc_id, tie, s, size, source_size, target, source
 """

@@ -263,6 +263,25 @@ def test_mixing(spark):
     assert [r.taken for r in mixing.mix(docs(spark, [None, ""])).collect()] == [0, 0]
 
 
+def test_blocks_are_permuted(spark):
+    draws = [F.lit(d) for d in (3, 77, 12, 40, 9)]
+    for n in (1, 2, 97, 131072):
+        own = [d % n for d in draws]
+        places = spark.range(n).select("id", mixing.permuted(F.col("id"), F.lit(n), own).alias("at")).cache()
+        assert places.select("at").distinct().count() == n and tuple(places.agg(F.min("at"), F.max("at")).first()) == (0, n - 1)
+        if n == 131072:  # the first places are no run or lattice of blocks
+            picked = sorted(r.id for r in places.where("at < 1000").collect())
+            assert len({b - a for a, b in zip(picked, picked[1:])}) > 20
+
+
+def test_many_empty_texts_are_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 20)
+    df = docs(spark, [None, "", "a b c"] * 60)
+    rows = mixing.mix(df).collect()
+    assert len(rows) == 180 and all(0 <= r.taken <= 2 * r.size for r in rows)
+    assert sum(r.taken for r in rows) == pytest.approx(1.5 * sum(r.size for r in rows), abs=2 * mixing.BLOCK_WORDS)
+
+
 def test_apportionment_is_highest_quotients(spark):
     rnd = random.Random(5)
     for n, seats in ((1, 7), (5, 3), (9, 40), (20, 400)):
