@@ -12,7 +12,8 @@ Inside an article or main element content importance falls by the share of pages
 a paragraph which some articles have in common stays and a notice which most of them show goes.
 
 Scale: the merged tree is sums over (host, path, hash) keys, so a host of any size is spread by block; only blocks
-that repeat and fall below the threshold go back to the pages.
+that repeat and fall below the threshold go back to the pages. Few of them (FEW_LOW) are broadcast; else each page is
+sent those that it has itself, never all of its host.
 """
 
 from __future__ import annotations
@@ -29,10 +30,11 @@ from pyspark.sql import functions as F
 from .shared import read, stage
 
 LOW = 0.3  # importance below which a branch is removed
-SALTS = 256  # parts of a host's pages in the join with its low branches
+SALTS = 16  # parts of the copies of a page in the join with its low branches
 FEW_LOW = 1 << 16  # low blocks that may be broadcast
 PRIOR_PAGES = 2.0  # pages that the names count for
 OUTSIDE = 0.5  # importance by name of a block outside the article or main elements of its page
+MOSTLY = 10  # so many times longer than all else is what a furniture name must not hide
 GAMMA = 0.9  # weight of an element's descendants against its own presentation
 
 #: Fixed values of HTML.
@@ -61,12 +63,13 @@ def _names(attributes: str) -> str:
     return " ".join(" ".join(out).split()).lower()
 
 
-def _furniture(tag: str, names: str, inside_main: bool) -> bool:
+def _furniture(tag: str, names: str, inside_main: bool) -> int:
+    """0 for no furniture, 1 for what the tag or hiding makes so, 2 for what its class, id or role does."""
     if tag in FURNITURE or tag == "header" and not inside_main:
-        return True
+        return 1
     if not names or tag in ("html", "body", "main") or names == "main":
-        return False
-    return names == "hidden" or " hidden" in names or bool(NAMES.search(names))
+        return 0
+    return 1 if names == "hidden" or " hidden" in names else 2 * bool(NAMES.search(names))
 
 
 def _hash(text: str) -> int:
@@ -92,21 +95,30 @@ def page_blocks(html: str) -> tuple[list[Block], dict[int, list[str]]]:
     """Blocks of text outside furniture, in page order, and the child sequence of each element outside furniture.
 
     Where the only article or main elements lie in elements whose class or id reads as furniture (a page "with
-    sidebar"), those names are not believed.
+    sidebar"), those names are not believed. Nor is, on a page without such elements, the name of the longest branch that
+    only its name makes furniture, where what else the page holds is under 1 / MOSTLY of its length (a "book review").
     """
-    found = _page_blocks(html, False)
-    if not any(b.main for b in found[0]) and re.search("<(?:article|main)", html, re.I):
-        again = _page_blocks(html, True)
-        if any(b.main for b in again[0]):
-            return again
-    return found
+    blocks, children, named = _page_blocks(html, False)
+    if not any(b.main for b in blocks):
+        if re.search("<(?:article|main)", html, re.I):
+            again = _page_blocks(html, True)
+            if any(b.main for b in again[0]):
+                return again[:2]
+        if named and MOSTLY * sum(len(b.text) for b in blocks) < max(named):
+            return _page_blocks(html, False, named.index(max(named)))[:2]
+    return blocks, children
+
 
+def _page_blocks(html: str, revive: bool, spared: int = -1) -> tuple[list[Block], dict[int, list[str]], list[int]]:
+    """Blocks, child sequences, and the characters of text in each outermost branch that its name makes furniture.
 
-def _page_blocks(html: str, revive: bool) -> tuple[list[Block], dict[int, list[str]]]:
+    revive: article and main elements in such branches are none; spared: the number of a branch that is none.
+    """
     blocks: list[Block] = []
     children: dict[int, list[str]] = {}
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, hash of the path, furniture, main
+    stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, -1)]  # tag, hash of the path, furniture, main, named branch
     run: list[str] = []
+    named: list[int] = []
 
     def end_block() -> None:
         if run:
@@ -125,8 +137,12 @@ def _page_blocks(html: str, revive: bool) -> tuple[list[Block], dict[int, list[s
     at, low = 0, None
     while at < len(html):
         tag = TAG.search(html, at)
-        if not stack[-1][2] and (tag is None or tag.start() > at):
-            run.append(html[at : tag.start()] if tag else html[at:])
+        if tag is None or tag.start() > at:
+            text = html[at : tag.start()] if tag else html[at:]
+            if not stack[-1][2]:
+                run.append(text)
+            elif stack[-1][4] >= 0:
+                named[stack[-1][4]] += len(text.strip())
         if tag is None:
             break
         at = tag.end()
@@ -164,12 +180,19 @@ def _page_blocks(html: str, revive: bool) -> tuple[list[Block], dict[int, list[s
                     break
         if name in VOID:
             continue
-        _, path, dropped, main = stack[-1]
+        _, path, dropped, main, branch = stack[-1]
         names = _names(tag[3])
+        kind = _furniture(name, names, main)
         if revive and dropped and name in ("article", "main") and all(x[0] not in FURNITURE for x in stack):
-            dropped = _furniture(name, names, main)
+            dropped = bool(kind)
+        elif dropped:
+            branch = -1 if kind == 1 else branch
+        elif kind == 2:
+            branch = len(named)
+            named.append(0)
+            dropped = branch != spared
         else:
-            dropped = dropped or _furniture(name, names, main)
+            dropped = bool(kind)
         main = not dropped and (main or name in ("article", "main") or "main" in names.split())
         shown = f"{name}.{names}" if names else name
         if not dropped:
@@ -181,10 +204,10 @@ def _page_blocks(html: str, revive: bool) -> tuple[list[Block], dict[int, list[s
             at = len(html) if end < 0 else end
         if tag[3].endswith("/") and name not in INLINE:
             continue
-        stack.append((name, path, dropped, main))
+        stack.append((name, path, dropped, main, branch))
     leave(1)
     end_block()
-    return blocks, children
+    return blocks, children, named
 
 
 def host_of(url: str | None) -> str:
@@ -192,27 +215,30 @@ def host_of(url: str | None) -> str:
     return match[1].lower() if match else ""
 
 
-PAGE = pa.schema({"host": pa.string(), "page": pa.int64(), "style_path": pa.list_(pa.int64()), "style_key": pa.list_(pa.int64()), "path": pa.list_(pa.int64()), "key": pa.list_(pa.int64()), "prior": pa.list_(pa.float64()), "main": pa.list_(pa.int32())})
+PAGE = pa.schema({"content": pa.string(), "host": pa.string(), "page": pa.int64(), "style_path": pa.list_(pa.int64()), "style_key": pa.list_(pa.int64()), "path": pa.list_(pa.int64()), "key": pa.list_(pa.int64()), "prior": pa.list_(pa.float64()), "main": pa.list_(pa.int32())})
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each page its host, a hash of its blocks, its style nodes, and its blocks with their prior importance."""
     for batch in batches:
         rows: list[tuple] = []
-        for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for content, url, html in zip(*(batch.column(i).to_pylist() for i in range(3))):
             blocks, children = page_blocks(html or "")
             outside = OUTSIDE if any(b.main for b in blocks) else 1.0
             own = {(b.path, b.key): b.main for b in blocks}
             page = _hash(" ".join(str(key) for _, key in sorted(own)))
-            rows.append((host_of(url), page, list(children), [_hash(" ".join(x)) for x in children.values()], [path for path, _ in own], [key for _, key in own], [1.0 if x else outside for x in own.values()], list(map(int, own.values()))))
+            rows.append((content, host_of(url), page, list(children), [_hash(" ".join(x)) for x in children.values()], [path for path, _ in own], [key for _, key in own], [1.0 if x else outside for x in own.values()], list(map(int, own.values()))))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(PAGE), PAGE.types)], schema=PAGE)
 
 
-def low_branches(pages: DataFrame) -> DataFrame:
-    """(host, low): per host the keys of blocks whose composite importance is low."""
-    kinds = "host string, page long, style_path array<long>, style_key array<long>, path array<long>, key array<long>, prior array<double>, main array<int>"
-    facts = stage(pages.select("url", "html").mapInArrow(_facts, kinds), "style").dropDuplicates(["host", "page"])
-    facts = stage(facts, "style-pages")
+def low_branches(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, key) of the blocks whose composite importance is low, and (content, host, key) of the blocks of each page.
+
+    content is a digest that the pages bring along. Null urls are of the host ''; pages without text have no blocks.
+    """
+    kinds = "content string, host string, page long, style_path array<long>, style_key array<long>, path array<long>, key array<long>, prior array<double>, main array<int>"
+    every = stage(pages.select("content", "url", "html").mapInArrow(_facts, kinds), "style")
+    facts = stage(every.drop("content").dropDuplicates(["host", "page"]), "style-pages")
     m = facts.groupBy("host").agg(F.count("*").cast("double").alias("m"))
     block = facts.select("host", F.explode(F.arrays_zip("path", "key", "prior", "main")).alias("b")).groupBy("host", "b.path", "b.key").agg(F.count("*").cast("double").alias("c"), F.avg("b.prior").alias("prior"), F.avg("b.main").alias("main"))
     block = block.where("c > 1")  # what one page shows has a content importance of 1
@@ -224,13 +250,13 @@ def low_branches(pages: DataFrame) -> DataFrame:
     repeated = F.col("main") * F.col("c") / F.col("m") + (1 - F.col("main")) * F.log("c") / F.log("m")
     measured = (1 - GAMMA) * presentation + GAMMA * (1 - repeated)
     importance = (PRIOR_PAGES * F.col("prior") + F.col("m") * measured) / (PRIOR_PAGES + F.col("m"))
-    return stage(both.where(importance < LOW).groupBy("host").agg(F.collect_list("key").alias("low")), "low")
+    return stage(both.where(importance < LOW).select("host", "key").distinct(), "low"), every.select("content", "host", F.explode("key").alias("key"))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for html, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+        for html, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):  # low: keys, of the page or of its host
             blocks, _ = page_blocks(html or "")
             if low:
                 low = set(low)
@@ -248,14 +274,17 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     are ignored; an empty table gives no rows.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    low = low_branches(rows).withColumnRenamed("host", "of_")
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"://([^/?#]*)", 1), F.lit("")))
-    if (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= FEW_LOW:
-        joined = rows.join(F.broadcast(low), host == F.col("of_"), "left")
+    rows = rows.withColumn("content", F.sha1(F.concat_ws("\n", F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))))
+    low, blocks = low_branches(rows)
+    if low.count() <= FEW_LOW:
+        host = F.lower(F.coalesce(F.regexp_extract("url", r"://([^/?#]*)", 1), F.lit("")))
+        low = low.groupBy(F.col("host").alias("of_")).agg(F.collect_list("key").alias("low"))
+        joined = rows.join(F.broadcast(low), host == F.col("of_"), "left")  # FEW_LOW keys at most
     else:
-        low = low.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salt = F.pmod(F.xxhash64("url", "page_id"), F.lit(SALTS)).cast("int")
-        joined = rows.join(low, (host == F.col("of_")) & (salt == F.col("salt_")), "left")
+        own = blocks.distinct().join(low, ["host", "key"]).groupBy(F.col("content").alias("of_")).agg(F.collect_list("key").alias("low"))
+        own = own.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")
+        joined = rows.join(own, (F.col("content") == F.col("of_")) & (salt == F.col("salt_")), "left")
     joined = joined.select("page_id", "url", "html", "low")
     return joined.mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
 

@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import html
+import itertools
 import math
 import random
 import re
@@ -312,6 +313,29 @@ def test_segmentation():
     assert url_filter.segment("zqxzqx", model) == ["zqxzqx"] and url_filter.segment("", model) == []
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_segmentation_and_score_are_the_best_of_all(seed):
+    """Of all splits of a name the cheapest, and the score from the counts of the example names."""
+    rnd = random.Random(seed)
+    model = url_filter.train({"casinos": 9, "winter": 30, "pill": 4, "ter": 3})
+
+    def price(parts):
+        return sum(model.cost[w] if w in model.cost else model.unknown * len(w) for w in parts)
+
+    for _ in range(60):
+        name = "".join(rnd.choice(["win", "ter", "pills", "club", "x", "zq", "news", "ads", "winter", "s"]) for _ in range(rnd.randrange(1, 4)))[:12]
+        cuts = [[name[a:b] for a, b in zip((0, *at), (*at, len(name)))] for n in range(len(name)) for at in itertools.combinations(range(1, len(name)), n)]
+        got = url_filter.segment(name, model)
+        assert "".join(got) == name
+        if name not in model.own:
+            assert price(got) == pytest.approx(min(map(price, cuts)))
+    block, allow = ([w for site in sites for w in site.split()] for sites in (url_filter.BLOCK_SITES, url_filter.ALLOW_SITES))
+    known = set(block) | set(allow)
+    odds = lambda w: math.log((block.count(w) + 1) / (len(block) + len(known)) / ((allow.count(w) + 1) / (len(allow) + len(known))))
+    expected = math.log(0.4 / 0.6) + odds("casino") + odds("library") + odds("pills")
+    assert url_filter.score("www.casino-library.com", "/pills/zq", model) == pytest.approx(expected)
+
+
 def test_words_of_the_corpus_stay_whole(spark):
     clean = ["winter", "window", "between", "alphabet", "population", "together", "hotel", "both", "twins", "uploads"]
     urls = [f"http://s{i}.site{chr(97 + i)}.net/{word}/" for word in clean for i in range(4)]
@@ -338,6 +362,23 @@ def test_main_text(spark):
     assert site_style.main_texts(spark.createDataFrame([], PAGES)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["book review", "product-reviews", "comments-off post", "search results side"])
+def test_names_do_not_empty_a_page(name):
+    html = f"<nav>Home</nav><p>Hi</p><section class='{name}'><p>The body of the text, all of it.</p><div class='comments'>Nice</div></section><div class='ad'>Buy</div><footer>x</footer>"
+    assert [b.text for b in site_style.page_blocks(html)[0]] == ["Hi", "The body of the text, all of it."]
+    article = f"<article>The text.</article><section class='{name}'><p>{'Other words. ' * 20}</p></section>"
+    assert [b.text for b in site_style.page_blocks(article)[0]] == ["The text."]
+
+
+def test_many_low_branches_are_sent_by_page(spark, monkeypatch):
+    rows = [(i % 30, f"http://a{i % 3}.org/{i}", f"<div><p>Own {i} words</p></div><div><p>Same on site {i % 3}</p></div>", None) for i in range(30)] * 2 + [(None, None, None, None)] * 2
+    df = spark.createDataFrame(rows, PAGES)
+    few = sorted(site_style.main_texts(df).collect(), key=str)
+    monkeypatch.setattr(site_style, "FEW_LOW", 0)
+    assert sorted(site_style.main_texts(df).collect(), key=str) == few and len(few) == 62
+    assert {r.text for r in few} == {f"Own {i} words" for i in range(30)} | {""}
+
+
 def test_pages_of_the_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.page_id: r.text for r in site_style.main_texts(pages).collect()}
