@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -446,6 +447,44 @@ def test_preference_quality(spark):
     assert preference_quality.quality_scores(docs(spark, []), labels).count() == 0
 
 
+def plain_features(text):
+    text = text or ""
+    w, n = words_of(text), max(1, len(text))
+    share = lambda characters: math.sqrt(sum(text.count(c) for c in characters) / n)
+    size = max(1, len(w))
+    same = sum(a == b for a, b in zip(w, w[1:]))
+    upper = sum(c.isupper() for c in text)
+    return [math.log1p(len(w)), share("#*$%&<>"), share("|"), share("!"), math.sqrt(upper / n), share("0123456789"), math.sqrt(same / size), max(1, len(set(w))) / size, min(len(text) / size, 40) / 40, share("\n")]
+
+
+def test_quality_scores_are_recomputed(spark):
+    """Features, weights, threshold and scores in NumPy; ties at the threshold, repeated rows and ids, clashing labels."""
+    rnd = random.Random(8)
+    texts = [prose(rnd, rnd.randrange(5, 60)) + (" !!" * (i % 3 == 0) * 5) + " |" * (i % 7) for i in range(120)] + ODD
+    df = docs(spark, texts).union(docs(spark, texts[:4]))
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), "x", 1) for i in range(120)] + [(5, 1, "x", 1), (None, 1, "x", 1), (7, None, "x", 1)], "doc_id long, quality int, text string, score int")
+    got = preference_quality.quality_scores(df, labels, keep=("score",)).collect()
+    assert len(got) == len(texts) + 4 and got[0].score != "clash"
+    words = sorted({w for t in texts for w in words_of(t)})
+    of = {r.w: r.b for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", preference_quality.bucket(F.col("w")).alias("b")).collect()}
+    x = []
+    for t in texts:
+        n = np.bincount([of[w] for w in words_of(t)], minlength=preference_quality.BUCKETS).astype(float) if words_of(t) else np.zeros(preference_quality.BUCKETS)
+        x.append([*plain_features(t), *(n / max(1, n.sum()))])
+    x = np.array(x)
+    train = [i for i in range(120) if zlib.crc32(str(i).encode()) % 5]
+    y = np.array([int(i % 3 > 0) for i in train])
+    raw = x @ preference_quality.fit(x[train], y)
+    counted = sorted([raw[i] for i in train] + [raw[i] for i in train if i < 4])
+    bad = int((y == 0).sum()) + sum(i % 3 == 0 for i in train if i < 4)
+    expected = 0.3 / (0.3 + 0.7 * np.exp(-(raw - (counted[bad - 1] + counted[bad]) / 2)))
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert r[2] == pytest.approx(expected[r.doc_id], abs=1e-6)
+    same = preference_quality.quality_scores(docs(spark, ["a b c"] * 40), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")).collect()
+    assert {(r.score, r.predicted) for r in same} == {(0.3, 1)}
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, kept string"
 
 
