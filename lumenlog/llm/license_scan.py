@@ -120,14 +120,20 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    rows = ", ".join(f"({i}, '{name}', {template_bigrams(text)!r})" for i, (name, text) in enumerate(TEMPLATES))
+    """The same units by lists: lines and whole texts, and all windows that begin at one of a template's bigrams."""
+    sized = [(name, grams, *size_bounds(len(grams), LEAST)) for name, text in TEMPLATES if (grams := template_bigrams(text))]
+    rows = ", ".join(f"({i}, '{name}', {grams!r}, {low}, {high})" for i, (name, grams, low, high) in enumerate(sized))
     return rf"""
-WITH template(id, name, own) AS (VALUES {rows}),
+WITH template(id, name, own, low, high) AS (VALUES {rows}),
 unit AS (SELECT doc_id, unnest(list_distinct(list_concat(string_split(lower(coalesce(text, '')), chr(10)), [lower(coalesce(text, ''))]))) AS u FROM documents),
 word AS (SELECT doc_id, list_filter(string_split_regex(u, '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS w FROM unit),
 gram AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM word WHERE len(w) > 1),
-met AS (SELECT doc_id, name, 2.0::DOUBLE * len(list_intersect(g, own)) / (len(g) + len(own)) AS dice FROM gram JOIN template
-        ON len(g) * (2 - {LEAST}) + 1e-9 >= {LEAST} * len(own) AND len(g) * {LEAST} <= (2 - {LEAST}) * len(own) + 1e-9),
+whole AS (SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS p FROM (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS w FROM documents) WHERE len(w) > 1),
+start AS (SELECT doc_id, p, name, own, low, high, unnest(list_filter(range(1, len(p) + 1), lambda i: list_contains(own, p[i]))) AS i FROM whole JOIN template ON len(list_intersect(p, own)) >= low),
+win AS (SELECT DISTINCT name, own, doc_id, list_distinct(p[i:i + k - 1]) AS g FROM (SELECT *, unnest(range(low, least(high, len(p) - i + 1) + 1)) AS k FROM start)),
+met AS (SELECT doc_id, name, 2.0::DOUBLE * len(list_intersect(g, own)) / (len(g) + len(own)) AS dice FROM gram JOIN template ON len(g) BETWEEN low AND high
+  UNION ALL SELECT doc_id, name, 2.0::DOUBLE * len(list_intersect(g, own)) / (len(g) + len(own)) FROM win),
 hit AS (SELECT doc_id, name, max(dice) AS dice FROM met WHERE dice >= {LEAST} GROUP BY doc_id, name),
 best AS (SELECT doc_id, max(dice) AS similarity, string_agg(name, ',' ORDER BY name) AS licenses, arg_min(name, (-dice, name)) AS license FROM hit GROUP BY doc_id)
 SELECT d.doc_id, license, coalesce(similarity, 0.0)::DOUBLE AS similarity, coalesce(licenses, '') AS licenses FROM documents d LEFT JOIN best USING (doc_id)

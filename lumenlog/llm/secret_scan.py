@@ -121,14 +121,17 @@ def trigram_query(pattern: str) -> Query:
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(doc_id, kinds): for each document the indexed rules that it may match."""
+    """(key, kinds): for each key of docs (key, text) the indexed rules that a text of the key may match.
+
+    Null and empty texts hold no trigrams and have no row; rows that repeat a key share one; no rules or rows give none.
+    """
     rows = [(rule.kind, at, gram, len(grams)) for rule in rules for at, grams in enumerate(sorted(map(sorted, trigram_query(rule.pattern)))) for gram in grams]
     asked = docs.sparkSession.createDataFrame(rows, "kind string, alternative int, gram string, need int")
     low = F.col("low")
     held = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in sorted({r[2] for r in rows})))) if rows else F.array().cast("array<string>")
-    postings = docs.select("doc_id", F.lower("text").alias("low")).select("doc_id", F.explode(held).alias("gram"))
-    met = postings.join(F.broadcast(asked), "gram").groupBy("doc_id", "kind", "alternative").agg(F.count_distinct("gram").alias("have"), F.first("need").alias("need"))
-    return met.where("have = need").groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
+    postings = docs.select("key", F.lower("text").alias("low")).select("key", F.explode(held).alias("gram"))
+    met = postings.join(F.broadcast(asked), "gram").groupBy("key", "kind", "alternative").agg(F.count_distinct("gram").alias("have"), F.first("need").alias("need"))
+    return met.where("have = need").groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
 
 def _with_spans(df: DataFrame, rule: Rule, at: int, wanted: Column) -> DataFrame:
@@ -170,8 +173,8 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *keep).alias("keep_"))
     indexed = tuple(r for r in rules if trigram_query(r.pattern) != _ALL)
-    some = candidates(rows, indexed).withColumnRenamed("doc_id", "of_")
-    df = rows.join(some, F.col("doc_id").eqNullSafe(F.col("of_")), "left").drop("of_")
+    rows = rows.withColumn("key", F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary"))))  # null ids are dealt out by text
+    df = rows.join(candidates(rows, indexed), "key", "left")
     for at, rule in enumerate(rules):
         wanted = F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False)) if rule in indexed else F.lit(True)
         df = _with_spans(df, rule, at, wanted)
@@ -188,6 +191,7 @@ def joined_spans(rules: tuple[Rule, ...], base: bool) -> Column:
 def redact(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The result of find_secrets with what its rules match in text replaced by the rule's name in brackets, rule after rule.
 
+    Texts without spans, empty ones too, stay as they are; rows may repeat; no rows give none.
     Rules of BODIES come first, as others would break up what follows their matches.
     """
     for rule in sorted(rules, key=lambda r: r.kind not in BODIES):
