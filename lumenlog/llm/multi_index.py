@@ -6,8 +6,12 @@ Every vector is indexed in its cell. A query walks the cells in order of distanc
 bounded sample, by vectors planted at exactly the least similarity. Every pair that meets is verified in double
 precision. A pair is found when either vector's walk visits the other's cell, so links are symmetric.
 
-Scale: equal vectors become one class before any join. Cells are cut into blocks of BLOCK members by BLOCK queries,
-so no task holds more, and a block gives counts and a spanning forest of its links, never its pairs.
+Scale: equal vectors become one class before any join. The grid grows with the rows, up to an eighth of the sample's
+vectors in each codebook. Centroids are numbered along their main direction, and TILE x TILE cells make a tile: a query
+is sent once to each tile that its walk enters, in the width its table has, and meets there only the cells it walks. Tiles
+are cut into blocks of BLOCK members by BLOCK queries, so no task holds more, and a block gives counts and a spanning
+forest of its links, never its pairs. Codebooks are broadcast up to BOOK_NUMBERS numbers; vectors of lengths beyond share
+one cell, which finds all their links.
 """
 
 from __future__ import annotations
@@ -27,9 +31,11 @@ from .shared import components, read, stage
 
 SAMPLE_ROWS = 20_000  # codebooks and the walk's length are fitted on this many vectors at most
 SAMPLE_NUMBERS = 4_000_000  # and on this many components at most
+BOOK_NUMBERS = 4_000_000  # of all codebooks together
 PER_CELL = 64
-MOST_CENTROIDS = 256
+TILE = 4
 BLOCK = 1024
+CHUNK = 1024  # vectors that are compared with the centroids at once
 TARGET_RECALL = 0.995
 
 
@@ -42,7 +48,8 @@ def _fit(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
         sums = np.zeros_like(centres)
         np.add.at(sums, near, x)
         centres[n > 0] = sums[n > 0] / n[n > 0, None]
-    return centres
+    spread = centres - centres.mean(0)
+    return centres[np.argsort(spread @ np.linalg.svd(spread, full_matrices=False)[2][0], kind="stable")]  # neighbours have near numbers
 
 
 def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -67,52 +74,69 @@ def walk(first: np.ndarray, second: np.ndarray, most: int) -> list[int]:
 def fit(sample: np.ndarray, rows_per_label: float, cosine: float, recall: float, seed: int = 7) -> tuple[np.ndarray, np.ndarray, int]:
     """Codebooks of both halves and the length of the walk that meets the recall for pairs at exactly `cosine`."""
     half = sample.shape[1] // 2
-    k = int(min(MOST_CENTROIDS, max(1, np.ceil(np.sqrt(rows_per_label / PER_CELL)))))
+    k = int(min(max(2, len(sample) // 8), max(2, np.ceil(np.sqrt(rows_per_label / PER_CELL)))))
     books = _fit(sample[:, :half], k), _fit(sample[:, half:], k)
     x = sample[:1000]
     g = np.random.default_rng(seed).standard_normal(x.shape)
     g -= (g * x).sum(1, keepdims=True) * x
     size = np.linalg.norm(g, axis=1, keepdims=True)
     y = cosine * x + np.sqrt(1 - cosine**2) * g / np.where(size == 0, 1, size)
-    cell = _distances(y[:, :half], books[0]).argmin(1) * len(books[1]) + _distances(y[:, half:], books[1]).argmin(1)
-    grid = (_distances(x[:, :half], books[0])[:, :, None] + _distances(x[:, half:], books[1])[:, None, :]).reshape(len(x), -1)
-    rank = (grid < grid[np.arange(len(x)), cell][:, None]).sum(1) + 1
+    at = [_distances(part, book).argmin(1) for part, book in ((y[:, :half], books[0]), (y[:, half:], books[1]))]
+    rank = []
+    for i, (a, b) in enumerate(zip(_distances(x[:, :half], books[0]), _distances(x[:, half:], books[1]))):
+        rank.append(np.searchsorted(np.sort(b), a[at[0][i]] + b[at[1][i]] - a).sum() + 1)  # cells that are nearer, and this one
     return *books, int(np.ceil(np.quantile(rank, recall)))
 
 
+def _units(raws: list[bytes], dim: int) -> np.ndarray:
+    """Unit vectors in double precision from the bytes of float or double components."""
+    kind = np.float32 if len(raws[0]) == 4 * dim else np.float64
+    x = np.frombuffer(b"".join(raws), kind).reshape(-1, dim).astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every row's id and label, and for vectors that can be compared their length, digest and bytes."""
+    """Every row's id and label, and for vectors that can be compared their length, digest and components."""
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
     for batch in batches:
         rows = []
+        kind = np.float32 if pa.types.is_float32(batch.schema.field(2).type.value_type) else np.float64
         for vec, label, values in zip(*(batch.column(i) for i in range(3))):
             row = (vec.as_py(), label.as_py(), None, None, None)
             if vec.is_valid and values.is_valid and label.is_valid and not values.values.null_count:
-                x = values.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                x = values.values.to_numpy(zero_copy_only=False).astype(kind)
                 if len(x) and np.isfinite(x).all() and x.any():
-                    x = x / np.abs(x).max()
-                    raw = (x / np.linalg.norm(x)).tobytes()
-                    row = (*row[:2], len(x), hashlib.md5(raw).digest(), raw)
+                    raw = x.tobytes()
+                    row = (*row[:2], len(x), hashlib.md5(_units([raw], len(x)).tobytes()).digest(), raw)
             rows.append(row)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["vec_id", "label", "dim", "digest", "unit"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["vec_id", "label", "dim", "digest", "raw"])
+
+
+def tile_of(cell: np.ndarray, second: int) -> np.ndarray:
+    """The tile of cells of a grid whose second codebook has `second` centroids."""
+    return cell // second // TILE * -(-second // TILE) + cell % second // TILE
 
 
 def _celled(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds each vector's own cell and its walk; a length of which no codebook was fitted has one cell."""
+    """Adds each vector's own cell and tile, its walk and the tiles that it enters; without a codebook all is one cell."""
     for batch in batches:
-        own = np.zeros(batch.num_rows, np.int32)
-        walks: list[list[int]] = [[0]] * batch.num_rows
+        own, tile = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int32)
+        walks, tiles = [[0]] * batch.num_rows, [[0]] * batch.num_rows
         dims = batch.column(batch.schema.names.index("dim")).to_numpy()
-        units = batch.column(batch.schema.names.index("unit"))
+        raws = batch.column(batch.schema.names.index("raw"))
         for dim in np.unique(dims).tolist():
             if dim in shared.value:
                 one, two, most = shared.value[dim]
-                at = np.flatnonzero(dims == dim)
-                x = np.frombuffer(b"".join(units[int(i)].as_py() for i in at), np.float64).reshape(len(at), dim)
-                for i, a, b in zip(at.tolist(), _distances(x[:, : dim // 2], one), _distances(x[:, dim // 2 :], two)):
-                    walks[i] = walk(a, b, most)
-                    own[i] = walks[i][0]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own), pa.array(walks, pa.list_(pa.int32()))], [*batch.schema.names, "cell", "walk"])
+                every = np.flatnonzero(dims == dim)
+                for at in (every[i : i + CHUNK] for i in range(0, len(every), CHUNK)):
+                    x = _units([raws[int(i)].as_py() for i in at], dim)
+                    for i, a, b in zip(at.tolist(), _distances(x[:, : dim // 2], one), _distances(x[:, dim // 2 :], two)):
+                        walks[i] = walk(a, b, most)
+                        entered = tile_of(np.array(walks[i]), len(two))
+                        own[i], tile[i], tiles[i] = walks[i][0], entered[0], np.unique(entered).tolist()
+        lists = [pa.array(x, pa.list_(pa.int32())) for x in (walks, tiles)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own), pa.array(tile), *lists], [*batch.schema.names, "cell", "tile", "walk", "tiles"])
 
 
 def _forest(i: np.ndarray, j: np.ndarray, n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,18 +157,25 @@ def _verified(cosine: float):
         m, q = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
         out: list[np.ndarray] = [np.zeros((0, 3), np.int64)]
         if len(m) and len(q):
-            here = int(pdf["cell"].iloc[0])
-            both = [np.frombuffer(b"".join(x["unit"]), np.float64).reshape(len(x), -1) for x in (q, m)]
-            i, j = np.nonzero(both[0] @ both[1].T >= cosine)
-            (qi, mi), (qw, mw) = ((x["rep"].to_numpy() for x in (q, m)), (x["weight"].to_numpy() for x in (q, m)))
+            dim = int(pdf["dim"].iloc[0])
+            x, y = (_units(part["raw"].tolist(), dim) for part in (q, m))
+            cells = m["cell"].to_numpy()
+            walked, owner = np.concatenate(q["walk"].tolist()), np.repeat(np.arange(len(q)), q["walk"].map(len))
+            met = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for cell in np.unique(cells).tolist():
+                here, asking = np.flatnonzero(cells == cell), owner[walked == cell]
+                a, b = np.nonzero(x[asking] @ y[here].T >= cosine)
+                met.append((asking[a], here[b]))
+            i, j = (np.concatenate(part) for part in zip(*met))
+            (qi, mi), (qw, mw) = ((part["rep"].to_numpy() for part in (q, m)), (part["weight"].to_numpy() for part in (q, m)))
             other = qi[i] != mi[j]
             i, j = i[other], j[other]
             if len(i):
                 counts = np.zeros(len(q), np.int64)
                 np.add.at(counts, i, mw[j])
                 out.append(np.stack([np.zeros_like(qi), qi, counts], 1)[counts > 0])
-                cells, back = np.unique(q["own"].to_numpy(), return_inverse=True)
-                seen = np.array([np.isin(cells, w) for w in m["walk"]])
+                asked, back = np.unique(q["cell"].to_numpy(), return_inverse=True)
+                seen = np.array([np.isin(asked, w) for w in m["walk"]])
                 once = ~seen[j, back[i]]  # the member's own walk doesn't come by the query's cell
                 counts = np.zeros(len(m), np.int64)
                 np.add.at(counts, j[once], qw[i[once]])
@@ -168,31 +199,34 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, recall: float = TA
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("embedding"))
-    units = stage(rows.mapInArrow(_unit, "vec_id long, label long, dim int, digest binary, unit binary"), "units")
+    units = stage(rows.mapInArrow(_unit, "vec_id long, label long, dim int, digest binary, raw binary"), "units")
     named = units.where("digest is not null")
     classes = named.groupBy("label", "dim", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
     classes = stage(classes, "classes")
-    sizes = classes.groupBy("dim").agg((F.count("*") / F.count_distinct("label")).alias("n")).orderBy(F.desc("n"), "dim").limit(8).collect()
+    sizes = classes.groupBy("dim").agg((F.count("*") / F.count_distinct("label")).alias("n")).orderBy(F.desc("n"), "dim").collect()  # a row a length of vectors
     picked = named.join(classes.select("label", "dim", "digest", F.col("rep").alias("vec_id"), "weight"), ["label", "dim", "digest", "vec_id"]).dropDuplicates(["label", "dim", "digest"])
-    books = {}
+    books, room = {}, BOOK_NUMBERS
     for dim, n in sizes:
         most = min(SAMPLE_ROWS, SAMPLE_NUMBERS // dim)
-        if dim > 1 and most and n > PER_CELL:
-            some = picked.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("unit").collect()
-            books[dim] = fit(np.frombuffer(b"".join(x[0] for x in some), np.float64).reshape(-1, dim), n, cosine, recall)
-    shared = spark.sparkContext.broadcast(books)  # at most 8 lengths, MOST_CENTROIDS centroids a half
-    celled = picked.select("label", "dim", F.col("vec_id").alias("rep"), "weight", "unit").mapInArrow(partial(_celled, shared), "label long, dim int, rep long, weight long, unit binary, cell int, walk array<int>")
+        if dim > 1 and most > 1 and room > 0:
+            some = picked.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("raw").collect()
+            if len(some) > 1:
+                books[dim] = fit(_units([x[0] for x in some], dim), n, cosine, recall)
+                room -= books[dim][0].size + books[dim][1].size
+    shared = spark.sparkContext.broadcast(books)  # BOOK_NUMBERS and one length's codebooks at most
+    kinds = "label long, dim int, rep long, weight long, raw binary"
+    celled = picked.select("label", "dim", F.col("vec_id").alias("rep"), "weight", "raw").mapInArrow(partial(_celled, shared), f"{kinds}, cell int, tile int, walk array<int>, tiles array<int>")
     celled = stage(celled, "cells")
 
-    key = ["label", "dim", "cell"]
-    asked = celled.select("label", "dim", "rep", "weight", "unit", F.col("cell").alias("own"), F.explode("walk").alias("cell"))
+    key = ["label", "dim", "tile"]
+    asked = celled.select("label", "dim", "rep", "weight", "raw", "cell", "walk", F.explode("tiles").alias("tile"))
     held = celled.groupBy(key).agg(F.count("*").alias("held"))
-    asking = celled.select("label", "dim", F.explode("walk").alias("cell")).groupBy(key).agg(F.count("*").alias("asking"))
+    asking = celled.select("label", "dim", F.explode("tiles").alias("tile")).groupBy(key).agg(F.count("*").alias("asking"))
     cut = held.join(asking, key).select(*key, F.ceil(F.col("held") / BLOCK).alias("mb"), F.ceil(F.col("asking") / BLOCK).alias("qb"))
     to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     draw = lambda n: F.pmod(F.xxhash64("rep", F.lit(n)), F.col(n))
-    members = celled.join(cut, key).withColumn("m", draw("mb")).withColumn("q", to("qb")).select(*key, "m", "q", F.lit(0).alias("role"), "rep", "weight", "unit", F.col("cell").alias("own"), "walk")
-    queries = asked.join(cut, key).withColumn("q", draw("qb")).withColumn("m", to("mb")).select(*key, "m", "q", F.lit(1).alias("role"), "rep", "weight", "unit", "own", F.array().cast("array<int>").alias("walk"))
+    members = celled.join(cut, key).withColumn("m", draw("mb")).withColumn("q", to("qb")).select(*key, "m", "q", F.lit(0).alias("role"), "rep", "weight", "raw", "cell", "walk")
+    queries = asked.join(cut, key).withColumn("q", draw("qb")).withColumn("m", to("mb")).select(*key, "m", "q", F.lit(1).alias("role"), "rep", "weight", "raw", "cell", "walk")
     found = stage(members.union(queries).groupBy(*key, "m", "q").applyInPandas(_verified(cosine), "kind long, a long, b long"), "found")
     counts = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("more"))
     roots = components(found.where("kind = 1").select("a", "b"), "a", "b")

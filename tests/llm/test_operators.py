@@ -518,6 +518,28 @@ def test_near_duplicates(spark):
     assert multi_index.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_over_many_cells(spark, monkeypatch):
+    """A grid of many cells, walks that leave most of it out, blocks that cut tiles; recall against all pairs."""
+    monkeypatch.setattr(multi_index, "PER_CELL", 8)
+    monkeypatch.setattr(multi_index, "BLOCK", 100)
+    lengths = []
+    fitted = multi_index.fit
+    monkeypatch.setattr(multi_index, "fit", lambda *a: lengths.append(fitted(*a)) or lengths[-1])
+    rnd = np.random.default_rng(9)
+    base = rnd.standard_normal((400, 32))
+    x = base[rnd.integers(0, 400, 4000)] + rnd.standard_normal((4000, 32)) * rnd.choice([0.1, 0.28, 1.0], (4000, 1))
+    rows = [(i, [float(c) for c in v], i % 2) for i, v in enumerate(x)]
+    got = {r.vec_id: r for r in multi_index.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.93) & (np.arange(4000)[:, None] % 2 == np.arange(4000) % 2) & ~np.eye(4000, dtype=bool)
+    found, there = np.array([got[i].n_links for i in range(4000)]), near.sum(1)
+    assert (found <= there).all() and found.sum() >= 0.97 * there.sum() > 0
+    (one, two, most), = lengths
+    assert len(one) * len(two) > 150 and most < len(one) * len(two)
+    whole = [i for i in range(4000) if found[i] == there[i]]
+    assert all(got[i].component_id <= min([i, *np.flatnonzero(near[i])]) for i in whole)
+
+
 def test_walk_is_in_order_of_distance():
     rnd = np.random.default_rng(2)
     a, b = rnd.random(7), rnd.random(5)
