@@ -24,6 +24,7 @@ from .text_metrics import count_of, with_words
 
 SAMPLE_ROWS = 20_000
 PAIRS = 50_000
+AT_ONCE = 2_000
 RANKS = 100_000
 BUCKETS = 128
 CUT = 0.3
@@ -67,11 +68,14 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 11, rounds: int = 30) -> np.nd
     scale = x.std(0)
     scale[scale == 0] = 1
     l2 = np.where(np.arange(len(w)) < len(FEATURES), 1e-3, 3e-2)  # words are many and each tells little
-    d = (x[draw.choice(good, PAIRS)] - x[draw.choice(bad, PAIRS)]) / scale
+    better, worse = draw.choice(good, PAIRS), draw.choice(bad, PAIRS)
     for _ in range(rounds):  # Newton steps on the mean logistic loss
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        gradient = -(d * p[:, None]).mean(0) + l2 * w
-        hessian = (d * (p * (1 - p))[:, None]).T @ d / len(d) + np.diag(l2)
+        gradient, hessian = l2 * w, np.diag(l2)
+        for at in range(0, PAIRS, AT_ONCE):  # the driver holds the differences of these pairs only
+            d = (x[better[at : at + AT_ONCE]] - x[worse[at : at + AT_ONCE]]) / scale
+            p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
+            gradient -= p @ d / PAIRS
+            hessian += (d * (p * (1 - p))[:, None]).T @ d / PAIRS
         move = np.linalg.solve(hessian, gradient)
         w -= move / max(1.0, np.abs(move).max())
         if np.abs(move).max() < 1e-6:
@@ -105,9 +109,10 @@ def train(docs: DataFrame, known: DataFrame, sample: int = SAMPLE_ROWS) -> np.nd
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most `sample` ids
     x = features(rows, "text", buckets_=F.transform("words_", bucket)).select("doc_id", "quality", F.array(*FEATURES).alias("x"), "buckets_")
     x = x.mapInArrow(_counted, "doc_id long, quality int, x array<double>, shares array<double>")
-    got = x.groupBy("doc_id").agg(F.min(F.struct("quality", "x", "shares")).alias("row")).orderBy("doc_id").select("row.*").collect()
-    table = np.array([(q, *a, *b) for q, a, b in got], float).reshape(len(got), 1 + len(FEATURES) + BUCKETS)
-    return fit(table[:, 1:], table[:, 0])
+    one = x.groupBy("doc_id").agg(F.min(F.struct("quality", "x", "shares")).alias("row")).orderBy("doc_id")
+    got = one.select("row.quality", F.concat("row.x", "row.shares").alias("x")).toArrow()
+    flat = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False) if len(got) else np.zeros(0)
+    return fit(flat.reshape(len(got), len(FEATURES) + BUCKETS), got.column("quality").to_numpy())
 
 
 def cut_at(scored: DataFrame, known: DataFrame) -> float:
