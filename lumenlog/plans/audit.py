@@ -179,14 +179,20 @@ def parse_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir, text).select("o_orderkey", S.parse_timestamp(F.col("t")).alias("timestamp"))
 
 
-def normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = logs.table(spark, sf_dir, "orders").select(
+MAPPING = {"user_id": "who", "item_id": "what", "kc_id": ["skill_id", "skill"], "timestamp": "at", "correct": "ok"}
+
+
+def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raw log of text columns, made up."""
+    return logs.table(spark, sf_dir, "orders").select(
         F.col("o_custkey").cast("string").alias("who"), F.concat(F.lit(" "), F.col("o_orderpriority")).alias("what"),
         F.when(F.col("o_orderkey") % 3 == 0, F.lit(" ")).otherwise(F.col("o_orderstatus")).alias("skill_id"), F.lit("none").alias("skill"),
         F.col("o_orderkey").cast("string").alias("at"), F.when(F.col("o_orderkey") % 5 == 0, "2").when(F.col("o_orderkey") % 2 == 0, "1.0").otherwise("0").alias("ok"),
     )
-    mapping = {"user_id": "who", "item_id": "what", "kc_id": ["skill_id", "skill"], "timestamp": "at", "correct": "ok"}
-    return raw.normalise(raw.raw_filters(rows, mapping, binary_only=True, needs_kc=True), mapping, "md5")
+
+
+def normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw.normalise(raw.raw_filters(raw_rows(spark, sf_dir), MAPPING, binary_only=True, needs_kc=True), MAPPING, "md5")
 
 
 def wide_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lumenlog.plans.audit import QUERIES
-from lumenlog.plans.oracle import ORACLE_SQL
+from lumenlog.plans import audit, loading, oracle
+
+QUERIES = audit.QUERIES | loading.QUERIES
+ORACLE_SQL = oracle.ORACLE_SQL | loading.ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -24,12 +24,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder()
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A path of its own in the run's shared folder."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read again, which cuts lineage and survives lost executors.
 
     A run's tables lie in one folder, named after the application, that may be deleted when it has ended.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = place(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
