@@ -15,7 +15,7 @@ START = (0.25, 0.25, 0.2, 0.2)  # init, learn, guess, slip
 BOUNDS = (0.05, 0.95)
 GRID = (0.1, 0.35, 0.6, 0.85)
 LINE = 17  # points of a line search
-BLOCK = 2048  # outcome strings that are walked at once
+BLOCK = 512  # outcome strings that are walked at once
 
 
 def outcomes(train: DataFrame, keys: list[str], least: int = 4) -> DataFrame:
@@ -33,23 +33,25 @@ def padded(texts: list[str]) -> np.ndarray:
     return rows
 
 
+def blocks(texts: list[str], counts: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Padded rows and their weights in blocks of strings of like length, so that little is padded."""
+    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    parts = (order[at : at + BLOCK] for at in range(0, len(order), BLOCK))
+    return [(padded([texts[i] for i in part]), np.array([counts[i] for i in part], float)) for part in parts]
+
+
 def losses(params: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Negative log likelihoods of the outcome rows, each as often as its weight, for each row of params at once."""
     init, learn, guess, slip = (params[:, k, None] for k in range(4))
-    total = np.zeros(len(params))
-    for at in range(0, len(rows), BLOCK):
-        part, often = rows[at : at + BLOCK], weights[at : at + BLOCK]
-        know = np.repeat(init, len(part), 1)
-        for y in part.T:
-            live = y >= 0
-            if not live.any():
-                break
-            hit = y == 1
-            right = know * (1 - slip) + (1 - know) * guess
-            p = np.clip(np.where(hit, right, 1 - right), 1e-9, 1 - 1e-9)
-            total -= np.log(p[:, live]) @ often[live]
-            after = know * np.where(hit, 1 - slip, slip) / p
-            know = np.clip(after + (1 - after) * learn, 1e-9, 1 - 1e-9)
+    total, know = np.zeros(len(params)), np.repeat(init, len(rows), 1)
+    for y in rows.T:
+        live = y >= 0
+        hit = y == 1
+        right = know * (1 - slip) + (1 - know) * guess
+        p = np.clip(np.where(hit, right, 1 - right), 1e-9, 1 - 1e-9)
+        total -= np.log(p[:, live]) @ weights[live]
+        after = know * np.where(hit, 1 - slip, slip) / p
+        know = np.clip(after + (1 - after) * learn, 1e-9, 1 - 1e-9)
     return total
 
 
@@ -59,9 +61,10 @@ def loss(params: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> float:
 
 def fit_one(texts: list[str], counts: list[int], rounds: int = 12) -> tuple[np.ndarray, float, float]:
     """Parameters, loss, and loss at START: the best point of a coarse grid, then ever finer lines along each coordinate."""
-    rows, weights = padded(texts), np.array(counts, float)
+    parts = blocks(texts, counts)
+    of = lambda params: sum((losses(params, *part) for part in parts), np.zeros(len(params)))
     start = np.array([START, *product(GRID, repeat=4)])
-    values = losses(start, rows, weights)
+    values = of(start)
     first, best, value = float(values[0]), start[values.argmin()].copy(), float(values.min())
     for _ in range(rounds):
         was = value
@@ -70,7 +73,7 @@ def fit_one(texts: list[str], counts: list[int], rounds: int = 12) -> tuple[np.n
             while high - low > 2e-3:
                 line = np.repeat(best[None], LINE, 0)
                 line[:, k] = np.linspace(low, high, LINE)
-                values = losses(line, rows, weights)
+                values = of(line)
                 at = int(values.argmin())
                 step = (high - low) / (LINE - 1)
                 low, high = max(BOUNDS[0], line[at, k] - step), min(BOUNDS[1], line[at, k] + step)
