@@ -11,11 +11,12 @@ from .preference_quality import op9_quality_classifier
 from .quality_rules import OP1_SQL, op1_quality_rules
 from .secret_scan import OP8_SQL, op8_secret_scan
 from .site_style import op7_html_extraction
+from .suffix_merge import op13_suffix_dedup
 from .url_filter import op6_url_filter
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_byte_bpe, op3_license_scan, op4_ngram_jaccard, op5_mixing, op6_url_filter, op7_html_extraction, op8_secret_scan, op9_quality_classifier, op10_embedding_near_dedup)
+    for f in (op1_quality_rules, op2_byte_bpe, op3_license_scan, op4_ngram_jaccard, op5_mixing, op6_url_filter, op7_html_extraction, op8_secret_scan, op9_quality_classifier, op10_embedding_near_dedup, op13_suffix_dedup)
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": OP1_SQL,

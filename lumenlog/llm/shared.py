@@ -33,17 +33,26 @@ def scratch(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
-def stage(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+#: Spark's setting that ends a query's shuffle files with the query.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame, name: str, narrow: bool = False, clean: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back, which cuts its lineage and survives lost executors.
 
     narrow: a table of a few numbers a row, dealt to an eighth of the shuffle partitions before it is written; what
-    makes its rows keeps all its tasks.
+    makes its rows keeps all its tasks. clean: the shuffle files that the table was made from go when it is written.
     """
     spark = df.sparkSession
     if narrow:
         df = df.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, str(clean or before == "true").lower())
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
