@@ -12,7 +12,7 @@ from .preference_quality import op9_quality_classifier
 from .quality_rules import OP1_SQL, op1_quality_rules
 from .secret_scan import OP8_SQL, op8_secret_scan
 from .site_style import op7_html_extraction
-from .suffix_merge import op13_suffix_dedup
+from .suffix_merge import OP13_SQL, op13_suffix_dedup
 from .turn_repair import OP11_SQL, op11_turn_repair
 from .url_filter import op6_url_filter
 
@@ -29,4 +29,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_embedding_near_dedup": OP10_SQL,
     "op11_turn_repair": OP11_SQL,
     "op12_merkle_manifest": OP12_SQL,
+    "op13_suffix_dedup": OP13_SQL,
 }

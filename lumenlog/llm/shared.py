@@ -17,7 +17,7 @@ WORD = rf"[^{SPACE}]+"
 def crc32_sql(text: str) -> str:
     """DuckDB SQL of the unsigned CRC-32 of an ASCII text (null: null)."""
     bits = "list_reduce(list_prepend(xor(c, b), repeat([0::BIGINT], 8)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
-    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda a: CAST(ascii(a) AS BIGINT))), lambda c, b: {bits}), 4294967295)"
+    return f"CASE WHEN {text} IS NOT NULL THEN xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda a: CAST(ascii(a) AS BIGINT))), lambda c, b: {bits}), 4294967295) END"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

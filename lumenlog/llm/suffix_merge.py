@@ -397,3 +397,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents"))
+
+
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, doc_id, s, b[s + 1 : s + {SIZE}] AS x FROM (SELECT r, doc_id, b, unnest(range(0, octet_length(b) - {SIZE - 1})) AS s FROM d WHERE doc_id IS NOT NULL)),
+f AS (SELECT x, min(doc_id) AS low FROM w GROUP BY x HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT r, s, s > lag(s) OVER (PARTITION BY r ORDER BY s) + {SIZE} AS gap FROM w JOIN f USING (x) WHERE doc_id > low),
+line AS (SELECT r, s, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY s) AS g FROM hit),
+span AS (SELECT r, min(s) AS a, max(s) + {SIZE} AS z FROM line GROUP BY r, g),
+cut AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS q FROM span),
+kept AS (SELECT r, string_agg(hex(b[q + 1 : a]), '' ORDER BY a) AS k, max(z) AS z, sum(z - a) AS n, count(*) AS m FROM cut JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(m, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(concat(coalesce(k, ''), hex(b[coalesce(z, 0) + 1 : ])))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""

@@ -173,7 +173,7 @@ def repair(turns: DataFrame) -> DataFrame:
 
     turns: conv_id, turn, role, text and, where rows may only stand for their conversation, gone. Null roles and texts are one
     space. Turns are taken by turn (null first), ties by role and text, bytewise; equal rows are repeats. A null
-    conv_id is a conversation. Other columns are ignored; an empty table gives no rows, a conversation all of whose rows
+    conv_id is a conversation, a turn with an empty role cannot be kept as it is. Other columns are ignored; an empty table gives no rows, a conversation all of whose rows
     are gone zeros, an empty audit and the digest of nothing.
     """
     rows = turns if "gone" in turns.columns else turns.withColumn("gone", F.lit(False))
