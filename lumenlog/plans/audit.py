@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlog.functions import scalars as S
-from lumenlog.operators import bkt, dags, graphs, groundtruth, leakage, metrics, perturb, predict, sequences, splits
+from lumenlog.operators import bkt, dags, graphs, groundtruth, leakage, metrics, perturb, predict, sequences, splits, tracing
 from lumenlog.operators.head import fitted_head
 from lumenlog.sources import logs, raw, sinks
 from lumenlog.sources.staging import stage
@@ -102,6 +102,27 @@ class Audit:
         result = metrics.metrics(pred, ["fold", "model"]).withColumn("graph_construction", F.lit("full_log" if full_log else "train_only")).withColumn("status", F.lit(status))
         return result, pred if cap is None else predict.sample(pred, cap)
 
+    def run_backend(self, model: str, backend: str = "diagnostic", full_log: bool = False, cap: int | None = None, **settings) -> tuple[DataFrame, DataFrame]:
+        """run_model, or with backend "trained" a fitted model: tracing by components (bkt) or by recurrent sequences (dkt).
+
+        Graphs do not touch these two. Other models have no trained form but a fitted head (run_model's trained_head).
+        """
+        if backend not in ("diagnostic", "trained"):
+            raise ValueError(f"unknown backend {backend}")
+        if backend == "diagnostic":
+            return self.run_model(model, full_log=full_log, cap=cap)
+        if model == "bkt":
+            pred = bkt.predict(self.held, stage(bkt.fit(self.train, FOLD), "bkt"), FOLD, self.train).withColumn("model", F.lit(model))
+            pred, status = pred.withColumn("item_id", F.lit(None).cast("long")).withColumn("seq", F.col("pos")), "classical_bkt_em"
+        elif model == "dkt":
+            ids = stage(sequences.dense_ids(self.train, "kc_id", FOLD), "ids")
+            pred, status = tracing.traced(self.tagged, ids, model, **settings), "recurrent_tracing"
+        else:
+            raise ValueError(f"{model} has no trained form")
+        pred = stage(pred, "predictions")
+        result = metrics.metrics(pred, ["fold", "model"]).withColumn("graph_construction", F.lit("full_log" if full_log else "train_only")).withColumn("status", F.lit(status))
+        return result, pred if cap is None else predict.sample(pred, cap)
+
     def fold_metrics(self, full_log: bool = False, models=tuple(predict.WEIGHTS)) -> DataFrame:
         return metrics.metrics(self.predictions(full_log, models), ["fold", "model"])
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenlog.plans import audit, loading, oracle
+from lumenlog.plans import audit, loading, models, oracle
 
-QUERIES = audit.QUERIES | loading.QUERIES
-ORACLE_SQL = oracle.ORACLE_SQL | loading.ORACLE_SQL
+QUERIES = audit.QUERIES | loading.QUERIES | models.QUERIES
+ORACLE_SQL = oracle.ORACLE_SQL | loading.ORACLE_SQL | models.ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -11,10 +11,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumenlog.functions import scalars as S
-from lumenlog.operators import bkt, dags, graphs, groundtruth, leakage, metrics, perturb, sequences, splits
+from lumenlog.operators import bkt, dags, graphs, groundtruth, leakage, metrics, perturb, sequences, splits, tracing
 from lumenlog.operators.head import fitted_head
 from lumenlog.plans.audit import Audit
 from lumenlog.sources import logs, raw, sinks
+from lumenlog.sources.staging import stage
 
 EDGE = "fold int, src_kc long, dst_kc long, support long, weight double, source string"
 LOG = "fold int, split string, user_id long, item_id long, kc_id long, timestamp long, seq long, correct long"
@@ -374,8 +375,118 @@ def test_bkt_fit_beats_its_start(spark):
             know = know or rnd.random() < 0.3
     row = one(bkt.fit(log(spark, rows), ["fold"]))
     assert row.n_obs == 240 and row.nll <= row.nll_start
-    texts = ["110100", "000011", "111111"]
-    best, value, _ = bkt.fit_one(texts, [3, 2, 4])
-    rows = np.array([[int(c) for c in t] for t in texts])
-    grid = min(bkt.loss(np.array(p), rows, np.array([3.0, 2.0, 4.0])) for p in itertools.product((0.1, 0.35, 0.6, 0.85), repeat=4))
-    assert value <= grid + 0.1
+
+
+def plain_loss(p, text):
+    """Negative log likelihood of one outcome string, walked by hand."""
+    know, total = p[0], 0.0
+    for c in text:
+        right = know * (1 - p[3]) + (1 - know) * p[2]
+        chance = right if c == "1" else 1 - right
+        total -= math.log(chance)
+        after = know * ((1 - p[3]) if c == "1" else p[3]) / chance
+        know = after + (1 - after) * p[1]
+    return total
+
+
+def walks(text, p):
+    """COUNTS of one outcome string by summing over all moments at which the component may be learned."""
+    steps, out, whole = len(text), np.zeros(8), 0.0
+    for since in range(steps + 1):  # known from step `since` on; steps: never
+        chance = p[0] if since == 0 else (1 - p[0]) * (1 - p[1]) ** (min(since, steps) - 1) * (p[1] if since < steps else 1)
+        if since == steps:
+            chance = (1 - p[0]) * (1 - p[1]) ** (steps - 1)
+        own = np.zeros(8)
+        own[0], own[1] = since == 0, 1
+        own[2], own[3] = 0 < since < steps, min(since, steps - 1)
+        for t, c in enumerate(text):
+            right = 1 - p[3] if t >= since else p[2]
+            chance *= right if c == "1" else 1 - right
+            own[5 if t < since else 7] += 1
+            own[4] += t < since and c == "1"
+            own[6] += t >= since and c == "0"
+        out, whole = out + chance * own, whole + chance
+    return out / whole, -math.log(whole)
+
+
+def test_expected_counts_are_sums_over_all_walks():
+    rnd = np.random.default_rng(1)
+    texts = ["".join(rnd.choice(["0", "1"], n)) for n in (1, 2, 5, 9, 9, 4)]
+    params = rnd.uniform(0.1, 0.9, (len(texts), 4))
+    got = bkt.expected(params, list(bkt.blocks(texts)))
+    for row, text, p in zip(got, texts, params):
+        counts, loss = walks(text, p)
+        assert row[:8] == pytest.approx(counts) and row[8] == pytest.approx(loss) == pytest.approx(plain_loss(p, text))
+    assert bkt.losses(params, texts).diagonal() == pytest.approx(got[:, 8])
+    slopes = bkt.scores(got[:, :8], params)
+    for k in range(4):
+        step = np.eye(4)[k] * 1e-6
+        assert slopes[:, k] == pytest.approx([(plain_loss(p - step, t) - plain_loss(p + step, t)) / 2e-6 for t, p in zip(texts, params)], rel=1e-4, abs=1e-4)
+
+
+def test_rounds_never_lose_likelihood_and_reach_the_best_of_a_fine_grid(spark):
+    rnd, strings = random.Random(7), []
+    for kc, (init, learn, guess, slip) in enumerate(((0.3, 0.2, 0.2, 0.1), (0.6, 0.4, 0.3, 0.3), (0.1, 0.1, 0.1, 0.05))):
+        for _ in range(150):
+            know, text = rnd.random() < init, ""
+            for _ in range(rnd.randrange(4, 9)):
+                text += str(int(rnd.random() < ((1 - slip) if know else guess)))
+                know = know or rnd.random() < learn
+            strings.append((str(kc), text, 1))
+    df = spark.createDataFrame(strings, "group string, outcomes string, n long").repartition(3)
+    start = spark.createDataFrame([(str(k), list(bkt.START)) for k in range(3)], "group string, p array<double>")
+    state, before = start.selectExpr("group", "p", "double('inf') AS loss", "p AS tries", "true AS falls"), {}
+    for _ in range(6):
+        state = stage(bkt.likelier_round(df, state), "round")
+        now = {r.group: r.loss for r in state.collect()}
+        assert all(now[g] <= before.get(g, math.inf) + 1e-9 for g in now)
+        before = now
+    state, last = start, {}
+    for _ in range(4):
+        state = stage(bkt.em_round(df, state.select("group", "p"), "p", "next", "loss").selectExpr("group", "next AS p", "loss"), "em")
+        now = {r.group: r.loss for r in state.collect()}
+        assert all(now[g] <= last.get(g, math.inf) + 1e-9 for g in now)
+        last = now
+    points = np.array(list(itertools.product(np.linspace(0.05, 0.95, 10), repeat=4)))
+    for g in before:
+        fine = bkt.losses(points, [t for k, t, _ in strings if k == g]).sum(1).min()
+        assert before[g] <= fine * (1 + 1e-4)
+
+
+def test_recurrent_gradient_is_the_slope():
+    rnd = np.random.default_rng(0)
+    w = tracing.drawn(5, 1, 0.6, 4)
+    kc, y = rnd.integers(0, 5, (7, 6)), rnd.integers(0, 2, (7, 6))
+    y[4:, 0], y[6:, 2] = -1, -1
+    slopes = []
+    for i in range(len(w.flat)):
+        step = np.eye(1, len(w.flat), i)[0] * 1e-6
+        slopes.append((tracing.gradient(tracing.Weights(5, 4, w.flat + step), kc, y)[1] - tracing.gradient(tracing.Weights(5, 4, w.flat - step), kc, y)[1]) / 2e-6)
+    assert tracing.gradient(w, kc, y)[0].flat == pytest.approx(slopes, abs=1e-6)
+
+
+def test_recurrent_tracing_learns_and_repeats_itself(spark):
+    rnd, rows = random.Random(2), []
+    for user in range(90):  # a learner's outcomes follow from the first ones, which rates of components do not tell
+        able, split = rnd.random() < 0.5, ("train", "train", "valid", "test")[user % 4]
+        for t in range(12):
+            kc = 99 if split == "test" and t == 11 else rnd.randrange(4)
+            rows.append((0, split, user, t, kc, t, int(rnd.random() < (0.9 if able else 0.15)), t))
+    tagged = spark.createDataFrame(rows, "fold int, split string, user_id long, item_id long, kc_id long, timestamp long, correct long, seq long")
+    ids = sequences.dense_ids(tagged.where("split = 'train'"), "kc_id", ["fold"])
+    runs = [sorted((r.user_id, r.item_id, r.y_prob, r.y_true) for r in tracing.traced(tagged, ids, steps=25).collect()) for _ in range(2)]
+    held = [r for r in rows if r[1] != "train"]
+    assert [x[:2] for x in runs[0]] == sorted((r[2], r[3]) for r in held)
+    assert [x[2] for x in runs[0]] == pytest.approx([x[2] for x in runs[1]], abs=1e-6)
+    late = [(p, y) for _, t, p, y in runs[0] if t >= 4]
+    wins = [(a > b) + (a == b) / 2 for a, x in late if x for b, y in late if not y]
+    assert sum(wins) / len(wins) > 0.75
+
+
+def test_backend_switch(spark):
+    a = Audit(logs.events_single(spark, "/root/testdata/sf0.001"))
+    for model, backend in (("akt", "trained"), ("dkt", "unheard")):
+        with pytest.raises(ValueError):
+            a.run_backend(model, backend)
+    assert one(a.run_backend("dkt")[0].select("status").distinct()).status == "diagnostic"
+

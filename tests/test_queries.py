@@ -51,6 +51,7 @@ CHECKS = {
     "stable_id_blake2b": lambda rows: all(r.id == int.from_bytes(blake2b(r.n_name.encode(), digest_size=8).digest(), "big") & (2**63 - 1) for r in rows),
     "bkt_fit": lambda rows: all(r.nll <= r.nll_start and all(0.05 <= p <= 0.95 for p in (r.p_init, r.p_learn, r.p_guess, r.p_slip)) for r in rows),
     "bkt_predict": lambda rows: all(0 < r.y_prob < 1 for r in rows),
+    "backend_runs": lambda rows: {(r.model, r.status) for r in rows} == {("bkt", "classical_bkt_em"), ("dkt", "recurrent_tracing"), ("dkt", "diagnostic")} and len(rows) == 9,
     "logistic_head": lambda rows: {r.status for r in rows} == {"trained_leakage_head"} and all(0 < r.auc < 1 and r.n > 0 for r in rows),
     "fold_report": lambda rows: all(r.auc_ci_low <= r.auc + 1e-9 and r.auc <= r.auc_ci_high + 1e-9 for r in rows),
 }
