@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenlog.sources.staging import stage
+
+from .ranking import first_rows
 from .splits import in_order
 
 
@@ -35,9 +38,10 @@ def prerequisites(counts: DataFrame, keys: list[str], quantile: float = 0.9, top
     spare = df.where(F.col("max_") < least).withColumn("r_", F.row_number().over(by(*keys).orderBy(*order))).where("r_ <= 200").drop("r_")
     kept = reached.unionByName(spare)
     kept = kept.withColumn("r_", F.row_number().over(by(*keys, "src_kc").orderBy(*order[:1], "dst_kc"))).where(F.col("r_") <= top_k)
-    kept = kept.withColumn("r_", F.row_number().over(by(*keys).orderBy(*order))).where(F.col("r_") <= max_edges)
-    weight = F.col("support").cast("double") / F.greatest(F.max("support").over(by(*keys)), F.lit(1))
-    return kept.select(*keys, "src_kc", "dst_kc", "support", weight.alias("weight"), F.lit(source).alias("source"))
+    kept = stage(first_rows(kept.drop("r_"), keys, [("support", False), ("src_kc", True)], ["dst_kc"], max_edges), "strongest")  # max_edges rows a key
+    tops = kept.groupBy(*keys).agg(F.greatest(F.max("support"), F.lit(1)).alias("top_"))
+    kept = kept.join(F.broadcast(tops), keys) if keys else kept.crossJoin(F.broadcast(tops))  # a row a key
+    return kept.select(*keys, "src_kc", "dst_kc", "support", (F.col("support").cast("double") / F.col("top_")).alias("weight"), F.lit(source).alias("source"))
 
 
 def similarities(q: DataFrame, keys: list[str], method: str = "jaccard", threshold: float = 0.1, source: str = "train_only") -> DataFrame:

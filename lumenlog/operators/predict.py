@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlog.functions import scalars as S
 
 from .graphs import both_ways
+from .ranking import first_rows
 
 ALPHA = 5.0
 CHANNELS = ("global", "kc", "item", "user", "graph", "freq")
@@ -77,9 +78,8 @@ def blend(model: str):
 
 
 def sample(pred: DataFrame, most: int = 5000) -> DataFrame:
-    """The first rows of each fold and model, by learner and order; each task keeps `most` a group before the shuffle."""
-    first = Window.partitionBy("fold", "model").orderBy("user_id", "seq", "item_id", "kc_id")
-    return pred.withColumn("rank_", F.row_number().over(first)).where(F.col("rank_") <= most).drop("rank_")
+    """The first rows of each fold and model, by learner and order; only rows of the learner at the end are ranked."""
+    return first_rows(pred, ["fold", "model"], [("user_id", True)], ["seq", "item_id", "kc_id"], most)
 
 
 def predictions(features: DataFrame, models: tuple[str, ...] = tuple(WEIGHTS)) -> DataFrame:

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumenlog.functions import scalars as S
-from lumenlog.operators import bkt, dags, graphs, groundtruth, leakage, metrics, perturb, sequences, splits, tracing
+from lumenlog.operators import bkt, dags, graphs, groundtruth, leakage, metrics, perturb, ranking, sequences, splits, tracing
 from lumenlog.operators.head import fitted_head
 from lumenlog.plans.audit import Audit
 from lumenlog.sources import logs, raw, sinks
@@ -490,3 +490,25 @@ def test_backend_switch(spark):
             a.run_backend(model, backend)
     assert one(a.run_backend("dkt")[0].select("status").distinct()).status == "diagnostic"
 
+
+
+@pytest.mark.parametrize("most", [1, 7, 40, 1000])
+def test_first_rows_are_those_of_a_sort(spark, monkeypatch, most):
+    monkeypatch.setattr(ranking, "BUCKETS", 5)
+    rnd = random.Random(most)
+    rows = [(k, rnd.choice((-3, 0, 2, 2, 2, 10**9 + rnd.randrange(50))), rnd.randrange(4), i) for k in range(4) for i in range((0, 3, 60, 200)[k])]
+    rows += [(9, 5, 1, i) for i in range(60)]  # all alike but for the last column
+    df = spark.createDataFrame(rows, "key int, a long, b int, c long")
+    first = lambda rows: sorted(rows, key=lambda r: (-r[1], r[2], r[3]))[:most]
+    got = ranking.first_rows(df, ["key"], [("a", False), ("b", True)], ["c"], most).collect()
+    assert sorted(map(tuple, got)) == sorted(x for k in (1, 2, 3, 9) for x in first([r for r in rows if r[0] == k]))
+    got = ranking.first_rows(df, [], [("a", False), ("b", True)], ["c", "key"], most).collect()
+    assert sorted(map(tuple, got)) == sorted(sorted(rows, key=lambda r: (-r[1], r[2], r[3], r[0]))[:most])
+
+
+def test_the_strongest_edges_beyond_the_cap(spark):
+    rnd = random.Random(1)
+    rows = [(a, b, rnd.randrange(3, 9)) for a in range(60) for b in range(60) if a != b]
+    got = graphs.prerequisites(spark.createDataFrame(rows, "src_kc long, dst_kc long, support long"), [], 0.0, 100, 1500)
+    assert sorted((r.src_kc, r.dst_kc, r.support) for r in got.collect()) == sorted(sorted(rows, key=lambda r: (-r[2], r[0], r[1]))[:1500])
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
