@@ -149,6 +149,12 @@ def needed(n: Column, num: int, den: int) -> Column:
     return F.least(F.lit(SHARED), F.ceil(smallest * num / den))
 
 
+def digests(u: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit digests of a set."""
+    sums = np.add.reduce(_mix(u)), np.bitwise_xor.reduce(_mix(u ^ _U(0xD1342543DE82EF95)))
+    return tuple(int(x.astype(np.uint64).view(np.int64)) for x in sums)
+
+
 def _profiles(width: int):
     """Rows of each document (n, two digests of its set), and rows without one: n -1, a token, and how many sets have it.
 
@@ -167,14 +173,14 @@ def _profiles(width: int):
             n, k1, k2 = [], [], []
             for u in shingle_sets(batch.column(1), width):
                 n.append(len(u))
-                k1.append(np.add.reduce(_mix(u)).astype(np.uint64))
-                k2.append(np.bitwise_xor.reduce(_mix(u ^ _U(0xD1342543DE82EF95))).astype(np.uint64))
+                for k, d in zip((k1, k2), digests(u)):
+                    k.append(d)
                 held.append(u)
                 size += len(u)
                 if size >= COUNTED:
                     yield told(held)
                     held, size = [], 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(np.array(k, np.uint64).view(np.int64)) for k in (k1, k2))], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(k, pa.int64()) for k in (n, k1, k2))], names)
         if held:
             yield told(held)
 
@@ -186,9 +192,11 @@ def _prefixed(shared, width: int, num: int, den: int, batches: Iterator[pa.Recor
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            own = [prefix(u, common, num, den) for u in shingle_sets(part.column(1), width)]
-            ends = np.cumsum([0, *map(len, own)])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own).view(np.int64)))], ["doc_id", "tokens"])
+            sets = list(shingle_sets(part.column(1), width))
+            own = [prefix(u, common, num, den) for u in sets]
+            ends, keys = np.cumsum([0, *map(len, own)]), np.array([digests(u) for u in sets], np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists], ["doc_id", "k1", "k2", "tokens"])
 
 
 def common_tokens(counts: DataFrame) -> np.ndarray:
@@ -207,7 +215,7 @@ def common_tokens(counts: DataFrame) -> np.ndarray:
 
 
 def _dealt(width: int):
-    """A row with the document's set for each place it goes to."""
+    """A row with the document's set for each place it goes to: (class, text, places, k1, k2), of rows of one id only those with these digests."""
     names = ["grp", "block", "chunk", "role", "blocks", "doc_id", "tokens"]
 
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
@@ -220,7 +228,9 @@ def _dealt(width: int):
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 rows, size = [], 0
-                for doc, places, u in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(part.column(1), width)):
+                for doc, places, *keys, u in zip(*(part.column(k).to_pylist() for k in (0, 2, 3, 4)), shingle_sets(part.column(1), width)):
+                    if digests(u) != tuple(keys):
+                        continue
                     packed = u.tobytes()
                     for place in places:
                         rows.append((*(place[k] for k in names[:5]), doc, packed))
@@ -326,13 +336,14 @@ def _opened(num: int, den: int):
     return run
 
 
-def _open(texts: DataFrame, members: DataFrame, queries: DataFrame, width: int, num: int, den: int, name: str) -> DataFrame:
+def _open(texts: DataFrame, classes: DataFrame, members: DataFrame, queries: DataFrame, width: int, num: int, den: int, name: str) -> DataFrame:
     """members: doc_id, grp, block, blocks, role (0 the centre, 1 others); queries: doc_id, grp, block."""
     chunks = queries.groupBy("grp", "block").agg(F.ceil(F.count("*") / F.lit(BLOCK_DOCS)).alias("chunks"))
     places = members.join(chunks, ["grp", "block"], "left").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("chunks", F.lit(1)).cast("long") - 1))).select("doc_id", "grp", "block", "chunk", "role", "blocks")
     asked = queries.join(chunks, ["grp", "block"]).select("doc_id", "grp", "block", F.pmod(F.xxhash64("doc_id"), "chunks").alias("chunk"), F.lit(2).alias("role"), F.lit(1).cast("long").alias("blocks"))
     to = places.union(asked).groupBy("doc_id").agg(F.collect_list(F.struct("grp", "block", "chunk", "role", "blocks")).alias("places"))
-    dealt = texts.join(to, "doc_id").select("doc_id", "text", "places").mapInArrow(_dealt(width), "grp long, block long, chunk long, role int, blocks long, doc_id long, tokens binary")
+    to = to.join(classes.select(F.col("node").alias("doc_id"), "rep", "k1", "k2"), "doc_id").withColumnRenamed("doc_id", "node")
+    dealt = texts.join(to, texts.doc_id == to.rep).select("node", "text", "places", "k1", "k2").mapInArrow(_dealt(width), "grp long, block long, chunk long, role int, blocks long, doc_id long, tokens binary")
     return stage(dealt.groupBy("grp", "block", "chunk").applyInPandas(_opened(num, den), "kind long, a long, b long"), name)
 
 
@@ -342,20 +353,21 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     Words are runs of bytes other than ASCII white space, A-Z lower-cased; a set holds the distinct shingles of
     `shingle` words, the whole sequence for fewer words. Returns (doc_id, n_shingles, component_id): one row per
     input row. Null, empty and blank texts have n_shingles 0 and link with nothing. A null id keeps its row with
-    its n_shingles and a null component. Rows that repeat an id are each placed by their own text; a link of any
-    of them counts for the id. Other columns are ignored, whatever their names. An empty table gives no rows.
+    its n_shingles and a null component. Rows that repeat an id are compared each by its own text and placed each in
+    its own component, whose id is the smallest of its rows'. Other columns are ignored, whatever their names. An empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     both = stage(texts.mapInArrow(_profiles(shingle), "doc_id long, n long, k1 long, k2 long"), "profiles")
     base = both.where("n >= 0")
     classes = base.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    reps = classes.select(F.col("rep").alias("doc_id"), "n").groupBy("doc_id").agg(F.max("n").alias("n"))
+    classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes", narrow=True)  # an id may stand for several classes
     common = common_tokens(both.where("n < 0").groupBy(F.col("k1").alias("token")).agg(F.sum("k2").alias("n")))
 
     shared = docs.sparkSession.sparkContext.broadcast(common)
-    rows = texts.where("doc_id is not null").mapInArrow(partial(_prefixed, shared, shingle, num, den), "doc_id long, tokens array<long>")
-    # one document a class goes on, before its tokens are dealt out
-    rows = rows.join(reps.withColumn("need", needed(F.col("n"), num, den)), "doc_id").select("doc_id", "n", "need", F.explode("tokens").alias("token"))
+    rows = texts.where("doc_id is not null").mapInArrow(partial(_prefixed, shared, shingle, num, den), "doc_id long, k1 long, k2 long, tokens array<long>")
+    # one document a class goes on, before its tokens are dealt out; from here to the links doc_id is the class's number
+    own = classes.select(F.col("rep").alias("doc_id"), "k1", "k2", "node", "n", needed(F.col("n"), num, den).alias("need"))
+    rows = rows.join(own, ["doc_id", "k1", "k2"]).select(F.col("node").alias("doc_id"), "n", "need", F.explode("tokens").alias("token"))
     rows = stage(rows, "prefixes")
     ends = lambda df: df.groupBy("token").agg(F.min("doc_id").alias("anchor"), F.max("doc_id").alias("far"), F.count("*").alias("cnt")).where("anchor <> far").drop("far")
     met = stage(rows.join(ends(rows).select("token"), "token", "left_semi"), "met")
@@ -387,15 +399,16 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     members = stage(centres.union(others), "members", narrow=True)
     split = members.select("grp", "block", "blocks").distinct()
     queries = probes.join(split, "grp").select("doc_id", "grp", "block")
-    found = _open(texts, members, queries, shingle, num, den, "links")
+    found = _open(texts, classes, members, queries, shingle, num, den, "links")
     loose = found.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("grp"))
     edges = found.where("kind = 0").select("a", "b")
     if not loose.isEmpty():
         own = members.where("role = 1").select("doc_id", "grp", F.col("block").alias("own"))
         queries = loose.join(own, ["doc_id", "grp"]).join(split, "grp").where("block <> own").select("doc_id", "grp", "block")
-        edges = edges.union(_open(texts, members, queries, shingle, num, den, "loose").where("kind = 0").select("a", "b"))
+        edges = edges.union(_open(texts, classes, members, queries, shingle, num, den, "loose").where("kind = 0").select("a", "b"))
     roots = components(edges, "a", "b")
-    named = classes.join(roots, classes.rep == roots.node, "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
+    named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    named = named.join(named.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("n", "k1", "k2", "component_id")
     placed = base.where("n > 0").join(named, ["n", "k1", "k2"], "left").select("doc_id", "n", "component_id")
     # texts without words have no class and meet nothing
     placed = placed.union(base.where("n = 0").select("doc_id", "n", F.col("doc_id")))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenlog.llm import merkle, suffix_merge, turn_repair
+from lumenlog.llm import merkle, multi_index, ngram_jaccard, suffix_merge, turn_repair
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, root string, spans string"
 TURNS = "conv_id long, turn long, role string, text string, cost long, gone_ string"
@@ -278,3 +278,56 @@ def test_remove_repeats(spark):
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
     same_rows(spark, got, suffix_merge.OP13_SQL, documents=df)
     assert suffix_merge.remove_repeats(df.where("false")).count() == 0
+
+
+# rows that repeat an id
+
+
+def row_components(n, linked):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in linked:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(n)]
+
+
+def test_texts_under_one_id_are_compared_each_by_itself(spark):
+    rnd = random.Random(4)
+    word = lambda: f"w{rnd.randrange(4000)}"
+    base = [[word() for _ in range(n)] for n in (14, 3000, 60, 61, 200)]
+    rows = [(5, base[0]), (5, base[1]), (9, [*base[0], "more"]), (7, [*base[1], "more"]), (3, base[2]), (3, base[3]), (2, [*base[3], "end"]), (8, base[2]), (8, base[4]), (None, base[4]), (1, base[4]), (8, base[4]), (6, []), (6, base[0])]
+    texts = [" ".join(w) for _, w in rows]
+    sets = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for _, w in rows]
+    linked = [(a, b) for a in range(len(rows)) for b in range(a) if rows[a][0] is not None and rows[b][0] is not None and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    roots = row_components(len(rows), linked)
+    least = {r: min(rows[i][0] for i in range(len(rows)) if roots[i] == r and rows[i][0] is not None) for r in set(roots) if any(roots[i] == r and rows[i][0] is not None for i in range(len(rows)))}
+    want = [(rows[i][0], len(sets[i]), None if rows[i][0] is None else least[roots[i]]) for i in range(len(rows))]
+    df = spark.createDataFrame([(r[0], t, None, None, None, "x", "y") for r, t in zip(rows, texts)], DOCS).repartition(3)
+    got = ngram_jaccard.jaccard_components(df, 3, 80, 100).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_vectors_under_one_id_are_compared_each_by_itself(spark):
+    rnd = np.random.default_rng(6)
+    base = rnd.standard_normal((8, 12))
+    rows = [(int(rnd.integers(0, 25)) if i % 9 else None, base[i % 8] + rnd.standard_normal(12) * (0.03, 0.15, 1.0)[i % 3], i % 2) for i in range(120)]
+    rows += [(1, base[0], 0), (1, base[0], 0), (1, base[1], 0), (2, base[0] * 2, 0), (30, base[0], 1)]
+    unit = np.array([v / np.linalg.norm(v) for _, v, _ in rows])
+    near = unit @ unit.T >= 0.93
+    linked = [(a, b) for a in range(len(rows)) for b in range(a) if rows[a][2] == rows[b][2] and near[a, b]]
+    roots, links = row_components(len(rows), linked), [0] * len(rows)
+    for pair in linked:
+        for i in pair:
+            links[i] += 1
+    want = []
+    for i, (vec, _, _) in enumerate(rows):
+        ids = [rows[j][0] for j in range(len(rows)) if roots[j] == roots[i] and rows[j][0] is not None]
+        want.append((vec, links[i], None if vec is None else min(ids), None if vec is None else vec == min(ids)))
+    df = spark.createDataFrame([(i, [float(x) for x in v], label) for i, v, label in rows], "vec_id long, embedding array<double>, label int").repartition(3)
+    assert sorted(map(repr, map(tuple, multi_index.near_duplicates(df).collect()))) == sorted(map(repr, want))
