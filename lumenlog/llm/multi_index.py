@@ -97,20 +97,21 @@ def _units(raws: list[bytes], dim: int) -> np.ndarray:
 
 
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every row's id and label, and for vectors that can be compared their length, digest and components."""
+    """Every row's number, label and id, and for vectors that can be compared their length, digest and components."""
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
     for batch in batches:
         rows = []
         kind = np.float32 if pa.types.is_float32(batch.schema.field(2).type.value_type) else np.float64
         for vec, label, values in zip(*(batch.column(i) for i in range(3))):
             row = (vec.as_py(), label.as_py(), None, None, None)
-            if vec.is_valid and values.is_valid and label.is_valid and not values.values.null_count:
+            if values.is_valid and label.is_valid and not values.values.null_count:
                 x = values.values.to_numpy(zero_copy_only=False).astype(kind)
                 if len(x) and np.isfinite(x).all() and x.any():
                     raw = x.tobytes()
                     row = (*row[:2], len(x), hashlib.md5(_units([raw], len(x)).tobytes()).digest(), raw)
             rows.append(row)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["vec_id", "label", "dim", "digest", "raw"])
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)]
+        yield pa.RecordBatch.from_arrays([*columns, batch.column(3)], ["row", "label", "dim", "digest", "raw", "vec_id"])
 
 
 def tile_of(cell: np.ndarray, second: int) -> np.ndarray:
@@ -194,28 +195,29 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, recall: float = TA
 
     Vectors are compared when their labels are equal and not null and their lengths are equal. A vector that is
     null, empty, zero, or holds a null or non-finite component links with nothing: n_links 0, its own component.
-    Equal vectors link with each other. So does a row whose id is null, which has a null component and
-    kept. Rows that repeat an id count as vectors of their own in n_links. Other columns are ignored; an empty table gives no rows.
+    Rows are compared each by its own vector, whatever their ids: equal vectors link with each other, also under one id,
+    and so does a row whose id is null, which has a null component and kept itself. Other columns are ignored; an empty
+    table gives no rows.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("embedding"))
-    units = stage(rows.mapInArrow(_unit, "vec_id long, label long, dim int, digest binary, raw binary"), "units")
+    rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("embedding"), F.col(id_col).cast("long").alias("vec_id"))
+    units = stage(rows.mapInArrow(_unit, "row long, label long, dim int, digest binary, raw binary, vec_id long"), "units")  # written, so that numbers stay the same
     named = units.where("digest is not null")
-    classes = named.groupBy("label", "dim", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
+    classes = named.groupBy("label", "dim", "digest").agg(F.min("row").alias("rep"), F.min("vec_id").alias("least"), F.count("*").alias("weight"))
     classes = stage(classes, "classes")
     sizes = classes.groupBy("dim").agg((F.count("*") / F.count_distinct("label")).alias("n")).orderBy(F.desc("n"), "dim").collect()  # a row a length of vectors
-    picked = named.join(classes.select("label", "dim", "digest", F.col("rep").alias("vec_id"), "weight"), ["label", "dim", "digest", "vec_id"]).dropDuplicates(["label", "dim", "digest"])
+    picked = named.join(classes.select("label", "dim", "digest", F.col("rep").alias("row"), "weight"), ["label", "dim", "digest", "row"])
     books, room = {}, BOOK_NUMBERS
     for dim, n in sizes:
         most = min(SAMPLE_ROWS, SAMPLE_NUMBERS // dim)
         if dim > 1 and most > 1 and room > 0:
-            some = picked.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("raw").collect()
+            some = picked.where(F.col("dim") == dim).orderBy(F.xxhash64("row"), "row").limit(most).select("raw").collect()
             if len(some) > 1:
                 books[dim] = fit(_units([x[0] for x in some], dim), n, cosine, recall)
                 room -= books[dim][0].size + books[dim][1].size
     shared = spark.sparkContext.broadcast(books)  # BOOK_NUMBERS and one length's codebooks at most
     kinds = "label long, dim int, rep long, weight long, raw binary"
-    celled = picked.select("label", "dim", F.col("vec_id").alias("rep"), "weight", "raw").mapInArrow(partial(_celled, shared), f"{kinds}, cell int, tile int, walk array<int>, tiles array<int>")
+    celled = picked.select("label", "dim", F.col("row").alias("rep"), "weight", "raw").mapInArrow(partial(_celled, shared), f"{kinds}, cell int, tile int, walk array<int>, tiles array<int>")
     celled = stage(celled, "cells")
 
     key = ["label", "dim", "tile"]
@@ -230,9 +232,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, recall: float = TA
     found = stage(members.union(queries).groupBy(*key, "m", "q").applyInPandas(_verified(cosine), "kind long, a long, b long"), "found")
     counts = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("more"))
     roots = components(found.where("kind = 1").select("a", "b"), "a", "b")
-    told = classes.join(counts, "rep", "left").join(roots, classes.rep == roots.node, "left").select("label", "dim", "digest", F.coalesce("component", "rep").alias("component"), (F.coalesce("more", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    told = classes.join(counts, "rep", "left").join(roots, classes.rep == roots.node, "left").select("label", "dim", "digest", "least", F.coalesce("component", "rep").alias("root"), (F.coalesce("more", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    told = told.join(told.groupBy("root").agg(F.min("least").alias("component")), "root").drop("root", "least")
     out = units.select("vec_id", "label", "dim", "digest").join(told, ["label", "dim", "digest"], "left")
-    component = F.coalesce("component", "vec_id")
+    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
 
