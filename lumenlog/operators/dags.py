@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenlog.sources.staging import stage
+
 MOST_CYCLES = 100
 
 
@@ -137,6 +139,27 @@ def audit(edges: DataFrame) -> DataFrame:
     return edges.select("fold", "src_kc", "dst_kc", "weight").groupBy("fold").applyInPandas(run, f"fold int, {longs}, topo_sort_passed boolean")
 
 
+def layers(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, kc_id, layer): a topological order of all keys' graphs at once; an edge's end has a higher layer than its start.
+
+    Each round takes the nodes that no edge left points to, numbers them, and drops their edges; a graph as deep as n
+    takes n rounds, whatever its width. An error where edges are left and no node is free, which is a cycle.
+    """
+    left = stage(edges.select(*keys, "src_kc", "dst_kc").distinct(), "edges-left")
+    nodes = stage(left.select(*keys, F.explode(F.array("src_kc", "dst_kc")).alias("kc_id")).distinct(), "nodes-left")
+    done, layer = None, 0
+    while not nodes.isEmpty():
+        free = nodes.join(left.select(*keys, F.col("dst_kc").alias("kc_id")).distinct(), [*keys, "kc_id"], "left_anti")
+        free = stage(free.withColumn("layer", F.lit(layer)), "layer")
+        if free.isEmpty():
+            raise ValueError("the graph has a cycle")
+        done = free if done is None else done.union(free)
+        nodes = stage(nodes.join(free, [*keys, "kc_id"], "left_anti"), "nodes-left")
+        left = stage(left.join(free.select(*keys, F.col("kc_id").alias("src_kc")), [*keys, "src_kc"], "left_anti"), "edges-left")
+        layer += 1
+    return nodes.withColumn("layer", F.lit(0)) if done is None else done
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """fold, n_nodes, n_edges, n_roots (nothing points there), n_leaves (points nowhere)."""
     ends = edges.select("fold", F.col("src_kc").alias("kc"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("fold", F.col("dst_kc"), F.lit(0), F.lit(1)))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lumenlog.functions import scalars as S
 from lumenlog.sources.staging import stage
 
+from .sequences import dense_ids
+
 TOP_K = (200, 500, 800, 1200, 1800, 2500, 3500, 5000)
 
 
@@ -79,24 +81,33 @@ def node_jaccard(inferred: DataFrame, expert: DataFrame, ks) -> DataFrame:
 def reachable(edges: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, src_kc, dst_kc): all pairs of different nodes with a path, on cyclic graphs too.
 
-    Paths double in length each round, so the rounds are logarithmic in the longest shortest path; each round's table
-    is staged. Pairs from a node to itself take part in no longer path and are left out.
+    Nodes are numbered within their key and what a node reaches is a line of 64-bit words, a row a node and word that is
+    not empty. A round joins each node with the words of all nodes that it reaches and unites them by bits, so paths
+    double in length and the rounds are logarithmic in the longest shortest path. No table between rounds is larger
+    than nodes times words; pairs are made once, at the end.
     """
-    known = stage(edges.select(*keys, "src_kc", "dst_kc").where("src_kc <> dst_kc").distinct(), "paths")
-    n = known.count()
-    while True:
-        onward = known.select(*keys, F.col("src_kc").alias("dst_kc"), F.col("dst_kc").alias("end"))
-        longer = known.join(onward, [*keys, "dst_kc"]).where("src_kc <> end").select(*keys, "src_kc", F.col("end").alias("dst_kc"))
-        known = stage(known.union(longer).distinct(), "paths")
-        if (more := known.count()) == n:
-            return known
-        n = more
+    edges = stage(edges.select(*keys, "src_kc", "dst_kc").where("src_kc <> dst_kc").distinct(), "graph")
+    nodes = edges.select(*keys, F.explode(F.array("src_kc", "dst_kc")).alias("kc_id"))
+    ids = stage(dense_ids(nodes, "kc_id", keys), "numbers")
+    end = lambda kc, name: ids.select(*keys, F.col("kc_id").alias(kc), F.col("dense").alias(name))
+    numbered = edges.join(end("src_kc", "u"), [*keys, "src_kc"]).join(end("dst_kc", "v"), [*keys, "dst_kc"])
+    united = lambda df: df.groupBy(*keys, "u", "w").agg(F.bit_or("bits").alias("bits"))
+    known = stage(united(numbered.select(*keys, "u", F.floor(F.col("v") / 64).alias("w"), F.expr("shiftleft(1L, cast(v % 64 as int))").alias("bits"))), "words")
+    reached = lambda: known.select(*keys, "u", "w", F.explode(F.expr("filter(sequence(0, 63), k -> getbit(bits, k) = 1)")).alias("k_")).select(*keys, "u", (F.col("w") * 64 + F.col("k_")).alias("v"))
+    n = None
+    while (now := known.agg(F.sum(F.bit_count("bits"))).first()[0]) != n:
+        n = now
+        further = reached().join(known.select(*keys, F.col("u").alias("v"), "w", "bits"), [*keys, "v"]).select(*keys, "u", "w", "bits")
+        known = stage(united(known.union(further)), "words")
+    pairs = reached().where("u <> v").join(end("src_kc", "u"), [*keys, "u"]).join(end("dst_kc", "v"), [*keys, "v"])
+    return pairs.select(*keys, "src_kc", "dst_kc")
 
 
 def reachability(inferred: DataFrame, expert: DataFrame, ks) -> DataFrame:
-    a = reachable(top_edges(inferred, ks), ["top_k"]).withColumn("i", F.lit(1))
-    b = reachable(_per_k(ks, expert), ["top_k"]).withColumn("e", F.lit(1))
-    n = a.join(b, ["top_k", "src_kc", "dst_kc"], "full").groupBy("top_k").agg(F.count("i").alias("ni"), F.count("e").alias("ne"), F.count_if(F.col("i").isNotNull() & F.col("e").isNotNull()).alias("hit"))
+    """top_k, reachability_precision, reachability_recall, reachability_f1: both graphs' paths are sought in the same rounds."""
+    both = top_edges(inferred, ks).withColumn("i_", F.lit(True)).unionByName(_per_k(ks, expert).withColumn("i_", F.lit(False)))
+    pairs = reachable(both, ["top_k", "i_"]).groupBy("top_k", "src_kc", "dst_kc").agg(F.bool_or("i_").alias("i"), F.bool_or(~F.col("i_")).alias("e"))
+    n = pairs.groupBy("top_k").agg(F.count_if("i").alias("ni"), F.count_if("e").alias("ne"), F.count_if(F.col("i") & F.col("e")).alias("hit"))
     p, r = S.ratio(F.col("hit").cast("double"), F.col("ni")), S.ratio(F.col("hit").cast("double"), F.col("ne"))
     return n.select("top_k", p.alias("reachability_precision"), r.alias("reachability_recall"), S.f1(p, r).alias("reachability_f1"))
 

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlog.functions import scalars as S
+from lumenlog.sources.staging import stage
+
+from .ranking import hash_rank
 
 
 BUCKETS = 4096
@@ -52,8 +55,11 @@ def fold_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fold_report(rows: DataFrame, keys: list[str], n: int = 1000, seed: int = 42) -> DataFrame:
-    """fold_summary with bootstrap intervals of each mean; rows have a metric row a fold."""
+    """fold_summary with bootstrap intervals of each mean, and the first fold's status and note where rows tell them; rows have a metric row a fold."""
     out = fold_summary(rows, keys)
+    told = [F.min_by(c, "fold").alias(c) for c in ("status", "note") if c in rows.columns]
+    if told:
+        out = out.join(rows.groupBy(*keys).agg(*told), keys)
     for c in ("auc", "acc", "nll"):
         ci = bootstrap_ci(rows, keys, c, n, seed).select(*keys, F.col("ci_low").alias(f"{c}_ci_low"), F.col("ci_high").alias(f"{c}_ci_high"))
         out = out.join(ci, keys, "left")
@@ -84,9 +90,26 @@ def ablation(train_only: DataFrame, full_log: DataFrame) -> DataFrame:
 
 
 def bootstrap_ci(rows: DataFrame, keys: list[str], value: str, n: int = 1000, seed: int = 42) -> DataFrame:
-    """keys, mean, ci_low, ci_high, n: 2.5 and 97.5 % of the means of n draws with replacement.
+    """keys, mean, ci_low, ci_high, n: 2.5 and 97.5 % of the means of n resamples of each group, with replacement.
 
-    A group has a row for each fold and seed (a handful), so it fits one task. Nulls are left out; no value gives
+    A group's values are numbered in hash order; in each resample each row draws one number by a hash of seed,
+    resample and its own number. So a resample is an aggregation, and a group may have any size. Nulls are left out; no
+    value gives nulls and one gives itself.
+    """
+    x = F.col(value).cast("double")
+    held = rows.where(x.isNotNull()).select(*keys, x.alias("x_"))
+    own = stage(hash_rank(held, keys, F.md5(F.round(F.col("x_") * 1e9).cast("long").cast("string")), "x_"), "ranked")
+    drawn = own.select(*keys, "rank_", "n_", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("resample_"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "resample_", "rank_")), 1, 8), 16, 10).cast("long") % F.col("n_")
+    met = drawn.select(*keys, "resample_", draw.alias("rank_")).join(own.select(*keys, "rank_", "x_"), [*keys, "rank_"])
+    means = met.groupBy(*keys, "resample_").agg(F.avg("x_").alias("m_"))
+    ends = means.groupBy(*keys).agg(F.percentile("m_", F.lit(0.025)).alias("ci_low"), F.percentile("m_", F.lit(0.975)).alias("ci_high"))
+    whole = rows.groupBy(*keys).agg(F.avg(x).alias("mean"), F.count(x).alias("n"))
+    return whole.join(ends, keys, "left").select(*keys, "mean", "ci_low", "ci_high", "n")
+
+
+def bootstrap_ci_drawn(rows: DataFrame, keys: list[str], value: str, n: int = 1000, seed: int = 42) -> DataFrame:
+    """bootstrap_ci with NumPy's seeded draws, one task a group; for groups of a row a fold and seed (a handful). Nulls are left out; no value gives
     nulls and one gives itself.
     """
 

@@ -257,6 +257,14 @@ def model_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, "auc", "acc", "nll")
 
 
+def fold_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold summary that reports are made of: means with intervals, the first fold's status and note."""
+    rows = single(spark, sf_dir).settled().fold_metrics()
+    rows = rows.select(F.lit("events_single").alias("dataset"), "model", F.lit("train_only").alias("graph_construction"), F.lit("diagnostic").alias("status"), F.concat(F.lit("fold "), "fold").alias("note"), "fold", "n", "auc", "acc", "nll")
+    names = ("auc", "acc", "nll")
+    return rounded(metrics.fold_report(stage(rows, "folds"), ["dataset", "model", "graph_construction"]), *names, *(f"{c}_ci_{end}" for c in names for end in ("low", "high")))
+
+
 def kc_names(spark: SparkSession) -> DataFrame:
     """Names of some components, made up."""
     return spark.range(0, 20, 2).select(F.col("id").alias("kc_id"), F.concat(F.lit("kc "), F.col("id")).alias("name"))
@@ -342,7 +350,7 @@ QUERIES = {
     "strata_metrics": lambda s, d: rounded(_cold(parts(s, d).settled(), MODELS_WITHOUT_GRAPH), "auc", "acc", "nll"),
     "cold_start_mean": lambda s, d: rounded(metrics.cold_start_mean(_cold(parts(s, d).settled(), MODELS_WITHOUT_GRAPH), ["model"]), "auc", "acc", "nll"),
     "fold_summary": lambda s, d: rounded(metrics.fold_summary(single(s, d).settled().fold_metrics(), ["model"]), "auc", "acc", "nll"),
-    "fold_report": lambda s, d: metrics.fold_report(stage(single(s, d).settled().fold_metrics(), "folds"), ["model"]),
+    "fold_report": fold_report,
     "leakage_mean": lambda s, d: (lambda a: rounded(metrics.leakage_mean(leakage.leakage_row(a.tagged, a.pre, a.sim), []), "ecr_flag", "ecr_overlap", "eoc", "tbvr"))(multi(s, d).settled()),
     "model_runs": model_runs,
     "prediction_sample": lambda s, d: rounded(predict.sample(single(s, d).settled().predictions(models=MODELS_WITHOUT_GRAPH), 100), "y_prob"),
@@ -357,7 +365,8 @@ QUERIES = {
     "ddr_attr_mask": _ddr("attr_mask"),
     "ddr_subgraph": _ddr("subgraph"),
     "ddr_summary": lambda s, d: rounded(perturb.summary(perturb.sweep(single(s, d).pre, ("edge_drop", "node_drop", "attr_mask"))), "ddr_mean", "ddr_std"),
-    "ddr_bootstrap": lambda s, d: metrics.bootstrap_ci(perturb.sweep(single(s, d).pre, ("edge_drop", "node_drop")), ["augmentation", "p"], "ddr"),
+    "ddr_bootstrap": lambda s, d: rounded(metrics.bootstrap_ci(perturb.sweep(single(s, d).pre, ("edge_drop", "node_drop", "attr_mask")), ["augmentation", "p"], "ddr"), "mean", "ci_low", "ci_high"),
+    "dag_layers": lambda s, d: dags.layers(single(s, d).pre.where("src_kc < dst_kc"), FOLD),
     "gt_align": lambda s, d: (lambda t: groundtruth.align(t[1].union(s.createDataFrame([(3, 999), (998, 3), (997, 996)], "src_kc long, dst_kc long")), t[2].train.where("fold = 0")))(_truth(s, d)),
     "gt_overlap_at_k": lambda s, d: (lambda t: rounded(groundtruth.edge_overlap(t[0], t[1], KS), "edge_precision", "edge_recall", "edge_f1"))(_truth(s, d)),
     "gt_direction": lambda s, d: (lambda t: rounded(groundtruth.direction_agreement(t[0], t[1], KS), "direction_agreement"))(_truth(s, d)),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumenlog.operators import bkt, sequences, tracing
 from lumenlog.plans.audit import FOLD, rounded, single
-from lumenlog.plans.oracle import sql
+from lumenlog.plans.oracle import blends, ddr, scores, sql
 
 EM_ROUNDS = 3
 TRACER_WIDTH = 2
@@ -82,5 +82,34 @@ def _tracer_sql() -> str:
     return sql("single", "tagged dense_kc", f"SELECT fold, user_id, kc_id, CAST(seq AS VARCHAR) AS seq, y AS y_true, round(round({chance}, 9), 6) AS y_prob FROM w", f"{lined},\n{walk}")
 
 
+def resampled(name: str, body: str, keys: str, value: str) -> str:
+    """Tables that end in <name>: keys, lo and hi, the interval of resampled means of a value of body."""
+    return f"""{name}o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY md5(CAST(CAST(round(x * 1000000000::DOUBLE) AS BIGINT) AS VARCHAR)), x) - 1 AS rk, count(*) OVER (PARTITION BY {keys}) AS size FROM (SELECT {keys}, {value} AS x FROM ({body}) WHERE {value} IS NOT NULL)),
+{name}d AS (SELECT {keys}, b, CAST(concat('0x', substr(md5(concat('42:', b, ':', rk)), 1, 8)) AS BIGINT) % size AS rk FROM {name}o, (SELECT unnest(range(1, 1001)) AS b)),
+{name} AS (SELECT {keys}, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM (SELECT {keys}, b, avg(x) AS m FROM {name}d JOIN {name}o USING ({keys}, rk) GROUP BY {keys}, b) GROUP BY {keys})"""
+
+
+def _report_sql() -> str:
+    folds = scores(f"({blends('ch')})", "fold, model")
+    names = ("auc", "acc", "nll")
+    tables = ",\n".join([f"f AS MATERIALIZED ({folds})", *(resampled(f"r{c}", "SELECT * FROM f", "model", c) for c in names)])
+    columns = ", ".join(f"round(avg({c}), 6) AS {c}, round(any_value(r{c}.lo), 6) AS {c}_ci_low, round(any_value(r{c}.hi), 6) AS {c}_ci_high" for c in names)
+    joins = " ".join(f"JOIN r{c} USING (model)" for c in names)
+    return sql("single", "ch", f"SELECT 'events_single' AS dataset, model, 'train_only' AS graph_construction, count(DISTINCT fold) AS n_folds, CAST(sum(n) AS BIGINT) AS n_eval, 'diagnostic' AS status, concat('fold ', min(fold)) AS note, {columns} FROM f {joins} GROUP BY model", tables)
+
+
+def _ddr_sql() -> str:
+    body = " UNION ALL ".join(f"({ddr(k)})" for k in ("edge_drop", "node_drop", "attr_mask"))
+    tables = f"s AS MATERIALIZED ({body}),\n{resampled('ci', 'SELECT * FROM s', 'augmentation, p', 'ddr')}"
+    return sql("single", "pre", "SELECT augmentation, p, round(avg(ddr), 6) AS mean, round(any_value(lo), 6) AS ci_low, round(any_value(hi), 6) AS ci_high, count(*) AS n FROM s JOIN ci USING (augmentation, p) GROUP BY augmentation, p", tables)
+
+
+def _layers_sql() -> str:
+    """The longest path that ends in a node, over all lengths of paths."""
+    up = "up AS MATERIALIZED (SELECT DISTINCT fold, src_kc, dst_kc FROM pre WHERE src_kc < dst_kc)"
+    walk = "w AS (SELECT fold, src_kc AS kc_id, 0 AS layer FROM up UNION SELECT w.fold, dst_kc, layer + 1 FROM w JOIN up ON up.fold = w.fold AND src_kc = kc_id)"
+    return sql("single", "pre", "SELECT fold, kc_id, max(layer) AS layer FROM w GROUP BY fold, kc_id", f"{up},\n{walk}")
+
+
 QUERIES = {"bkt_em_rounds": bkt_em_rounds, "tracer_filter": tracer_filter, "backend_runs": backend_runs}
-ORACLE_SQL = {"bkt_em_rounds": _em_sql(), "tracer_filter": _tracer_sql()}
+ORACLE_SQL = {"bkt_em_rounds": _em_sql(), "tracer_filter": _tracer_sql(), "fold_report": _report_sql(), "ddr_bootstrap": _ddr_sql(), "dag_layers": _layers_sql()}

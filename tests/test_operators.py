@@ -512,3 +512,57 @@ def test_the_strongest_edges_beyond_the_cap(spark):
     got = graphs.prerequisites(spark.createDataFrame(rows, "src_kc long, dst_kc long, support long"), [], 0.0, 100, 1500)
     assert sorted((r.src_kc, r.dst_kc, r.support) for r in got.collect()) == sorted(sorted(rows, key=lambda r: (-r[2], r[0], r[1]))[:1500])
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def plain_closure(pairs):
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+    found = set()
+    for start in out:
+        seen, ahead = set(), [start]
+        while ahead:
+            for b in out.get(ahead.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    ahead.append(b)
+        found |= {(start, b) for b in seen if b != start}
+    return found
+
+
+def test_closure_of_a_chain_and_of_dense_cycles(spark):
+    rnd = random.Random(5)
+    chain = [(i * 7, (i + 1) * 7) for i in range(150)]
+    dense = [(a, b) for a in range(80) for b in range(80) if rnd.random() < 0.2]
+    loose = [(rnd.randrange(90), rnd.randrange(90)) for _ in range(100)]
+    rows = [(k, a, b) for k, pairs in enumerate((chain, dense, loose)) for a, b in pairs]
+    got = groundtruth.reachable(spark.createDataFrame(rows, "fold int, src_kc long, dst_kc long"), ["fold"]).collect()
+    assert len(got) == len(set(got))
+    for k, pairs in enumerate((chain, dense, loose)):
+        assert {(r.src_kc, r.dst_kc) for r in got if r.fold == k} == plain_closure([(a, b) for a, b in pairs if a != b])
+
+
+def test_layers_point_forward(spark):
+    rnd = random.Random(6)
+    rows = [(k, min(a, b), max(a, b)) for k in range(2) for a, b in ((rnd.randrange(20), rnd.randrange(20)) for _ in range(40)) if a != b]
+    df = spark.createDataFrame(rows, "fold int, src_kc long, dst_kc long")
+    layer = {(r.fold, r.kc_id): r.layer for r in dags.layers(df, ["fold"]).collect()}
+    assert set(layer) == {(k, x) for k, a, b in rows for x in (a, b)}
+    assert all(layer[k, a] < layer[k, b] for k, a, b in rows)
+    assert all(n == 0 or any(layer[k, a] == n - 1 for j, a, b in rows if (j, b) == (k, x)) for (k, x), n in layer.items())
+    with pytest.raises(ValueError):
+        dags.layers(df.union(spark.createDataFrame([(0, 50, 51), (0, 51, 50)], df.schema)), ["fold"])
+    assert dags.layers(df.where("false"), ["fold"]).count() == 0
+
+
+def test_resampled_intervals_are_those_of_draws(spark):
+    rnd = np.random.default_rng(3)
+    rows = [(k, float(x)) for k, n in ((0, 40), (1, 5), (2, 1)) for x in rnd.normal(k, 1, n)] + [(0, None), (3, None)]
+    df = spark.createDataFrame(rows, "fold int, v double")
+    got = {r.fold: r for r in metrics.bootstrap_ci(df, ["fold"], "v", n=600).collect()}
+    drawn = {r.fold: r for r in metrics.bootstrap_ci_drawn(df, ["fold"], "v", n=600).collect()}
+    assert (got[3].ci_low, got[3]["mean"], got[3].n) == (None, None, 0) and got[2].ci_low == pytest.approx(got[2].ci_high) == pytest.approx(got[2]["mean"])
+    for k in (0, 1):
+        assert got[k]["mean"] == pytest.approx(drawn[k]["mean"]) and got[k].n == drawn[k].n
+        width = drawn[k].ci_high - drawn[k].ci_low
+        assert abs(got[k].ci_low - drawn[k].ci_low) < 0.15 * width and abs(got[k].ci_high - drawn[k].ci_high) < 0.15 * width
