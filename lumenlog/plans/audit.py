@@ -123,6 +123,15 @@ class Audit:
         result = metrics.metrics(pred, ["fold", "model"]).withColumn("graph_construction", F.lit("full_log" if full_log else "train_only")).withColumn("status", F.lit(status))
         return result, pred if cap is None else predict.sample(pred, cap)
 
+    @cached_property
+    def sweep(self) -> DataFrame:
+        return stage(perturb.sweep(self.pre), "sweep")
+
+    @cached_property
+    def predicted(self) -> DataFrame:
+        """All models' train-only predictions, staged for the tables that are made of them."""
+        return stage(self.predictions(), "predictions")
+
     def fold_metrics(self, full_log: bool = False, models=tuple(predict.WEIGHTS)) -> DataFrame:
         return metrics.metrics(self.predictions(full_log, models), ["fold", "model"])
 

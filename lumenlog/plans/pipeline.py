@@ -20,12 +20,12 @@ STAGES = {
     "leakage": lambda a: leakage.leakage_row(a.tagged, a.pre, a.sim),
     "dag_audit": lambda a: dags.audit(a.pre),
     "pruning_log": lambda a: dags.prune_log(a.pre),
-    "ddr": lambda a: perturb.sweep(a.pre),
-    "ddr_summary": lambda a: perturb.summary(perturb.sweep(a.pre)).join(metrics.bootstrap_ci(perturb.sweep(a.pre), ["augmentation", "p"], "ddr").select("augmentation", "p", "ci_low", "ci_high"), ["augmentation", "p"]),
-    "fold_results": lambda a: a.fold_metrics(),
-    "fold_summary": lambda a: metrics.fold_report(a.fold_metrics(), ["model"]),
-    "predictions_sample": lambda a: predict.sample(a.predictions()),
-    "cold_start": lambda a: metrics.strata_metrics(a.predictions(), metrics.strata_of(a.train)),
+    "ddr": lambda a: a.sweep,
+    "ddr_summary": lambda a: perturb.summary(a.sweep).join(metrics.bootstrap_ci(a.sweep, ["augmentation", "p"], "ddr").select("augmentation", "p", "ci_low", "ci_high"), ["augmentation", "p"]),
+    "fold_results": lambda a: metrics.metrics(a.predicted, ["fold", "model"]),
+    "fold_summary": lambda a: metrics.fold_report(metrics.metrics(a.predicted, ["fold", "model"]), ["model"]),
+    "predictions_sample": lambda a: predict.sample(a.predicted),
+    "cold_start": lambda a: metrics.strata_metrics(a.predicted, metrics.strata_of(a.train)),
     "sequences": lambda a: sequences.packed(a.tagged, sequences.dense_ids(a.train, "item_id", FOLD), sequences.dense_ids(a.train, "kc_id", FOLD)),
     "adjacency": lambda a: graphs.adjacency(a.pre, sequences.dense_ids(a.train, "kc_id", FOLD), FOLD),
 }
@@ -56,16 +56,7 @@ def run(log: DataFrame, dataset: str, out: str, stages: Iterable[str] = tuple(ST
 
     Without force, stages whose table holds the data set are skipped.
     """
-    a = Audit(log).settled()
-    for name in stages:
-        if not force and finished(log.sparkSession, f"{out}/{name}", dataset):
-            continue
+    due = [name for name in stages if force or not finished(log.sparkSession, f"{out}/{name}", dataset)]
+    a = Audit(log).settled() if due else None
+    for name in due:
         sinks.write_partitions(STAGES[name](a).withColumn("dataset", F.lit(dataset)), f"{out}/{name}", ["dataset"])
-
-
-def markdown(table: DataFrame, most: int = 200) -> str:
-    """A small metric table as a Markdown report; metric tables have a row a fold, model or stratum."""
-    rows = table.limit(most).collect()
-    cell = lambda v: "--" if v is None else f"{v:.3f}" if isinstance(v, float) else f"{v:,}" if isinstance(v, int) and not isinstance(v, bool) else str(v)
-    lines = ["| " + " | ".join(table.columns) + " |", "|" + "---|" * len(table.columns)]
-    return "\n".join(lines + ["| " + " | ".join(map(cell, row)) + " |" for row in rows]) + "\n"

@@ -19,7 +19,7 @@ def write_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def audit_rows(edges: DataFrame, dataset: str, edge_type: str) -> DataFrame:
@@ -54,4 +54,4 @@ def artefact_index(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.select(F.to_json(F.struct(*df.columns)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).repartition(1).write.mode("overwrite").text(path)
