@@ -96,7 +96,7 @@ class Audit:
         """
         if trained_head and model in predict.GRAPH_MODELS:
             graph = stage(self.graph_channel(full_log), "graph")
-            pred, status = fitted_head(self.features(self.train, graph), self.features(self.held, graph), model, len(SEEDS)), "trained_leakage_head"
+            pred, status = fitted_head(self.features(self.train, graph), self.features(self.held, graph), model), "trained_leakage_head"
         else:
             pred, status = self.predictions(full_log, (model,)), "diagnostic"
         result = metrics.metrics(pred, ["fold", "model"]).withColumn("graph_construction", F.lit("full_log" if full_log else "train_only")).withColumn("status", F.lit(status))
@@ -249,12 +249,12 @@ def fixed_bkt(log: DataFrame) -> DataFrame:
 
 
 def logistic_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of logistic heads over the channels of the graph models, fitted on train rows of each fold."""
-    a, out = single(spark, sf_dir).settled(), None
-    for model in predict.GRAPH_MODELS:
-        rows, _ = a.run_model(model, trained_head=True)
-        out = rows if out is None else out.union(rows)
-    return rounded(out, "auc", "acc", "nll")
+    """Metrics of logistic heads over the channels of the graph models, fitted on train rows of all folds at once."""
+    a = single(spark, sf_dir).settled()
+    graph = stage(a.graph_channel(), "graph")
+    pred = fitted_head(a.features(a.train, graph), a.features(a.held, graph), predict.GRAPH_MODELS)
+    rows = metrics.metrics(pred, ["fold", "model"]).withColumn("graph_construction", F.lit("train_only")).withColumn("status", F.lit("trained_leakage_head"))
+    return rounded(rows, "auc", "acc", "nll")
 
 
 def model_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -350,13 +350,15 @@ def test_fitted_head_is_the_optimum(spark):
     y = (rnd.random(120) < 1 / (1 + np.exp(-(3 * x[:, 0] - 2 * x[:, 1])))).astype(int)
     rows = [(0, i, i, i, i, int(y[i]), *map(float, x[i])) for i in range(120)]
     df = spark.createDataFrame(rows, "fold int, user_id long, item_id long, kc_id long, seq long, correct long, global double, kc double, graph double")
-    got = [r.y_prob for r in fitted_head(df, df, "gkt", 1, l2=0.01).orderBy("seq").collect()]
+    got = [r.y_prob for r in fitted_head(df, df, "gkt", l2=0.01).orderBy("seq").collect()]
     a, w = np.column_stack([x, np.ones(120)]), np.zeros(4)
     for _ in range(50):  # Newton steps on the mean log loss with a penalty on all but the constant
         p = 1 / (1 + np.exp(-a @ w))
         ridge = 0.01 * np.array([1, 1, 1, 0])
         w -= np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) / 120 + np.diag(ridge), a.T @ (p - y) / 120 + ridge * w)
-    assert got == pytest.approx(list(1 / (1 + np.exp(-a @ w))), abs=2e-3)
+    assert got == pytest.approx(list(1 / (1 + np.exp(-a @ w))), abs=1e-8)
+    both = fitted_head(df, df.withColumn("freq", F.lit(0.3)), ("gkt", "dgekt"), l2=0.01).where("model = 'gkt'").orderBy("seq").collect()
+    assert [r.y_prob for r in both] == pytest.approx(got, abs=1e-8)
 
 
 def test_runs_switch_between_head_and_blend(spark):
