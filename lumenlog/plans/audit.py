@@ -373,7 +373,7 @@ QUERIES = {
     "ddr_node_drop": _ddr("node_drop"),
     "ddr_attr_mask": _ddr("attr_mask"),
     "ddr_subgraph": _ddr("subgraph"),
-    "ddr_summary": lambda s, d: rounded(perturb.summary(perturb.sweep(single(s, d).pre, ("edge_drop", "node_drop", "attr_mask"))), "ddr_mean", "ddr_std"),
+    "ddr_summary": lambda s, d: rounded(perturb.summary(single(s, d).sweep), "ddr_mean", "ddr_std"),
     "ddr_bootstrap": lambda s, d: rounded(metrics.bootstrap_ci(perturb.sweep(single(s, d).pre, ("edge_drop", "node_drop", "attr_mask")), ["augmentation", "p"], "ddr"), "mean", "ci_low", "ci_high"),
     "dag_layers": lambda s, d: dags.layers(single(s, d).pre.where("src_kc < dst_kc"), FOLD),
     "gt_align": lambda s, d: (lambda t: groundtruth.align(t[1].union(s.createDataFrame([(3, 999), (998, 3), (997, 996)], "src_kc long, dst_kc long")), t[2].train.where("fold = 0")))(_truth(s, d)),

@@ -104,6 +104,23 @@ def _ddr_sql() -> str:
     return sql("single", "pre", "SELECT augmentation, p, round(avg(ddr), 6) AS mean, round(any_value(lo), 6) AS ci_low, round(any_value(hi), 6) AS ci_high, count(*) AS n FROM s JOIN ci USING (augmentation, p) GROUP BY augmentation, p", tables)
 
 
+_TABLES = "e AS MATERIALIZED (SELECT DISTINCT fold, least(src_kc, dst_kc) AS a, greatest(src_kc, dst_kc) AS b, seed, CAST(concat('0x', substr(md5(concat(seed, ':', least(src_kc, dst_kc), '-', greatest(src_kc, dst_kc))), 1, 7)) AS BIGINT) + 1 AS took FROM pre, (SELECT unnest([42, 17, 1234]) AS seed) WHERE src_kc <> dst_kc)"
+GROWTH = f"""{_TABLES},
+both_ AS MATERIALIZED (SELECT fold, seed, a AS kc, b AS to_, took FROM e UNION ALL SELECT fold, seed, b, a, took FROM e),
+st AS (SELECT fold, seed, kc, {{'h': CAST(concat('0x', substr(md5(concat(seed, ':', kc)), 1, 8)) AS BIGINT), 'k': kc, 'd': 0::BIGINT}} AS s, 0 AS it FROM (SELECT fold, src_kc AS kc FROM pre UNION SELECT fold, dst_kc FROM pre), (SELECT unnest([42, 17, 1234]) AS seed)
+  UNION ALL SELECT fold, seed, kc, list_sort(list(s))[1] AS s, it + 1 FROM (SELECT fold, seed, kc, s, it FROM st UNION ALL SELECT st.fold, st.seed, to_, {{'h': s.h, 'k': s.k, 'd': s.d + took}}, it FROM st JOIN both_ USING (fold, seed, kc)) WHERE it < 40 GROUP BY fold, seed, kc, it),
+rk AS (SELECT fold, seed, kc, row_number() OVER (PARTITION BY fold, seed ORDER BY s, kc) AS rk, count(*) OVER (PARTITION BY fold, seed) AS n FROM st WHERE it = 40),
+keep AS MATERIALIZED (SELECT fold, p, seed, kc FROM rk, (SELECT unnest([0.05::DOUBLE, 0.1, 0.2, 0.3]) AS p) WHERE rk <= greatest(1, ceil(round((1 - p) * n, 9))))"""
+_GROWN = """SELECT x.fold, 'subgraph' AS augmentation, ps.p, sd.seed, avg(CASE WHEN a.kc IS NULL OR b.kc IS NULL THEN 1.0::DOUBLE ELSE 0 END) AS ddr
+  FROM (SELECT DISTINCT fold, src_kc, dst_kc FROM pre) x CROSS JOIN (SELECT unnest([0.05::DOUBLE, 0.1, 0.2, 0.3]) AS p) ps CROSS JOIN (SELECT unnest([42, 17, 1234]) AS seed) sd
+  LEFT JOIN keep a ON a.fold = x.fold AND a.p = ps.p AND a.seed = sd.seed AND a.kc = src_kc LEFT JOIN keep b ON b.fold = x.fold AND b.p = ps.p AND b.seed = sd.seed AND b.kc = dst_kc GROUP BY x.fold, ps.p, sd.seed"""
+
+
+def _summary_sql() -> str:
+    body = " UNION ALL ".join(f"({ddr(k)})" for k in ("edge_drop", "node_drop", "attr_mask")) + f" UNION ALL ({_GROWN})"
+    return sql("single", "pre", f"SELECT augmentation, p, round(avg(ddr), 6) AS ddr_mean, round(coalesce(stddev_samp(ddr), 0), 6) AS ddr_std, count(*) AS n FROM ({body}) GROUP BY augmentation, p", GROWTH)
+
+
 def _layers_sql() -> str:
     """The longest path that ends in a node, over all lengths of paths."""
     up = "up AS MATERIALIZED (SELECT DISTINCT fold, src_kc, dst_kc FROM pre WHERE src_kc < dst_kc)"
@@ -112,4 +129,4 @@ def _layers_sql() -> str:
 
 
 QUERIES = {"bkt_em_rounds": bkt_em_rounds, "tracer_filter": tracer_filter, "backend_runs": backend_runs}
-ORACLE_SQL = {"bkt_em_rounds": _em_sql(), "tracer_filter": _tracer_sql(), "fold_report": _report_sql(), "ddr_bootstrap": _ddr_sql(), "dag_layers": _layers_sql()}
+ORACLE_SQL = {"bkt_em_rounds": _em_sql(), "tracer_filter": _tracer_sql(), "fold_report": _report_sql(), "ddr_bootstrap": _ddr_sql(), "dag_layers": _layers_sql(), "ddr_summary": _summary_sql(), "ddr_subgraph": sql("single", "pre", f"SELECT fold, augmentation, p, seed, round(ddr, 6) AS ddr FROM ({_GROWN})", GROWTH)}

@@ -83,11 +83,31 @@ def test_lost_share(spark):
         perturb.sweep(edges(spark, [(1, 2, 1.0)]), ("other",))
 
 
-def test_grown_nodes_are_contiguous():
-    path = [(i, i + 1) for i in range(9)]
-    kept = perturb.grown_nodes(path, 0.4, 3)
-    assert len(kept) == 6 and kept == perturb.grown_nodes(path, 0.4, 3)
-    assert max(kept) - min(kept) == 5
+def test_growth_is_by_first_passage(spark):
+    rnd = random.Random(8)
+    path = [(i, i + 1, 1.0) for i in range(9)]
+    web = [(0, rnd.randrange(100, 130), rnd.randrange(100, 130)) for _ in range(60)] + [(0, 200, 201), (0, 201, 202)]
+    df = edges(spark, path).union(spark.createDataFrame([(1, a, b, 1, 1.0, "t") for _, a, b in web], EDGE))
+    kept = {}
+    for r in perturb.kept_nodes(df).collect():
+        kept.setdefault((r.fold, r.p, r.seed), set()).add(r.kc)
+    assert len(kept) == 2 * 4 * 3
+    reach = {(r.fold, r.seed, r.kc): (r.start_, r.from_, r.time_) for r in perturb.growth(df).collect()}
+    for fold, pairs in ((0, [(a, b) for a, b, _ in path]), (1, [(a, b) for _, a, b in web])):
+        nodes = {x for pair in pairs for x in pair}
+        for (k, p, seed), own in kept.items():
+            if k != fold:
+                continue
+            assert len(own) == max(1, math.ceil(round((1 - p) * len(nodes), 9)))
+            order = sorted(nodes, key=lambda x: (*reach[fold, seed, x], x))
+            assert own == set(order[: len(own)])
+            begun = set()
+            for x in order:  # each node begins a component or is next to one reached earlier
+                near = {b for a, b in pairs if a == x} | {a for a, b in pairs if b == x}
+                assert near & begun or (reach[fold, seed, x][1] == x and reach[fold, seed, x][2] == 0)
+                begun.add(x)
+    lost = perturb.sweep(df, ("subgraph",)).where("p = 0.3 and fold = 0").collect()
+    assert all(r.ddr == pytest.approx(1 - 6 / 9) for r in lost)
 
 
 def test_stable_ids(spark):

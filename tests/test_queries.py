@@ -46,7 +46,6 @@ def no_cycle(rows):
 CHECKS = {
     "dag_audit": no_cycle,
     "dag_prune": lambda rows: all(r.reason == "cycle_prune_lowest_confidence" for r in rows) and len({(r.fold, r.src_kc, r.dst_kc) for r in rows}) == len(rows),
-    "ddr_subgraph": lambda rows: len(rows) == 36 and all(0 <= r.ddr <= 1 for r in rows),
     "stable_id_blake2b": lambda rows: all(r.id == int.from_bytes(blake2b(r.n_name.encode(), digest_size=8).digest(), "big") & (2**63 - 1) for r in rows),
     "bkt_fit": lambda rows: all(r.nll <= r.nll_start and all(0.05 <= p <= 0.95 for p in (r.p_init, r.p_learn, r.p_guess, r.p_slip)) for r in rows),
     "bkt_predict": lambda rows: all(0 < r.y_prob < 1 for r in rows),
