@@ -303,7 +303,11 @@ def _both(shared, pattern: str, most: int, chunk: int, batches: Iterator[pa.Reco
 
 
 def round_trip(docs: DataFrame, lines: bytes, pattern: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", chunk: int = 4096, words: int = WORDS) -> DataFrame:
-    """encode and then decode in one pass of the tasks, so that a task needs one Python worker and one set of caches."""
+    """encode and then decode in one pass of the tasks, so that a task needs one Python worker and one set of caches.
+
+    The columns of keep, ids and decoded of every row; a null or empty text has no ids and decodes to an empty one. Rows
+    that repeat are each encoded; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(lines)
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
@@ -334,7 +338,11 @@ def _digested(shared, pattern: str, most: int, chunk: int, batches: Iterator[pa.
 
 
 def digests(docs: DataFrame, lines: bytes, pattern: str, chunk: int = 4096, words: int = WORDS) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of docs, from its round trip."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of docs, from its round trip.
+
+    A null text is an empty one: no tokens, digests of nothing. Rows are judged each by itself, whatever their ids; other
+    columns are ignored; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(lines)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(partial(_digested, shared, pattern, words, chunk), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

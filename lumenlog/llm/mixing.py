@@ -37,7 +37,9 @@ def apportion(df: DataFrame, group: list[str], key: str, votes: str, seats: str)
     """Adds quota: the seats of each row of a group by highest quotients votes / (2 k + 1), ties by key, null last.
 
     With x the exact share of n rows in t seats, the quota lies within x * n / (2 t) + 1 of x, so seats below that
-    range are given at once and only the quotients inside it are ranked.
+    range are given at once and only the quotients inside it are ranked. Votes are not null; rows without votes win
+    nothing, a group without any votes or seats has quotas of 0, rows of equal votes and key may swap. The rows of a
+    group are ranked in one task (a few quotients a row): sources, or the shards of one source, some 10^6 of them.
     """
     own = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     all_ = F.sum(votes).over(own)
@@ -52,7 +54,11 @@ def apportion(df: DataFrame, group: list[str], key: str, votes: str, seats: str)
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(source, source_size, target) from (source, source_size)."""
+    """(source, source_size, target) from (source, source_size), a row a source.
+
+    A null source is the last one; sources without words have targets of 0; an empty table gives no rows. All sources
+    are ranked in one task, a row each, so this holds for some 10^6 of them.
+    """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     all_, fill = Window.partitionBy(), Window.orderBy(F.col("full_"), F.col("source").asc_nulls_last())
     before = fill.rowsBetween(Window.unboundedPreceding, -1)

@@ -116,7 +116,10 @@ def train(docs: DataFrame, known: DataFrame, sample: int = SAMPLE_ROWS) -> np.nd
 
 
 def cut_at(scored: DataFrame, known: DataFrame) -> float:
-    """The middle between the scores around the quantile of the training rows' scores at the share of bad ones."""
+    """The middle between the scores around the quantile of the training rows' scores at the share of bad ones.
+
+    Exact up to RANKS training rows, beyond that to a rank of one in RANKS. 0 where one class has no row, or no row is there.
+    """
     rows = scored.join(known, "doc_id").select("raw_", "quality")
     n, bad = rows.agg(F.count("*"), F.count_if(F.col("quality") == 0)).first()
     if not bad or bad == n:

@@ -42,7 +42,11 @@ def binomial_tail(k: Column, n: Column, p: Column) -> Column:
 
 
 def choose_cutoffs(labelled: DataFrame, alpha: float, delta: float) -> DataFrame:
-    """(stratum, cutoffs map) from rows of stratum, good and the rules' statistics."""
+    """(stratum, cutoffs map) from rows of stratum, good and the rules' statistics.
+
+    A null stratum is one. Rules without a proved cutoff are not in a stratum's map, strata without labels have no row.
+    Rows that repeat count each; an empty table gives no rows. Ties of gain go to the looser cutoff.
+    """
     values = labelled.select("stratum", "good", F.explode(F.map_from_arrays(F.array(*map(F.lit, RULES)), F.array(*RULES))).alias("rule", "value"))
     spared = F.size(F.filter(F.array(*map(F.lit, CUTOFFS)), lambda c: F.col("value") <= c))  # so many of the loosest cutoffs spare it
     levels = values.groupBy("stratum", "rule", spared.alias("spared")).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
