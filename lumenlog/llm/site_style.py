@@ -45,6 +45,8 @@ FURNITURE = frozenset("head nav footer aside form button dialog menu fieldset in
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_LEVEL = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|ad(?:box|slot|unit|wrap|container)s?|adverts?|advertisements?|advertising|sponsor(?:ed)?|banner|promo|cookies?|consent|gdpr|notices?|announcements?|alert|contentinfo|complementary|dialog|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|widget|footer|header|masthead|topbar|comments?|commentlist|disqus|replies|respond|reviews?|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|popup|modal|overlay|pagination|pager|toolbar|skip)(?:$|[\s_-])", re.I)
+#: Whole names that no article bears: remarks of readers and notices about cookies go, whatever their length.
+SURE = re.compile(r"(?:^|\s)(?:(?:user-?|reader-?|post-?)?comments?(?:-?(?:list|section|area|thread|box|wrap|wrapper|container|form))?|commentlist|disqus(?:_|-)?(?:thread)?|cookies?-?(?:notice|banner|consent|bar|popup|message|policy|law)?|gdpr(?:-?(?:notice|banner|consent|bar))?|consent-?(?:notice|banner|bar|popup))(?=\s|$)", re.I)
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|$)""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
@@ -64,12 +66,12 @@ def _names(attributes: str) -> str:
 
 
 def _furniture(tag: str, names: str, inside_main: bool) -> int:
-    """0 for no furniture, 1 for what the tag or hiding makes so, 2 for what its class, id or role does."""
+    """0 for no furniture, 1 for what the tag, hiding or a sure name makes so, 2 for what its class, id or role does."""
     if tag in FURNITURE or tag == "header" and not inside_main:
         return 1
     if not names or tag in ("html", "body", "main") or names == "main":
         return 0
-    return 1 if names == "hidden" or " hidden" in names else 2 * bool(NAMES.search(names))
+    return 1 if names == "hidden" or " hidden" in names or SURE.search(names) else 2 * bool(NAMES.search(names))
 
 
 def _hash(text: str) -> int:

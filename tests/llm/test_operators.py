@@ -371,6 +371,12 @@ def test_names_do_not_empty_a_page(name):
     assert [b.text for b in site_style.page_blocks(article)[0]] == ["The text."]
 
 
+@pytest.mark.parametrize("name", ["comments", "comment-list", "cookie-notice", "cookies", "gdpr-banner", "post comments"])
+def test_remarks_and_notices_go_whatever_their_length(name):
+    page = f"<p>Ten words of a post.</p><div class='{name}'>{'<p>A remark that goes on.</p>' * 80}</div>"
+    assert [b.text for b in site_style.page_blocks(page)[0]] == ["Ten words of a post."]
+
+
 def test_many_low_branches_are_sent_by_page(spark, monkeypatch):
     rows = [(i % 30, f"http://a{i % 3}.org/{i}", f"<div><p>Own {i} words</p></div><div><p>Same on site {i % 3}</p></div>", None) for i in range(30)] * 2 + [(None, None, None, None)] * 2
     df = spark.createDataFrame(rows, PAGES)
