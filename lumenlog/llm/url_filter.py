@@ -7,8 +7,9 @@ scores the words of host and path.
 The split's words are the example words and the corpus's own: what stands alone on LEAST_SITES sites at least, so that
 winter is no win. A name that is made of example words only is none of them, however many sites have it.
 
-Scale: each word is counted once a site over all pages. Of n pairs of site and word, words on n / MOST_WORDS sites or
-more are kept, which are MOST_WORDS at most. The examples are parameters of fixed size.
+Scale: each word is counted once a site over all pages, and none is left out for the size of the corpus. Tasks hold the
+example words alone, which are parameters of fixed size. Distinct names that hold one of these meet the corpus's words by
+a join of their parts, and rows meet the weights of their names by joins.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
-from math import ceil, log
+from math import log
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read
+from .shared import read, stage
 
 #: The contract's rules as (rule, verdict).
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -46,7 +47,6 @@ ALLOW_SITES = (
 )
 PRIOR = 0.4  # of block
 LEAST_SITES = 3  # that have a word of the corpus standing alone
-MOST_WORDS = 1 << 18  # of the corpus, in the model that every task holds
 IGNORED = frozenset("www com net org html htm php index http https".split())
 _NAME = re.compile(r"[a-z]+")
 
@@ -75,6 +75,7 @@ class Model(NamedTuple):
     bias: float
     longest: int  # letters of a known word
     own: frozenset[str]  # words of the corpus, which stay whole
+    total: int  # of all words' counts
 
 
 def _made_of(name: str, words: set[str]) -> bool:
@@ -85,18 +86,22 @@ def _made_of(name: str, words: set[str]) -> bool:
     return ends[-1]
 
 
-def train(counts: dict[str, int], block: tuple[str, ...] = BLOCK_SITES, allow: tuple[str, ...] = ALLOW_SITES) -> Model:
-    """counts: on how many sites each word stands alone in the corpus's hosts and paths."""
+def train(counts: dict[str, int], block: tuple[str, ...] = BLOCK_SITES, allow: tuple[str, ...] = ALLOW_SITES, rest: tuple[int, int | None] = (0, None)) -> Model:
+    """counts: on how many sites each word stands alone in the corpus's hosts and paths.
+
+    rest: all counts of own words that are not given, and the least of them.
+    """
     of = [Counter(w for site in sites for w in site.split()) for sites in (block, allow)]
     words = sorted(set(of[0]) | set(of[1]))
     own = frozenset(w for w in counts if len(w) > 2 and not _made_of(w, set(words)))
     often = {w: counts[w] for w in own} | {w: counts.get(w, 0) + 10 for w in words}
-    total = sum(often.values())
+    total = sum(often.values()) + rest[0]
+    least = min(often.values()) if rest[1] is None else min(rest[1], *often.values())
     cost = {w: -log(n / total) for w, n in often.items()}
     sizes = [sum(c.values()) + len(words) for c in of]
     weight = {w: log((of[0][w] + 1) / sizes[0]) - log((of[1][w] + 1) / sizes[1]) for w in words}
     # a letter costs more than any word, so no known word is left for a part of it and a letter
-    return Model(cost, max(cost.values()) + 1, weight, log(PRIOR / (1 - PRIOR)), max(map(len, cost)), own)
+    return Model(cost, 1 - log(least / total), weight, log(PRIOR / (1 - PRIOR)), max(map(len, cost)), own, total)
 
 
 def segment(name: str, model: Model) -> list[str]:
@@ -123,34 +128,69 @@ def segment(name: str, model: Model) -> list[str]:
     return out[::-1]
 
 
+def name_weight(name: str, model: Model) -> float:
+    """Log odds of block that a name adds; short words inside an unknown name are chance hits."""
+    return sum(model.weight.get(w, 0.0) for w in segment(name, model) if len(w) > 2)
+
+
 def score(host: str, path: str, model: Model) -> float:
     """Log odds of block."""
-    words = [w for part in (host, path) for name in _NAME.findall(part.lower()) if name not in IGNORED for w in segment(name, model)]
-    # short words inside an unknown name are chance hits
-    return model.bias + sum(model.weight.get(w, 0.0) for w in words if len(w) > 2)
+    return model.bias + sum(name_weight(name, model) for part in (host, path) for name in _NAME.findall(part.lower()) if name not in IGNORED)
 
 
-def _scored(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[tuple[str, str], float] = {}
+def _own(words: frozenset[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (word, sites), words that are not made of the example words."""
+    for batch in batches:
+        yield batch.filter(pa.array([not _made_of(w, words) for w in batch.column(0).to_pylist()], pa.bool_()))
+
+
+def _weighed(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, weight) of (name, parts), parts the corpus's words that lie in the name."""
     for batch in batches:
         out = []
-        for host, path in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            key = (host, path)
-            if key not in known:
-                if len(known) > 100_000:
-                    known.clear()
-                known[key] = score(host, path, model)
-            out.append(known[key])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "score"])
-
-
-def site_words(rows: DataFrame) -> dict[str, int]:
-    """The sites of each word that stands alone in host or path on enough sites, a site the last two names of a host."""
+        for name, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            cost = {p["word"]: -log(p["sites"] / model.total) for p in parts}
+            out.append(name_weight(name, model._replace(cost=model.cost | cost, longest=max(model.longest, *map(len, cost)) if cost else model.longest)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["name", "weight"])
+
+
+def site_words(rows: DataFrame) -> DataFrame:
+    """(word, sites) of each word that stands alone in host or path on LEAST_SITES sites, a site the last two names of a host."""
     site = F.substring_index("host", ".", -2).alias("site")
     words = F.explode(F.array_distinct(F.split(F.lower(F.concat_ws("/", "host", "path")), "[^a-z]+"))).alias("word")
-    counts = rows.select(site, words).where(F.length("word") > 2).distinct().groupBy("word").count()
-    pairs = counts.agg(F.sum("count")).first()[0] or 0
-    return dict(map(tuple, counts.where(F.col("count") >= max(LEAST_SITES, ceil(pairs / MOST_WORDS))).collect()))  # MOST_WORDS rows at most
+    counts = rows.select(site, words).where(F.length("word") > 2).distinct().groupBy("word").agg(F.count("*").alias("sites"))
+    return counts.where(F.col("sites") >= LEAST_SITES)
+
+
+def name_weights(names: DataFrame, own: DataFrame, model: Model) -> DataFrame:
+    """(name, weight) of distinct names as the corpus's own words (word, sites) part them; the corpus's own words weigh nothing."""
+    sizes = [r[0] for r in own.select(F.length("word")).distinct().sort("length(word)").collect()]  # lengths of words
+    names = names.join(own.select(F.col("word").alias("name")), "name", "left_anti")
+    at = names.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("at"))
+    parts = at.select("name", "at", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("size")).where(F.col("at") + F.col("size") <= F.length("name") + 1)
+    parts = parts.select("name", F.substring("name", F.col("at"), F.col("size")).alias("word")).distinct().join(own, "word").select("name", F.struct("word", "sites").alias("part"))
+    each = parts.union(names.select("name", F.lit(None).cast(parts.schema["part"].dataType))).groupBy("name").agg(F.collect_list("part").alias("parts"))
+    return each.mapInArrow(partial(_weighed, model), "name string, weight double").where("weight <> 0")
+
+
+def url_scores(rows: DataFrame) -> tuple[DataFrame, Column, float]:
+    """(host, path, weight) of distinct urls that names weigh on, which rows may be among them, and the score of all others.
+
+    Only a name that holds an example word has a weight.
+    """
+    plain = train({})
+    counts = stage(site_words(rows), "words")
+    own = stage(counts.mapInArrow(partial(_own, frozenset(plain.weight)), "word string, sites long"), "own-words")
+    rest = own.agg(F.sum("sites"), F.min("sites")).first()
+    model = train({r.word: r.sites for r in counts.where(F.col("word").isin(*plain.weight)).collect()}, rest=(rest[0] or 0, rest[1]))  # example words
+    named = "|".join(sorted(w for w in plain.weight if len(w) > 2))
+    lower = F.lower(F.concat_ws("/", "host", "path"))
+    urls = rows.where(lower.rlike(named)).select("host", "path").distinct()
+    names = F.filter(F.regexp_extract_all(lower, F.lit("([a-z]+)"), F.lit(1)), lambda name: name.rlike(named) & ~name.isin(*IGNORED))
+    urls = urls.select("host", "path", F.posexplode(names).alias("at", "name"))
+    weights = name_weights(urls.select("name").distinct(), own, model)
+    met = urls.join(weights, "name").groupBy("host", "path").agg(F.sort_array(F.collect_list(F.struct("at", "weight"))).alias("w"))
+    return met.select("host", "path", F.aggregate("w", F.lit(0.0), lambda a, x: a + x["weight"]).alias("weight")), lower.rlike(named), model.bias
 
 
 def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -161,9 +201,10 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id
     """
     host, path = split_url(F.col(url_col).cast("string"))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    model = train(site_words(rows))
+    weights, among, bias = url_scores(rows)
     rows = rows.withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules))
-    scored = rows.mapInArrow(partial(_scored, model), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", score double")
+    met = rows.where(among).join(weights, ["host", "path"], "left").select(*rows.columns, "weight")
+    scored = met.union(rows.where(~among).withColumn("weight", F.lit(None).cast("double"))).withColumn("score", F.lit(bias) + F.coalesce("weight", F.lit(0.0)))
     ruled = F.create_map(*(F.lit(x) for rule in rules for x in rule))
     verdict = F.coalesce(F.try_element_at(ruled, F.col("rule")), F.when(F.col("score") > 0, F.lit("block")).otherwise(F.lit("allow")))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
