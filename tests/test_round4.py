@@ -4,8 +4,11 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from lumenlog.operators import graphs
+from lumenlog.operators import graphs, metrics
+from lumenlog.plans import audit
+from lumenlog.sources import logs
 
 
 def shuffled(spark, make):
@@ -45,3 +48,40 @@ def test_similarities_send_lists_not_pairs(spark, monkeypatch, method, threshold
     pairs = sum(n * (n - 1) for n in ((sum((f, i) == (g, j) for g, j, _ in held)) for f, i in {(f, i) for f, i, _ in held}))
     if method == "jaccard":
         assert sent < pairs / 3
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["transitions", "rates_item", "cold_strata", "e_pre_orders"])
+def test_tasks_follow_the_log(spark, monkeypatch, name):
+    """Where a shuffle's tasks would get too many rows more tasks share them, with the same result."""
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    expected = rows(audit.QUERIES[name](spark, SF))
+    monkeypatch.setattr(logs, "ROWS", 500, raising=False)
+    lines = logs.table(spark, SF, "lineitem").count()
+    got, plans = audit.QUERIES[name](spark, SF), []
+    a = audit.parts(spark, SF) if name == "cold_strata" else audit.orders(spark, SF)
+    plans.append((a.tagged if name in ("rates_item", "cold_strata") else graphs.transitions(a.tagged_steps, ["fold"], a.tasks))._jdf.queryExecution().executedPlan().toString())
+    assert rows(got) == expected and lines // 500 > 4
+    assert f", {lines // 500})" in plans[0]
+
+
+def test_cold_start_reads_no_order_and_keeps_its_rows(spark):
+    """Strata by the component's channel are those of strata_of, from a staged log without order columns."""
+    a = audit.parts(spark, SF)
+    models = audit.MODELS_WITHOUT_GRAPH
+    expected = metrics.strata_metrics(a.predictions(models=models), metrics.strata_of(a.train))
+    b = audit.parts(spark, SF).settled(ordered=False)
+    assert not {"seq", "timestamp"} & set(b.tagged.columns)
+    rows = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select("fold", "model", "stratum", "n", F.coalesce("auc", F.lit(-1.0)), "acc", "nll").collect())
+    cold, sent = shuffled(spark, lambda: rows(audit._cold(b, models)))
+    assert cold == rows(expected) and cold
+
+
+def test_steps_are_the_transitions_of_each_split(spark):
+    """Next components over the whole log, counted by split, are those counted within the split."""
+    a = audit.orders(spark, SF).stepped()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for split in ("train", "valid"):
+        assert rows(graphs.transitions(a.tagged_steps.where(F.col("split") == split), ["fold"])) == rows(graphs.transitions(a.split(split), ["fold"]))
