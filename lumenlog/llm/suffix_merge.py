@@ -34,7 +34,9 @@ from .shared import read, stage
 SIZE = 50
 GRAM = 16
 BLOCK = 12 << 20  # bytes of text that are one run
-SLICE = 1 << 20  # bytes of text whose anchors are sought at once
+SLICE = 1 << 18  # bytes of text whose anchors are sought at once
+STEP = 1 << 15  # rows that are compared at once
+SENT = 4 << 20  # bytes of runs that are sent at once
 RANGE_BYTES = 4 << 20
 PLACE = 23  # bits of a place in a block
 MIX = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)))
@@ -155,24 +157,33 @@ def sorted_runs(pieces: list[tuple[int, int, int, bytes]], run: int, ranges: int
     owners = np.searchsorted(ids, ids)  # pieces of one document are one
     ends = np.cumsum([len(x[3]) for x in pieces])
     cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1], SLICE)))
-    parts = [suffix_rows(pieces[lo:hi], owners[lo:hi], ranges, size) for lo, hi in zip(cuts, [*cuts[1:], len(pieces)])]
-    rows, begin = (np.concatenate(x) for x in zip(*parts))
-    del parts
-    order = np.argsort(rows.view(f"S{rows.shape[1]}").ravel(), kind="stable")
-    rows, begin, n = rows[order], begin[order], len(order)
-    owner = rows[:, -4:].copy().view(">u4").ravel().astype(np.int64)
-    leads = np.flatnonzero(np.r_[True, (rows[1:, :-4] != rows[:-1, :-4]).any(1)]) if n else np.zeros(0, np.int64)
+    held, begins = bytearray(), []  # grows in place, so the block's rows are held once
+    for lo, hi in zip(cuts, [*cuts[1:], len(pieces)]):
+        part, begin = suffix_rows(pieces[lo:hi], owners[lo:hi], ranges, size)
+        held += part.reshape(-1).data
+        begins.append(begin)
+    begin, rows = np.concatenate(begins), np.frombuffer(held, np.uint8).reshape(-1, part.shape[1])
+    n = len(rows)
+    order = np.argsort(rows.view(f"S{rows.shape[1]}").ravel(), kind="stable")  # rows stay where they are
+    begin = begin[order]
+    owner = rows[:, -4:][order].view(">u4").ravel().astype(np.int64)
+    lead = np.ones(n, bool)
+    for lo in range(1, n, STEP):
+        near = rows[:, :-4][order[lo - 1 : lo + STEP]]
+        lead[lo : lo + STEP] = (near[1:] != near[:-1]).any(1)
+    leads = np.flatnonzero(lead)
     copy = owner > np.repeat(owner[leads], np.diff(np.r_[leads, n]))  # of equal suffixes those of the first document are sent
-    low, high = rows[:, -6].astype(np.int64), rows[:, -5].astype(np.int64)
+    low, high = rows[:, -6][order].astype(np.int64), rows[:, -5][order].astype(np.int64)
     hit_ids, hit_start, hit_n = joined(ids[owner[copy]], (begin - high)[copy], (high - low + 1)[copy])
     own = np.flatnonzero(owners == np.arange(len(ids)))
     yield -1 - run % 1024, np.r_[len(own), len(hit_ids), ids[own], hashes[own], hit_ids, hit_start, hit_n].astype(np.int64).tobytes()
     keep = np.flatnonzero(~copy)
-    of = rows[keep, :4].copy().view(">u4").ravel()
+    of = rows[:, :4][order[keep]].view(">u4").ravel()
     cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else []
     for lo, hi in zip(cuts, [*cuts[1:], len(of)]):
         k = keep[lo:hi]
-        yield int(of[lo]), front_coded(rows[k, 4 : 4 + size], rows[k, 4 + size : -6], low[k], high[k], ids[owner[k]], begin[k])
+        at = order[k]
+        yield int(of[lo]), front_coded(rows[:, 4 : 4 + size][at], rows[:, 4 + size : -6][at], low[k], high[k], ids[owner[k]], begin[k])
 
 
 def runs_of(ranges: int, size: int):
@@ -183,14 +194,24 @@ def runs_of(ranges: int, size: int):
         block: list[tuple[int, int, int, bytes]] = []
         held, seen = 0, set()
 
-        def flushed() -> pa.RecordBatch:
-            rows = list(sorted_runs(block, first + made, ranges, size))
+        def flushed() -> Iterator[pa.RecordBatch]:
+            rows, held_ = [], 0
+            for row in sorted_runs(block, first + made, ranges, size):
+                rows.append(row)
+                held_ += len(row[1])
+                if held_ >= SENT:
+                    yield batch_of(rows)
+                    rows, held_ = [], 0
+            if rows:
+                yield batch_of(rows)
+
+        def batch_of(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([first + made] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], schema=RUNS)
 
         for batch in batches:
             for doc, text, h in zip(*(c.to_pylist() for c in batch.columns)):
                 if block and doc in seen:  # a run knows its documents by their ids
-                    yield flushed()
+                    yield from flushed()
                     made, block, held, seen = made + 1, [], 0, set()
                 seen.add(doc)
                 for at in range(0, len(text) - size + 1, SLICE):  # windows that begin in [at, at + SLICE)
@@ -198,10 +219,10 @@ def runs_of(ranges: int, size: int):
                     block.append((doc, h, at, piece))
                     held += len(piece)
                     if held >= BLOCK:
-                        yield flushed()
+                        yield from flushed()
                         made, block, held, seen = made + 1, [], 0, {doc}
         if block:
-            yield flushed()
+            yield from flushed()
 
     return run
 
