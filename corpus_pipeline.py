@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlog.llm import byte_bpe, mixing, ngram_jaccard, preference_quality, secret_scan
-from lumenlog.llm.shared import read, stage
+from lumenlog.llm.shared import forget, read, stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -76,10 +76,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each stage's table written to the shared folder and read again."""
+    """The stages applied to documents, each stage's table written to the shared folder and read again.
+
+    A stage's table goes when the next one is written, so that at most two are held.
+    """
     docs = read(spark, sf_dir, "documents").select(*COLUMNS)
     for at, (_, function) in enumerate(STAGES):
-        docs = function(spark, docs, sf_dir)
+        before, docs = docs, function(spark, docs, sf_dir)
         if at < len(STAGES) - 1:
-            docs = stage(docs, f"pipeline-{at}")
+            docs = stage(docs, f"pipeline-{at}", clean=True)
+            if at:
+                forget(before)
     return docs

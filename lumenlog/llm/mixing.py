@@ -8,8 +8,10 @@ with a prime stride and, between them, two exchanges of each block with the one
 where there is such a block.
 
 Scale: a source of any size is spread over shards of about SHARD_WORDS words or SHARD_ROWS documents, whichever makes
-more shards, so a line of documents is one window of bounded size. The tables of sources and shards hold a row each and
-are joined, never collected; the shards of a source, a row for some millions of words, are ranked in one task.
+more shards, so a line of documents is one window of bounded size. Words are counted twice, once for the tables of
+sources and shards and once in the rows that are returned, so that no text is staged; the kept columns are shuffled
+once, by the pair of numbers by which a line is ordered and meets its shard. The tables of sources and shards hold a row
+each and are joined, never collected; the shards of a source, a row for some millions of words, are ranked in one task.
 """
 
 from __future__ import annotations
@@ -97,24 +99,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     columns are ignored, whatever their names; an empty table gives no rows, texts without words give zeros.
     """
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("tie"), F.struct(F.lit(0).alias("_"), *keep).alias("keep_"))
-    rows = stage(rows, "sizes")
+    full = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("tie"), F.struct(F.lit(0).alias("_"), *keep).alias("keep_"))
+    full = full.withColumn("deal", seeded(F.lit("shard"), F.coalesce(F.col("doc_id").cast("string"), F.col("tie"))))
+    rows = stage(full.select("source", "size", "deal"), "sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     targets = source_targets(sources.select("source", "source_size"))
     seats = targets.withColumn("seats", F.round(F.sum("target").over(Window.partitionBy()) / BLOCK_WORDS).cast("long"))
     quotas = apportion(seats, [], "source", "target", "seats").select(F.col("source").alias("of"), "source_size", "target", F.col("quota").alias("seats"))
     shards = F.greatest(F.ceil(F.col("source_size") / SHARD_WORDS), F.ceil(F.col("docs") / SHARD_ROWS))
     quotas = quotas.join(sources.select(F.col("source").alias("of_"), "docs"), F.col("of").eqNullSafe(F.col("of_"))).select("of", "source_size", "target", "seats", shards.alias("shards"))
-    quotas = stage(quotas, "quotas")
-    dealt = rows.join(quotas, F.col("source").eqNullSafe(F.col("of"))).withColumn("shard", seeded(F.lit("shard"), F.coalesce(F.col("doc_id").cast("string"), F.col("tie"))) % F.col("shards")).drop("of")
-    shards = dealt.groupBy("source", "seats", "shard").agg(F.sum("size").alias("shard_size"))
-    shards = apportion(shards, ["source"], "shard", "shard_size", "seats")
+    quotas = stage(quotas.withColumn("number", F.row_number().over(Window.orderBy(F.col("of").asc_nulls_last()))), "quotas")
+    deal = lambda df: df.join(quotas, F.col("source").eqNullSafe(F.col("of"))).withColumn("shard", F.col("deal") % F.col("shards")).drop("of", "deal")
+    shards = deal(rows).groupBy("number", "source", "seats", "shard").agg(F.sum("size").alias("shard_size"))
+    shards = apportion(shards, ["number"], "shard", "shard_size", "seats")
     blocks = F.greatest(F.ceil(2 * F.col("shard_size") / BLOCK_WORDS), F.lit(1)).cast("long")
-    shards = shards.select(F.col("source").alias("of"), F.col("shard").alias("at"), "shard_size", blocks.alias("blocks"), "quota")
+    shards = shards.select(F.col("number").alias("of_number"), F.col("source").alias("of"), F.col("shard").alias("at"), "shard_size", blocks.alias("blocks"), "quota")
     shards = shards.withColumns({t: seeded(F.lit(t), F.col("of"), F.col("at")) % F.col("blocks") for t in TURNS})
-    line = Window.partitionBy("source", "shard").orderBy(seeded(F.lit("order"), F.col("doc_id")), "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    placed = dealt.withColumn("end", F.sum("size").over(line)).withColumn("start", F.col("end") - F.col("size"))
-    placed = placed.join(shards, F.col("source").eqNullSafe(F.col("of")) & (F.col("shard") == F.col("at")))
+    line = Window.partitionBy("number", "shard").orderBy(seeded(F.lit("order"), F.col("doc_id")), "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    placed = deal(full).withColumn("end", F.sum("size").over(line)).withColumn("start", F.col("end") - F.col("size"))
+    placed = placed.join(shards, (F.col("number") == F.col("of_number")) & (F.col("shard") == F.col("at")))
     taken = covered(F.col("start"), F.col("end")) + covered(F.col("start") + F.col("shard_size"), F.col("end") + F.col("shard_size"))
     return sealed(placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", *(F.col("keep_")[c].alias(c) for c in keep)))
 

@@ -13,9 +13,9 @@ Scale: the corpus-wide shuffles are of the classes' prefix tokens with ids; a to
 are aggregated before they meet its rows, so a token that many sets share is summed up first and joined after. Blocks
 hold at most BLOCK_DOCS documents or BLOCK_TOKENS tokens; a group of any size is spread over blocks that share its most
 central document, and what that document does not tie together is checked against the other blocks. The common tokens
-that are broadcast number COMMON at most. Two parts still grow faster than the input where many sets differ but share
-tokens that their prefixes cannot avoid: (document, group) rows of such a token, and loose documents times blocks of
-one group.
+that are broadcast number COMMON at most. Shuffle files go when the table made from them is written, and a table of
+tokens when the next one is. Two parts still grow faster than the input where many sets differ but share tokens that
+their prefixes cannot avoid: (document, group) rows of such a token, and loose documents times blocks of one group.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, read, stage
+from .shared import components, forget, read, stage
 
 SHARED = 16
 COMMON = 1 << 19
@@ -344,7 +344,7 @@ def _open(texts: DataFrame, classes: DataFrame, members: DataFrame, queries: Dat
     to = places.union(asked).groupBy("doc_id").agg(F.collect_list(F.struct("grp", "block", "chunk", "role", "blocks")).alias("places"))
     to = to.join(classes.select(F.col("node").alias("doc_id"), "rep", "k1", "k2"), "doc_id").withColumnRenamed("doc_id", "node")
     dealt = texts.join(to, texts.doc_id == to.rep).select("node", "text", "places", "k1", "k2").mapInArrow(_dealt(width), "grp long, block long, chunk long, role int, blocks long, doc_id long, tokens binary")
-    return stage(dealt.groupBy("grp", "block", "chunk").applyInPandas(_opened(num, den), "kind long, a long, b long"), name)
+    return stage(dealt.groupBy("grp", "block", "chunk").applyInPandas(_opened(num, den), "kind long, a long, b long"), name, clean=True)
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -360,7 +360,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     both = stage(texts.mapInArrow(_profiles(shingle), "doc_id long, n long, k1 long, k2 long"), "profiles")
     base = both.where("n >= 0")
     classes = base.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes", narrow=True)  # an id may stand for several classes
+    classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes", narrow=True, clean=True)  # an id may stand for several classes
     common = common_tokens(both.where("n < 0").groupBy(F.col("k1").alias("token")).agg(F.sum("k2").alias("n")))
 
     shared = docs.sparkSession.sparkContext.broadcast(common)
@@ -368,17 +368,19 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     # one document a class goes on, before its tokens are dealt out; from here to the links doc_id is the class's number
     own = classes.select(F.col("rep").alias("doc_id"), "k1", "k2", "node", "n", needed(F.col("n"), num, den).alias("need"))
     rows = rows.join(own, ["doc_id", "k1", "k2"]).select(F.col("node").alias("doc_id"), "n", "need", F.explode("tokens").alias("token"))
-    rows = stage(rows, "prefixes")
+    rows = stage(rows, "prefixes", clean=True)
     ends = lambda df: df.groupBy("token").agg(F.min("doc_id").alias("anchor"), F.max("doc_id").alias("far"), F.count("*").alias("cnt")).where("anchor <> far").drop("far")
-    met = stage(rows.join(ends(rows).select("token"), "token", "left_semi"), "met")
+    met = stage(rows.join(ends(rows).select("token"), "token", "left_semi"), "met", clean=True)
+    forget(rows)
     # a document that shares fewer tokens with all others together is linked with none
     able = met.groupBy("doc_id", "need").agg(F.count("*").alias("tokens")).where("tokens >= need").select("doc_id")
-    met = met.join(able, "doc_id", "left_semi")
-    hits = stage(met.join(ends(met), "token"), "hits")
+    again = met.join(able, "doc_id", "left_semi")
+    hits = stage(again.join(ends(again), "token"), "hits", clean=True)
+    forget(met)
 
     votes = hits.groupBy("doc_id", "n", "need", "anchor").agg(F.count("*").alias("votes"), F.sum("cnt").alias("central"))
     group = votes.groupBy("doc_id", "n", "need").agg(F.max_by("anchor", F.struct("votes", -F.col("anchor"))).alias("grp"), F.sum("central").alias("central"))
-    group = stage(group, "groups", narrow=True)
+    group = stage(group, "groups", narrow=True, clean=True)
     matrix = hits.select("doc_id", "token").join(group.select("doc_id", "grp", "need"), "doc_id")
     union = matrix.groupBy("token", "grp").agg(F.count("*").alias("members"))
     several = union.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token")
@@ -386,17 +388,18 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     active = inside.where("overlap >= need").select("doc_id")
     other = union.join(several, "token").select("token", F.col("grp").alias("other"))
     across = matrix.join(other, "token").where("other < grp").groupBy("doc_id", F.col("other").alias("grp"), "need").agg(F.count("*").alias("overlap"))
-    probes = stage(across.where("overlap >= need").select("doc_id", "grp"), "probes", narrow=True)
+    probes = stage(across.where("overlap >= need").select("doc_id", "grp"), "probes", narrow=True, clean=True)
 
     asked = probes.select("grp").distinct().withColumn("asked", F.lit(True))
     placed = group.join(active.withColumn("active", F.lit(True)), "doc_id", "left").join(asked, "grp", "left").where("active or asked")
-    placed = stage(placed.select("doc_id", "n", "grp", "central", "asked"), "placed", narrow=True)
+    placed = stage(placed.select("doc_id", "n", "grp", "central", "asked"), "placed", narrow=True, clean=True)
+    forget(hits)
     sizes = placed.groupBy("grp").agg(F.count("*").alias("m"), F.bool_or(F.coalesce("asked", F.lit(False))).alias("asked"), F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_DOCS)), F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS))).alias("blocks"), F.max_by("doc_id", F.struct("central", -F.col("doc_id"))).alias("centre"))
     live = sizes.where("m > 1 or asked").select("grp", "blocks", "centre")
     placed = placed.select("doc_id", "grp").join(live, "grp")
     centres = placed.where("doc_id = centre").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("doc_id", "grp", "block", "blocks", F.lit(0).alias("role"))
     others = placed.where("doc_id <> centre").select("doc_id", "grp", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"), "blocks", F.lit(1).alias("role"))
-    members = stage(centres.union(others), "members", narrow=True)
+    members = stage(centres.union(others), "members", narrow=True, clean=True)
     split = members.select("grp", "block", "blocks").distinct()
     queries = probes.join(split, "grp").select("doc_id", "grp", "block")
     found = _open(texts, classes, members, queries, shingle, num, den, "links")
