@@ -366,15 +366,15 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     shared = docs.sparkSession.sparkContext.broadcast(common)
     rows = texts.where("doc_id is not null").mapInArrow(partial(_prefixed, shared, shingle, num, den), "doc_id long, k1 long, k2 long, tokens array<long>")
     # one document a class goes on, before its tokens are dealt out; from here to the links doc_id is the class's number
-    own = classes.select(F.col("rep").alias("doc_id"), "k1", "k2", "node", "n", needed(F.col("n"), num, den).alias("need"))
-    rows = rows.join(own, ["doc_id", "k1", "k2"]).select(F.col("node").alias("doc_id"), "n", "need", F.explode("tokens").alias("token"))
+    own = classes.select(F.col("rep").alias("doc_id"), "k1", "k2", "node")
+    rows = rows.join(own, ["doc_id", "k1", "k2"]).select(F.col("node").alias("doc_id"), F.explode("tokens").alias("token"))
     rows = stage(rows, "prefixes", clean=True)
     ends = lambda df: df.groupBy("token").agg(F.min("doc_id").alias("anchor"), F.max("doc_id").alias("far"), F.count("*").alias("cnt")).where("anchor <> far").drop("far")
     met = stage(rows.join(ends(rows).select("token"), "token", "left_semi"), "met", clean=True)
     forget(rows)
     # a document that shares fewer tokens with all others together is linked with none
-    able = met.groupBy("doc_id", "need").agg(F.count("*").alias("tokens")).where("tokens >= need").select("doc_id")
-    again = met.join(able, "doc_id", "left_semi")
+    able = met.groupBy("doc_id").agg(F.count("*").alias("tokens")).join(classes.select(F.col("node").alias("doc_id"), "n", needed(F.col("n"), num, den).alias("need")), "doc_id")
+    again = met.join(able.where("tokens >= need").drop("tokens"), "doc_id")
     hits = stage(again.join(ends(again), "token"), "hits", clean=True)
     forget(met)
 

@@ -42,5 +42,7 @@ def test_only_staged_tables_are_forgotten(spark, tmp_path):
         forget(spark.read.parquet(f"{tmp_path}/given"))
     assert spark.read.parquet(f"{tmp_path}/given").count() == 5
     before = staged(spark)
-    forget(stage(spark.range(5), "some"))
+    some = stage(spark.range(5), "some")
+    assert all(f.endswith(".zstd.parquet") for f in some.inputFiles())
+    forget(some)
     assert staged(spark) == before
