@@ -8,8 +8,8 @@ from pyspark.sql import types as T
 
 from lumenlog.operators import dags, graphs, metrics, sequences, splits
 from lumenlog.plans import audit, pipeline
-from lumenlog.plans.audit import FOLD, MODELS_WITHOUT_GRAPH, parts, single
-from lumenlog.plans.oracle import LOGS, ORACLE_SQL as SQL, sql
+from lumenlog.plans.audit import FOLD, parts, single
+from lumenlog.plans.oracle import LOGS, ORACLE_SQL as SQL, cold_mean, sql
 from lumenlog.sources import logs, raw, sinks
 from lumenlog.sources.staging import place
 
@@ -100,7 +100,7 @@ def run_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cold_start_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = parts(spark, sf_dir).settled(ordered=False)
-    means = metrics.cold_start_mean(audit._cold(a, MODELS_WITHOUT_GRAPH), ["model"])
+    means = metrics.cold_start_mean(audit._cold(a), ["model"])
     return report("Cold-Start KC Diagnostic", [("parts", cold_start_lines(audit.rounded(means, "auc", "acc", "nll"), "parts"))])
 
 
@@ -176,7 +176,7 @@ ORACLE_SQL = {
 SELECT 1, 1, concat('{{"fold":"', lpad(CAST(fold AS VARCHAR), 12, '0'), '","split":"', split, '"}}'), concat('| ', fold, ' | ', split, ' | ', {_COUNT('n_learners')}, ' | ', {_COUNT('n_interactions')}, ' |') FROM ({_STATS}) UNION ALL
 SELECT 2, 1, concat('{{"fold":"', lpad(CAST(fold AS VARCHAR), 12, '0'), '"}}'), concat('| ', fold, ' | ', {_COUNT('n_prerequisite_edges')}, ' | ', {_COUNT('n_similarity_edges')}, ' | ', {_COUNT('n_kcs')}, ' |') FROM ({_GRAPH})""",
     "cold_start_report": f"""{_HEADS.format('Cold-Start KC Diagnostic')} UNION ALL SELECT 1, -1, '', '## parts' UNION ALL
-SELECT 1, 1, model, concat('- parts / ', model, ': mean AUC=', {_N('auc', 3)}, ', ACC=', {_N('acc', 3)}, ', NLL=', {_N('nll', 3)}, ', n=', {_COUNT('n')}) FROM ({SQL['cold_start_mean']})""",
+SELECT 1, 1, model, concat('- parts / ', model, ': mean AUC=', {_N('auc', 3)}, ', ACC=', {_N('acc', 3)}, ', NLL=', {_N('nll', 3)}, ', n=', {_COUNT('n')}) FROM ({cold_mean()})""",
     "q_matrix_loaded": sql("multi", "log", "SELECT DISTINCT item_id, kc_id FROM log"),
     "ground_truth_loaded": sql("single", "expert", "SELECT src_kc, dst_kc, 1::DOUBLE AS confidence_score FROM expert"),
     "kc_map_loaded": f"SELECT n_name AS name, {_id('n_name')} AS kc_id FROM nation",
