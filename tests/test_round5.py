@@ -18,3 +18,12 @@ def test_cold_start_report_tells_every_model(spark):
     lines = {r.place: r.line for r in reports.cold_start_report(spark, SF).where("block = 1").collect()}
     assert set(lines) == set(predict.WEIGHTS)
     assert lines == {m: f"- parts / {m}: mean AUC={r.auc:.3f}, ACC={r.acc:.3f}, NLL={r.nll:.3f}, n={int(r.n):,}" for m, r in means.iterrows()}
+
+
+def test_strata_metrics_has_every_model(spark):
+    """A row a fold, model and stratum, those of graphs included."""
+    expected = strata_of_all_models(spark)
+    rows = lambda found: sorted((r.fold, r.model, r.stratum, r.n, *(None if x is None or x != x else round(x, 6) for x in (r.auc, r.acc, r.nll))) for r in found)
+    got = rows(audit.QUERIES["strata_metrics"](spark, SF).collect())
+    assert {r[1] for r in got} == set(predict.WEIGHTS)
+    assert got == rows(expected.itertuples())
